@@ -36,6 +36,8 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted entries, keep the first of each text and add up how many rows it stands for."""
     held = None
     for batch in batches:
+        if held is not None:
+            held = pa.RecordBatch.from_arrays(held.columns, schema=batch.schema)
         table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
         if not table.num_rows:
             continue
