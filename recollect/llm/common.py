@@ -71,11 +71,15 @@ def join_spread(
     heavy_from = max(HEAVY_ROWS, total // HEAVY_SHARE)
     heavy = right.filter(weight >= heavy_from).select(*keys, F.struct(*values).alias("__hot"))
     light = right.filter(weight < heavy_from).select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.struct(*values).alias("__cold"), F.lit(0).alias("__k")
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.struct(*values).alias("__cold")
     )
     hit = F.col("__hot").isNotNull()
-    marked = left.join(F.broadcast(heavy), list(keys), "left").withColumn("__s", F.when(hit, F.xxhash64(spread)).otherwise(0))
-    on = [marked["__s"] == light["__k"]] + [marked[k] == light[f"__k{i}"] for i, k in enumerate(keys)]
+    # should a spread key meet a right row by chance, the hot values are taken all the same
+    kind = left.schema[keys[0]].dataType
+    marked = left.join(F.broadcast(heavy), list(keys), "left").withColumn(
+        "__s", F.when(hit, F.xxhash64(spread).cast(kind)).otherwise(F.col(keys[0]))
+    )
+    on = [marked["__s"] == light["__k0"]] + [marked[k] == light[f"__k{i}"] for i, k in enumerate(keys) if i]
     both = marked.join(light, on, "left")
     picked = [F.when(hit, F.col(f"__hot.{v}")).otherwise(F.col(f"__cold.{v}")).alias(v) for v in values]
-    return both.select(*[left_col for left_col in left.columns], *picked)
+    return both.select(*left.columns, *picked)
