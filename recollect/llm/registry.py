@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import exact_dedup, language_id, packing, simhash, substring_dedup
+from recollect.llm import chat, cotraining, exact_dedup, language_id, packing, sentence_pieces, simhash, spotsigs, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_digests(_table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_edits(_table(spark, sf_dir, "documents"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(_table(spark, sf_dir, "conversations"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.records_of(warc.round_trip(_table(spark, sf_dir, "pages")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -33,8 +49,17 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.strip_digests(_table(spark, sf_dir, "documents"))
 
 
+def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_exact_dedup, op4_simhash, op8_packing, op9_substring_dedup)}
+    found = (
+        op1_sentencepiece, op2_language_id, op3_exact_dedup, op4_simhash, op5_spotsigs,
+        op6_chat, op7_warc, op8_packing, op9_substring_dedup, op10_cotraining,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -43,5 +68,6 @@ def oracle_sql() -> dict[str, str]:
             WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
             FROM d WINDOW w AS (PARTITION BY text_sha256)
-        """
+        """,
+        "op6_chat": chat.DIGESTS_SQL,
     }
