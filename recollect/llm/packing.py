@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 CAPACITY = 1_024
 MIN_CUT = 64
-#: Word spellings kept by a worker, and their total bytes; the store is emptied when it is full.
-_WORDS = 400_000
+#: Spellings that a worker keeps of words as they stand, and of words without the marks after them.
+_WORDS, _CORES = 400_000, 800_000
+#: Marks that may follow a word; the vocabulary never merges them with letters.
+_MARKS = ".,;:!?*#$%&|)"
 #: Texts and characters taken at once.
 _CHARS = 4_000_000
 _PIECES = (
@@ -31,6 +34,37 @@ _PIECES = (
 )
 
 
+class _Spelled(dict):
+    """Ids of words with ``space`` before them; None for a word that can't be spelled by itself."""
+
+    def __init__(self, space: str, cores: dict[str, bytes], merge, encode) -> None:
+        self.space, self.cores, self.merge, self.encode = space, cores, merge, encode
+
+    def __missing__(self, word: str) -> bytes | None:
+        if len(self) >= _WORDS:
+            self.clear()
+        if not word or word[-1].isspace() or not self.space and word[0].isspace():
+            self[word] = None
+            return None
+        core = word.rstrip(_MARKS)
+        if core.isalpha():
+            value = self._of(self.space + core, self.merge)
+            if len(core) < len(word):
+                value += self._of(word[len(core) :], self.encode)
+        else:
+            value = self.encode(self.space + word)
+        self[word] = value
+        return value
+
+    def _of(self, core: str, spell) -> bytes:
+        found = self.cores.get(core)
+        if found is None:
+            if len(self.cores) >= _CORES:
+                self.cores.clear()
+            found = self.cores[core] = spell(core)
+        return found
+
+
 class Ids:
     """Token ids of whole texts, spelled word by word.
 
@@ -45,42 +79,36 @@ class Ids:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.line = self._encode(["\n"])[0]
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, store: dict[str, bytes | None], words: set[str], space: str) -> None:
-        sound = [w for w in words if w and not w[-1].isspace() and not (w[0].isspace() and not space)]
-        store.update(dict.fromkeys(words))
-        store.update(zip(sound, self._encode([space + w for w in sound]), strict=True))
+        self.merges = self.model.model
+        # how the vocabulary writes bytes: printable ones as themselves, the others from U+0100 on
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self._shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        if any(self._merge(x) != self._whole(x) for x in (" word", "naïve", " Straße", "日本語")):
+            raise ValueError("this tokenizer doesn't merge the bytes of words")
+        cores: dict[str, bytes] = {}
+        self.first, self.later = (_Spelled(space, cores, self._merge, self._whole) for space in ("", " "))
+        self.line = self._whole("\n")
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _merge(self, word: str) -> bytes:
+        """Ids of letters, with or without a space before them: the merges alone, as there is nothing to split."""
+        shown = word.encode().decode("latin-1").translate(self._shown)
+        return array("I", [x.id for x in self.merges.tokenize(shown)]).tobytes()
 
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        firsts = {line[0] for t in lines for line in t}
-        laters = set(chain.from_iterable(line[1:] for t in lines for line in t))
-        # a full store is emptied; what this call needs is then learned anew
-        for store, words, space in ((self.first, firsts, ""), (self.later, laters, " ")):
-            new = words - store.keys()
-            if len(store) + len(new) > _WORDS:
-                store.clear()
-                new = words
-            self._learn(store, new, space)
-        first, later, line_break = self.first.__getitem__, self.later.__getitem__, self.line
-        out: list[bytes | None] = []
-        for t in lines:
+        first, later = self.first.__getitem__, self.later.__getitem__
+        out = []
+        for t in texts:
             try:
-                out.append(line_break.join([b"".join([first(x[0]), *map(later, x[1:])]) for x in t]))
+                lines = (line.split(" ") for line in t.split("\n"))
+                out.append(self.line.join([b"".join([first(x[0]), *map(later, x[1:])]) for x in lines]))
             except TypeError:  # a word that can't be spelled by itself
-                out.append(None)
-        whole = [i for i, x in enumerate(out) if x is None and texts[i]]
-        for i, x in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = x
-        return [x or b"" for x in out]
+                out.append(self._whole(t))
+        return out
 
 
 _kept: dict[str, Ids] = {}
