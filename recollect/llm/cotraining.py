@@ -36,7 +36,7 @@ Features = tuple[np.ndarray, np.ndarray, np.ndarray]  # row, column, value
 
 class _Buckets(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh32_intdigest(word, 5) >> (32 - _BITS)
         return value

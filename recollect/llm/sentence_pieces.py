@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 BEST = 3
 SCALE = 1_000_000
 #: Parts and words that a worker remembers.
-_KEPT = 300_000
+_KEPT = 150_000
 _SPACE = "▁"
 _DIGESTS = "doc_id long, n_best int, log_probs array<double>, n_pieces array<int>, ids_crc32 array<long>, decodes boolean"
 

@@ -44,7 +44,7 @@ class _Words(dict):
     """Hash of a word; the lowest bit says whether it is an anchor."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word, 11) & ~1 | (word in ANCHORS)
         return value
