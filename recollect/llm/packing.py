@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 CAPACITY = 1_024
 MIN_CUT = 64
 #: Spellings that a worker keeps of words as they stand, and of words without the marks after them.
-_WORDS, _CORES = 60_000, 200_000
+_WORDS, _CORES = 80_000, 350_000
 #: Marks that may follow a word; the vocabulary never merges them with letters.
 _MARKS = ".,;:!?*#$%&|)"
 #: Texts and characters taken at once.

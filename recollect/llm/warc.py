@@ -236,7 +236,8 @@ def read_chunks(manifest: DataFrame, with_data: bool = True, chunk: int = CHUNK)
         if rows:
             yield flush()
 
-    return manifest.select("archive").repartition("archive").mapInArrow(read, _CHUNKS)
+    # an archive a task: left to itself Spark would read this short list of names, and so all archives, in one
+    return manifest.select("archive").repartition(max(1, manifest.count()), "archive").mapInArrow(read, _CHUNKS)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", with_data: bool = False) -> DataFrame:
