@@ -26,7 +26,7 @@ def j4_related(spark, d):
     return G.related(relations(spark, d), memory_items(spark, d))
 
 
-@query(sql("""SELECT id, round(least(n * 0.01, 0.16), 6) AS weight FROM (SELECT a.obs_id AS id, count(DISTINCT b.obs_id) AS n FROM links a JOIN links b ON a.name = b.name AND a.obs_id <> b.obs_id
+@query(sql("""SELECT id, CAST(round(least(n * 0.01, 0.16), 6) AS DOUBLE) AS weight FROM (SELECT a.obs_id AS id, count(DISTINCT b.obs_id) AS n FROM links a JOIN links b ON a.name = b.name AND a.obs_id <> b.obs_id
     JOIN items m ON m.id = b.obs_id AND m.status = 'active' GROUP BY 1)""", "links"))
 def j5_p3_comentions(spark, d):
     return G.comentions(entity_links(spark, d), memory_items(spark, d)).select("id", F.round("weight", 6).alias("weight"))
