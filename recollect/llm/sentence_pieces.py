@@ -4,10 +4,11 @@ The pieces of a text form a lattice. A forward Viterbi pass gives the cheapest w
 backward from the end, those are exact remaining costs, so an A* search over partial segmentations from the end
 back to the start completes them strictly in order of cost: the first N to arrive are the N best.
 
-The lattice falls apart wherever no piece of the vocabulary holds the two characters around a position, which is between
-words and mostly before punctuation too. Parts between such positions are searched once and remembered; the N best of a
-text are then put together from the N - 1 cheapest deviations of its parts, as a solution with a dearer deviation
-in it has N cheaper ones before it.
+The lattice falls apart between words, and within them wherever no piece of the vocabulary holds the two characters
+around a position. Viterbi runs over all new words of a batch at once, forward and backward, which gives each word's
+best segmentation and how much its second best costs more. A solution with a dear deviation in it has N cheaper
+ones before it, so only the N - 1 words of a text with the cheapest deviations are searched further, and the N best of
+the text are put together from theirs.
 
 A piece costs its negative log probability under Zipf's law over the vocabulary's ranks (the file ranks its pieces; it
 holds no probabilities), in whole millionths, so that sums are exact and ties are ties. Characters without a piece
@@ -18,19 +19,22 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BEST = 3
 SCALE = 1_000_000
+#: More than any cost.
+_FAR = 1 << 60
+_P = np.uint64(0x9E3779B97F4A7C15)
 #: Parts and words that a worker remembers.
-_KEPT = 150_000
+_KEPT = 500_000
 _SPACE = "▁"
 _DIGESTS = "doc_id long, n_best int, log_probs array<double>, n_pieces array<int>, ids_crc32 array<long>, decodes boolean"
 
@@ -62,9 +66,27 @@ class Pieces:
         self.byte = {int(model.id_to_piece(i)[3:5], 16): (byte_cost, i) for i in range(size) if model.is_byte(i)}
         self.longest = max(map(len, self.cost_of))
         self.joined = {p[k : k + 2] for p in self.cost_of for k in range(len(p) - 1)}
+        # marks that no piece joins to what stands before them, but for a space or another such mark
+        marks = set(".,;:!?*#$%&|)\"")
+        while bad := {y for x, y in self.joined if y in marks and x != _SPACE and x not in marks}:
+            marks -= bad
+        own = "".join(map(re.escape, sorted(marks)))
+        # no piece holds a mark of space after anything else, nor a line break
+        self.between = re.compile(rf"\n|{_SPACE}*[^{_SPACE}\n{own}]+" + (rf"|{_SPACE}*[{own}][^{_SPACE}\n]*" if own else "") + rf"|{_SPACE}+")
         self.spelling = {i: p.encode() for p, (_, i) in self.cost_of.items()} | {i: bytes([b]) for b, (_, i) in self.byte.items()}
         self.parts: dict[str, list[Solution]] = {}
-        self.words: dict[str, list[Solution]] = {}
+        self.searched: dict[str, list[Solution]] = {}
+        self.words: dict[str, tuple[int, bytes, int]] = {}  # cost, ids, what the second best costs more
+        self.byte_cost = byte_cost
+        self.table = []  # of each length the hashes of its pieces, in order, with their costs and ids
+        for n in range(1, self.longest + 1):
+            own = [(p, c, i) for p, (c, i) in self.cost_of.items() if len(p) == n]
+            codes = np.array([[ord(x) for x in p] for p, _, _ in own], np.uint64).reshape(len(own), n)
+            h = np.zeros(len(own), np.uint64)
+            for k in range(n):
+                h = h * _P + codes[:, k]
+            order = np.argsort(h)
+            self.table.append((h[order], np.array([c for _, c, _ in own], np.int64)[order], np.array([i for _, _, i in own], np.int64)[order]))
 
     def _arcs(self, text: str) -> list[list[tuple[int, int, bytes]]]:
         """For each position the arcs that end there: (start, cost, ids)."""
@@ -97,6 +119,66 @@ class Pieces:
                 heapq.heappush(heap, (done + c + reach[i], done + c, i, piece + ids))
         return found
 
+    def learn(self, words: list[str]) -> None:
+        """Best segmentation and second best cost of new words, those of one length together."""
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        for n, own in by_length.items():
+            for k in range(0, len(own), max(64, 200_000 // n)):
+                self._viterbi(own[k : k + max(64, 200_000 // n)], n)
+
+    def _viterbi(self, words: list[str], n: int) -> None:
+        m = len(words)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).astype(np.uint64)
+        spans = min(n, self.longest)
+        costs, ids, h = [], [], np.zeros((m, n + 1), np.uint64)
+        for size in range(1, spans + 1):
+            h = h[:, : n - size + 1] * _P + codes[:, size - 1 :]
+            known, cost, piece = self.table[size - 1]
+            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+            hit = known[at] == h if len(known) else np.zeros(h.shape, bool)
+            costs.append(np.where(hit, cost[at], _FAR) if len(known) else np.full(h.shape, _FAR))
+            ids.append(piece[at] if len(known) else np.zeros(h.shape, np.int64))
+            if size == 1:  # characters without a piece are spelled in bytes; they are marked by their negative code
+                width = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+                costs[0] = np.where(hit, costs[0], width.astype(np.int64) * self.byte_cost)
+                ids[0] = np.where(hit, ids[0], -1 - codes.astype(np.int64))
+        reach, back = np.zeros((m, n + 1), np.int64), np.zeros((m, n + 1), np.int64)
+        via = np.zeros((m, n + 1), np.int64)
+        for j in range(1, n + 1):
+            each = np.stack([reach[:, j - s] + costs[s - 1][:, j - s] for s in range(1, min(j, spans) + 1)])
+            via[:, j] = each.argmin(0)
+            reach[:, j] = each.min(0)
+        for i in range(n - 1, -1, -1):
+            back[:, i] = np.stack([costs[s - 1][:, i] + back[:, i + s] for s in range(1, min(n - i, spans) + 1)]).min(0)
+        through = [reach[:, : n - s + 1] + costs[s - 1] + back[:, s:] for s in range(1, spans + 1)]
+        pos, rows, steps = np.full(m, n), np.arange(m), []
+        while len(rows):
+            size = via[rows, pos[rows]]
+            start = pos[rows] - size - 1
+            took = np.full(m, _FAR)
+            for s in np.unique(size):
+                mine = size == s
+                took[rows[mine]] = ids[s][rows[mine], start[mine]]
+                through[s][rows[mine], start[mine]] = _FAR
+            steps.append(took)
+            pos[rows] = start
+            rows = rows[start > 0]
+        gap = np.minimum(np.min([t.min(1) for t in through], axis=0) - reach[:, n], _FAR)
+        found = np.stack(steps[::-1], 1)
+        plain = (found >= 0).all(1)
+        for k, w in enumerate(words):
+            row = found[k]
+            row = row[row != _FAR]
+            if plain[k] or (row >= 0).all():
+                spelled = row.astype("<u4").tobytes()
+            else:
+                spelled = b"".join(
+                    int(x).to_bytes(4, "little") if x >= 0 else b"".join(self.byte[b][1].to_bytes(4, "little") for b in chr(-1 - x).encode("utf-8", "surrogatepass")) for x in row.tolist()
+                )
+            self.words[w] = (int(reach[k, n]), spelled, int(gap[k]))
+
     def _merge(self, parts: list[list[Solution]]) -> list[Solution]:
         """The N best of parts in a row."""
         if len(parts) == 1:
@@ -134,17 +216,51 @@ class Pieces:
         """The N best segmentations of a text, cheapest first; fewer where there are fewer. An empty text has one, of nothing."""
         if not text:
             return [(0, b"")]
-        marked = f"{_SPACE}{text.replace(' ', _SPACE)}"
-        words = _BETWEEN.findall(marked)
-        store, lists = self.words, []
-        for w in words:
-            got = store.get(w)
-            if got is None:
-                if len(store) >= _KEPT:
-                    store.clear()
-                got = store[w] = self._word(w)
-            lists.append(got)
-        return self._merge(lists)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[Solution]]:
+        """``encode`` of each text; their new words are learned together."""
+        split = [self.between.findall(f"{_SPACE}{t.replace(' ', _SPACE)}") if t else [] for t in texts]
+        if len(self.words) > _KEPT:
+            self.words.clear()
+        self.learn(list({w for ws in split for w in ws if w not in self.words}))
+        out = []
+        for words in split:
+            if not words:
+                out.append([(0, b"")])
+                continue
+            costs, ids, gaps = zip(*map(self.words.__getitem__, words), strict=True)
+            # the words with the cheapest deviations, in their order; no other can be part of the N best
+            near = sorted(heapq.nsmallest(self.best - 1, range(len(words)), key=gaps.__getitem__))
+            near = [k for k in near if gaps[k] < _FAR]
+            if not near:
+                out.append([(sum(costs), b"".join(ids))])
+                continue
+            lists = [self._searched(words[k]) for k in near]
+            rest = sum(costs) - sum(costs[k] for k in near)
+            best = []
+            for cost, choice in self._ways(lists):
+                spelled = list(ids)
+                for k, n, own in zip(near, choice, lists, strict=True):
+                    spelled[k] = own[n][1]
+                best.append((rest + cost, b"".join(spelled)))
+            out.append(best)
+        return out
+
+    def _searched(self, word: str) -> list[Solution]:
+        found = self.searched.get(word)
+        if found is None:
+            if len(self.searched) >= _KEPT:
+                self.searched.clear()
+            found = self.searched[word] = self._word(word)
+        return found
+
+    def _ways(self, lists: list[list[Solution]]) -> list[tuple[int, tuple[int, ...]]]:
+        """The N cheapest choices of one solution from each list."""
+        ways: list[tuple[int, tuple[int, ...]]] = [(0, ())]
+        for own in lists:
+            ways = heapq.nsmallest(self.best, [(c + s[0], (*w, n)) for c, w in ways for n, s in enumerate(own)])
+        return ways
 
     def decode(self, ids: bytes | list[int]) -> str:
         numbers = np.frombuffer(ids, "<u4").tolist() if isinstance(ids, bytes) else ids
@@ -152,8 +268,6 @@ class Pieces:
         return text.removeprefix(" ")
 
 
-#: No piece holds a mark of space after anything else, nor a line break.
-_BETWEEN = regex.compile(rf"\n|{_SPACE}*[^{_SPACE}\n]+|{_SPACE}+")
 _models: dict[tuple[str, int], Pieces] = {}
 
 
@@ -185,7 +299,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", best
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                rows = [(i, r, -c / SCALE, np.frombuffer(x, "<i4")) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r, (c, x) in enumerate(vocabulary.encode(t))]
+                found = vocabulary.encode_all(part.column(1).to_pylist())
+                rows = [(i, r, -c / SCALE, np.frombuffer(x, "<i4")) for i, own in zip(part.column(0).to_pylist(), found, strict=True) for r, (c, x) in enumerate(own)]
                 cols = list(zip(*rows, strict=True))
                 kinds = (pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "rank", "log_prob", "ids"])
@@ -213,18 +328,17 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces_for(path, best)
         for batch in batches:
-            ids = batch.column(0)
-            probs, sizes, sums, back = [], [], [], []
-            for text in batch.column(1):
-                text = text.as_py()
-                found = vocabulary.encode(text)
-                probs.append([-c / SCALE for c, _ in found])
-                sizes.append([len(x) // 4 for _, x in found])
-                sums.append([zlib.crc32(x) for _, x in found])
-                back.append(vocabulary.decode(found[0][1]) == text.replace(_SPACE, " "))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(p) for p in probs], pa.int32()), pa.array(probs, pa.list_(pa.float64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(sums, pa.list_(pa.int64())), pa.array(back, pa.bool_())],
-                [x.split()[0] for x in _DIGESTS.split(", ")],
-            )
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                texts = part.column(1).to_pylist()
+                every = vocabulary.encode_all(texts)
+                probs = [[-c / SCALE for c, _ in found] for found in every]
+                sizes = [[len(x) // 4 for _, x in found] for found in every]
+                sums = [[zlib.crc32(x) for _, x in found] for found in every]
+                back = [vocabulary.decode(found[0][1]) == t.replace(_SPACE, " ") for found, t in zip(every, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(p) for p in probs], pa.int32()), pa.array(probs, pa.list_(pa.float64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(sums, pa.list_(pa.int64())), pa.array(back, pa.bool_())],
+                    [x.split()[0] for x in _DIGESTS.split(", ")],
+                )
 
     return _texts(docs, id_col, text_col).mapInArrow(each, _DIGESTS).withColumnRenamed("doc_id", id_col)
