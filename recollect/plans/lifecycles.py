@@ -187,3 +187,33 @@ def e14_migrate(spark, d):
 @query()
 def d7_chunk_addresses(spark, d):
     return L.chunk_id(prompts(spark, d), "project", ["id", "session_id", "content"])
+
+
+@query(sql("""SELECT g.group_id, i.id, i.title FROM (SELECT min(id) AS group_id, unnest(list(id)) AS id FROM items WHERE status = 'candidate' GROUP BY project_id, kind) g JOIN items i USING (id)""", "items"))
+def j17_candidate_sources(spark, d):
+    """The source records named by a list of ids in text, one row each. A group's list is what its row stores."""
+    i = memory_items(spark, d)
+    groups = i.filter("status = 'candidate'").groupBy("project_id", "kind").agg(F.min("id").alias("group_id"), F.array_join(F.collect_list(F.col("id").cast("string")), ",").alias("consolidated_from"))
+    sources = groups.select("group_id", F.explode(F.split("consolidated_from", ",")).alias("i")).select("group_id", F.col("i").cast("long").alias("id"))
+    return sources.join(i.select("id", "title"), "id").select("group_id", "id", "title")
+
+
+@query(sql(f"""SELECT id, new_kind AS kind FROM (SELECT id, {S.lookup_sql("kind", {"pattern": "procedure", "glossary": "identity"}, "discovery")} AS new_kind FROM items WHERE id % 4 = 0) WHERE id NOT IN (SELECT id FROM items WHERE id % 8 = 0)
+    UNION ALL SELECT id, kind FROM items WHERE id % 8 = 0""", "items"))
+def s16_legacy_port(spark, d):
+    """Rows of an old table that the new one lacks, with their kinds mapped, beside those that it has."""
+    i = memory_items(spark, d)
+    new = i.filter("id % 8 = 0").select("id", "kind")
+    old = i.filter("id % 4 = 0").select("id", S.lookup("kind", {"pattern": "procedure", "glossary": "identity"}, "discovery").alias("kind"))
+    return old.join(new.select("id"), "id", "left_anti").unionByName(new)
+
+
+@query(sql("""SELECT project, string_agg('- ' || left(content, 80), chr(10) ORDER BY k) AS context FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY created_at DESC, id) AS k FROM prompts) WHERE k <= 5 GROUP BY 1""", "prompts"))
+def p8_session_context(spark, d):
+    """The five newest prompts of each project as one text."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("project").orderBy(F.desc("created_at"), "id")
+    rows = prompts(spark, d).withColumn("k", F.row_number().over(w)).filter("k <= 5")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("k", F.substring("content", 1, 80).alias("line")))), lambda x: F.concat(F.lit("- "), x["line"]))
+    return rows.groupBy("project").agg(F.array_join(lines, "\n").alias("context"))

@@ -112,3 +112,16 @@ def p9_file_history(spark, d):
     rows = same.unionByName(around).withColumn("score", X.path_score("path", "own"))
     w = Window.partitionBy("path").orderBy(F.desc("score"), F.desc("updated_at"), "id")
     return rows.withColumn("k", F.row_number().over(w)).filter("k <= 10").select("path", "id", "score")
+
+
+@query(sql("""SELECT path, section, id, CAST(running AS BIGINT) AS running FROM (SELECT *, sum(tokens) OVER (PARTITION BY path, section ORDER BY k) AS running FROM
+    (SELECT path, CASE WHEN kind IN ('decision', 'procedure') THEN 'guidance' WHEN kind IN ('bugfix', 'postmortem') THEN 'history' ELSE 'notes' END AS section, id,
+      row_number() OVER (PARTITION BY path, CASE WHEN kind IN ('decision', 'procedure') THEN 'guidance' WHEN kind IN ('bugfix', 'postmortem') THEN 'history' ELSE 'notes' END ORDER BY updated_at DESC, id) AS k,
+      CAST(length(title) // 4 + 1 AS BIGINT) AS tokens FROM fresh)) WHERE running <= 60""",
+    "items", fresh=f"SELECT *, json_extract_string(applies_to_json, '$.files[0]') AS path FROM ({_LIVE}) WHERE superseded_by IS NULL"))
+def p10_file_context(spark, d):
+    """What is known of each file, by section, each cut at the first record that passes its budget."""
+    fresh = memory_items(spark, d).filter("status = 'active' AND (expires_at IS NULL OR expires_at > timestamp'2024-01-31 00:00:00') AND superseded_by IS NULL")
+    section = F.when(F.col("kind").isin("decision", "procedure"), "guidance").when(F.col("kind").isin("bugfix", "postmortem"), "history").otherwise("notes")
+    rows = fresh.select(F.get_json_object("applies_to_json", "$.files[0]").alias("path"), section.alias("section"), "id", "updated_at", F.floor(F.char_length("title") / 4 + 1).alias("tokens"))
+    return P.prefix_budget(rows, 60, ["path", "section"], [F.desc("updated_at"), F.asc("id")], F.col("tokens")).select("path", "section", "id", "running")
