@@ -191,10 +191,12 @@ def d7_chunk_addresses(spark, d):
 
 @query(sql("""SELECT g.group_id, i.id, i.title FROM (SELECT min(id) AS group_id, unnest(list(id)) AS id FROM items WHERE status = 'candidate' GROUP BY project_id, kind) g JOIN items i USING (id)""", "items"))
 def j17_candidate_sources(spark, d):
-    """The source records named by a list of ids in text, one row each. A group's list is what its row stores."""
+    """The source records of each group of candidates, one row each; a group is named by its smallest id."""
     i = memory_items(spark, d)
-    groups = i.filter("status = 'candidate'").groupBy("project_id", "kind").agg(F.min("id").alias("group_id"), F.array_join(F.collect_list(F.col("id").cast("string")), ",").alias("consolidated_from"))
-    sources = groups.select("group_id", F.explode(F.split("consolidated_from", ",")).alias("i")).select("group_id", F.col("i").cast("long").alias("id"))
+    candidates = i.filter("status = 'candidate'").select("project_id", "kind", "id")
+    groups = candidates.groupBy(F.col("project_id").alias("p"), F.col("kind").alias("k")).agg(F.min("id").alias("group_id"))
+    same = F.col("project_id").eqNullSafe(F.col("p")) & F.col("kind").eqNullSafe(F.col("k"))
+    sources = candidates.join(groups, same).select("group_id", "id")
     return sources.join(i.select("id", "title"), "id").select("group_id", "id", "title")
 
 

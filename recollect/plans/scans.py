@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.operators import scans as O
 from recollect.plans.base import query
+from recollect.sources.scratch import written
 from recollect.sources.tables import memory_items, outcomes, prompts, sessions, sql, table, usage
 
 LIVE = "status = 'active' AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-31 00:00:00')"
@@ -133,11 +134,20 @@ def f15_newer_than_last_chunk(spark, d):
 @query(sql("""SELECT id, CAST(k AS INTEGER) AS k, coalesce(prev, -1) AS prev, coalesce(next, -1) AS next, n FROM (SELECT id, project_id, row_number() OVER w AS k, lag(id, 1) OVER w AS prev, lead(id, 1) OVER w AS next,
     count(*) OVER (PARTITION BY project_id) AS n FROM items WINDOW w AS (PARTITION BY project_id ORDER BY updated_at, id))""", "items"))
 def n1_timeline(spark, d):
-    i = memory_items(spark, d).select("id", "project_id", "updated_at")
-    w = Window.partitionBy("project_id").orderBy("updated_at", "id")
-    rows = i.select("id", "project_id", F.row_number().over(w).alias("k"), F.lag("id").over(w).alias("prev"), F.lead("id").over(w).alias("next"))
-    totals = i.groupBy("project_id").agg(F.count("*").alias("n"))
-    return rows.join(totals, "project_id").select("id", "k", F.coalesce("prev", F.lit(-1)).alias("prev"), F.coalesce("next", F.lit(-1)).alias("next"), "n")
+    """Places are counted within ranges, which each add the rows of the project's ranges before them, so no task holds a project."""
+    i = memory_items(spark, d).select("id", "project_id", "updated_at").repartitionByRange("project_id", "updated_at", "id")
+    i = written(i.withColumn("part", F.spark_partition_id()), "timeline")
+    ranges = i.groupBy("project_id", "part").agg(F.count("*").alias("m"), *[f(F.struct("updated_at", "id")).alias(x) for x, f in (("low", F.min), ("high", F.max))])
+    p = Window.partitionBy("project_id").orderBy("part")  # a project has at most one row a range here
+    edges = ranges.select(
+        F.col("project_id").alias("p"), F.col("part").alias("r"), (F.sum("m").over(p) - F.col("m")).alias("before"), F.lag("high.id").over(p).alias("left"),
+        F.lead("low.id").over(p).alias("right"), F.sum("m").over(Window.partitionBy("project_id")).alias("n"),
+    )
+    w = Window.partitionBy("project_id", "part").orderBy("updated_at", "id")
+    rows = i.select("id", "project_id", "part", F.row_number().over(w).alias("k"), F.lag("id").over(w).alias("prev"), F.lead("id").over(w).alias("next"))
+    both = rows.join(edges, F.col("project_id").eqNullSafe(F.col("p")) & (F.col("part") == F.col("r")))
+    near = lambda c, edge: F.coalesce(c, edge, F.lit(-1)).alias(c)
+    return both.select("id", (F.col("k") + F.col("before")).cast("int").alias("k"), near("prev", "left"), near("next", "right"), "n")
 
 
 @query(sql("""SELECT a.id, max_by(b.id, (b.started_at, b.id)) AS previous FROM sessions a JOIN sessions b ON a.project = b.project AND b.ended_at IS NOT NULL AND b.started_at < a.started_at
