@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +19,17 @@ HEAVY_ROWS = 1_000
 HEAVY_SHARE = 1_000
 
 
+#: Whether Spark deletes the shuffle files of a query when it ends. Those of a table that is written once are of no more use.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[list[Scratch]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one only in local mode, where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="recollect-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -36,22 +45,50 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._made = 0
+        if _scopes:
+            _scopes[-1].append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self._made}"
         self._made += 1
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.select("*").write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a saved table that nothing will read again."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    def drop(self, *saved: DataFrame) -> None:
+        """Delete saved tables that nothing will read again."""
+        for df in saved:
+            self._delete(df._scratch_path)
+
+    def clear(self) -> None:
+        """Delete all of these tables; whatever still reads them must have been written or shown before."""
+        self._delete(self.base)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def cleared() -> Iterator[None]:
+    """Scratch tables that operators make within are deleted at the end; write what is made of them before it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for scratch in _scopes.pop():
+            scratch.clear()
+
+
 def join_spread(
     left: DataFrame,
     right: DataFrame,

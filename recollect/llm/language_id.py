@@ -36,25 +36,32 @@ def _is_letter() -> np.ndarray:
 def ngrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(document, bucket) of every n-gram of lower-cased texts, in pieces, with the number of the text they start at.
 
-    All that isn't a letter counts as one space, and texts begin and end with one. A very long text comes in several
-    pieces, whole.
+    All that isn't a letter counts as one space, and texts begin and end with one. Short texts are taken together; a
+    text of more than _CHARS characters stands alone and comes in several pieces, whole. So what is said of a text, sums
+    of its n-grams included, never depends on its neighbours.
     """
-    start = 0
+    start, held = 0, None
     while start < len(texts):
         some, size = [], 0
-        while start + len(some) < len(texts) and size < _CHARS:
-            some.append((texts[start + len(some)] or "").lower().replace("\0", " "))
-            size += len(some[-1])
-        code = np.frombuffer(" \0 ".join(["", *some, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)[1:]
+        while start + len(some) < len(texts):
+            nxt = (texts[start + len(some)] or "").lower().replace("\0", " ") if held is None else held
+            held = None
+            if some and size + len(nxt) > _CHARS:
+                held = nxt
+                break
+            some.append(nxt)
+            size += len(nxt)
+        code = np.frombuffer(" \0 ".join(["", *some, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)[1:-1]
         code = np.where(_is_letter()[code] | (code == 0), code, 32)
         keep = np.ones(len(code), bool)
         keep[1:] = (code[1:] != 32) | (code[:-1] != 32)
         code = code[keep].astype(np.uint64)
         doc = np.cumsum(code == 0) - 1
-        for i in range(0, len(code), _CHARS):
-            c, d = code[i : i + _CHARS + LONGEST - 1], doc[i : i + _CHARS + LONGEST - 1]
+        step = _CHARS if len(some) == 1 else len(code)
+        for i in range(0, len(code), step):
+            c, d = code[i : i + step + LONGEST - 1], doc[i : i + step + LONGEST - 1]
             docs, buckets = [], []
-            gram, inside = np.zeros(min(_CHARS, len(code) - i), np.uint64), np.ones(min(_CHARS, len(code) - i), bool)
+            gram, inside = np.zeros(min(step, len(code) - i), np.uint64), np.ones(min(step, len(code) - i), bool)
             for n in range(1, LONGEST + 1):
                 m = min(len(gram), len(c) - n + 1)
                 gram, inside = gram[:m] * _P + c[n - 1 : n - 1 + m], inside[:m] & (c[n - 1 : n - 1 + m] != 0)
@@ -81,7 +88,7 @@ class Model:
         for doc, bucket, start in ngrams(texts):
             rows = doc.max(initial=-1) + 1
             for k in range(len(self.languages)):
-                out[start : start + rows, k] += np.bincount(doc, self.log_prob[bucket, k], rows)[: len(texts) - start]
+                out[start : start + rows, k] += np.bincount(doc, self.log_prob[bucket, k], rows)
         out -= out.max(1, keepdims=True)
         np.exp(out, out)
         return out / out.sum(1, keepdims=True)
@@ -107,7 +114,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
         for batch in batches:
             lang = np.array([at[x] for x in batch.column(1).to_pylist()])
             for doc, bucket, start in ngrams(batch.column(0).to_pylist()):
-                np.add.at(total, (lang[np.minimum(doc + start, len(lang) - 1)], bucket), 1)
+                np.add.at(total, (lang[doc + start], bucket), 1)
         k, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(total[k, b])], ["k", "b", "n"])
 
