@@ -9,15 +9,17 @@ Confirming. Each stretch of windows with one anchor is summarised as (anchor, di
 twice has only twins. Anchors seen twice with differing stretches (where a copied passage begins, ends or was edited) have
 their distinct stretches looked at window by window. All other windows are unique, without ever being shuffled.
 
-Locating. Documents are dealt to shards by hash, and every shard gets one example of each confirmed passage that occurs
-in it. It compiles its passages' anchor phrases into one Aho-Corasick automaton, streams its documents through, and at each
-hit compares the passage word for word. A shard's automaton is thus never larger than the shard, however large the
-corpus is, and a passage shared by a third of all documents is one pattern a shard.
+Locating. Rows are numbered and dealt to shards by number, and every shard gets one example of each confirmed passage that
+occurs in it. It compiles its passages' anchor phrases into one Aho-Corasick automaton, streams its documents through, and
+at each hit looks the words around it up among the passages, whole. A shard's automaton is thus never larger than the
+shard, however large the corpus is, and a passage shared by a third of all documents is one pattern a shard.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -81,7 +83,7 @@ def rolled(h: np.ndarray, width: int, k: int = 0) -> np.ndarray:
             return np.zeros(0, np.uint64)
         power = _mixed(power[:m] * step + power[unit : unit + m], k)
         unit *= 2
-        step = step * _MULT[k] | np.uint64(1)
+        step = np.uint64(int(step) * int(_MULT[k]) % (1 << 64) | 1)
 
 
 def least(x: np.ndarray, width: int) -> np.ndarray:
@@ -194,46 +196,50 @@ def _strip(docs: pa.Table, passages: pa.Table, span: int, gram: int, text_col: s
     import ahocorasick
 
     texts = docs.column(text_col).cast(pa.binary()).to_pylist()
-    rids = docs.column("__rid").to_pylist()
-    of_rid = {r: i for i, r in enumerate(rids)}
+    at_row = {r: i for i, r in enumerate(docs.column("__rid").to_pylist())}
     joined = [b" ".join((t or b"").split()).decode() for t in texts]
-    automaton = ahocorasick.Automaton()
-    wanted: dict[str, set[tuple[str, str]]] = defaultdict(set)
+    # of each anchor phrase: (words before it, words in all) -> the passages of that shape
+    wanted: dict[str, dict[tuple[int, int], set[str]]] = defaultdict(lambda: defaultdict(set))
     by_row: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for rid, place, mask in zip(*(passages.column(c).to_pylist() for c in ("rid", "place", "mask")), strict=True):
-        by_row[of_rid[rid]].append((place, mask))
+        by_row[at_row[rid]].append((place, mask))
     for row, listed in by_row.items():
         words = joined[row].split(" ")
         for place, mask in listed:
             phrase = f" {' '.join(words[place : place + gram])} "
             for nearest, farthest in _runs(mask):
-                start = place - farthest
-                before = " ".join(["", *words[start:place]])
-                wanted[phrase].add((before, f" {' '.join(words[start : place - nearest + span])} "))
-    for phrase, passages_of in wanted.items():
-        automaton.add_word(phrase, (len(phrase), [(len(b), p) for b, p in passages_of]))
+                start, end = place - farthest, place - nearest + span
+                wanted[phrase][farthest, end - start].add(" ".join(words[start:end]))
+    automaton = ahocorasick.Automaton()
+    for phrase, shapes in wanted.items():
+        automaton.add_word(phrase, (len(phrase), list(shapes.items())))
     if wanted:
         automaton.make_automaton()
     n_words, n_removed, kept = [], [], []
     for text in joined:
-        text = f" {text} " if text else " "
-        covered: list[tuple[int, int]] = []
-        for end, (size, found) in automaton.iter(text) if wanted else ():
-            hit = end - size + 1
-            for before, passage in found:
-                if hit >= before and text.startswith(passage, hit - before):
-                    covered.append((hit - before, hit - before + len(passage) - 1))
-        total = text.count(" ") - 1
-        left, at = [], 0
+        shown, spaces = f" {text} ", None
+        covered: list[tuple[int, int]] = []  # from word to word
+        for end, (size, shapes) in automaton.iter(shown) if wanted else ():
+            if spaces is None:
+                spaces = [m.start() for m in re.finditer(" ", shown)]
+            hit = bisect_left(spaces, end - size + 1)
+            # a look-up for each shape, of which there are at most span * span, however many passages have the phrase
+            for (before, n), known in shapes:
+                first = hit - before
+                if first >= 0 and first + n < len(spaces) and shown[spaces[first] + 1 : spaces[first + n]] in known:
+                    covered.append((first, first + n))
+        total = text.count(" ") + 1 if text else 0
+        gone, at, left = 0, 0, []
         for a, b in sorted(covered):
             if a > at:
-                left.append(text[at:a])
+                left.append(shown[spaces[at] + 1 : spaces[a]])
+            gone += max(0, b - max(a, at))
             at = max(at, b)
-        left.append(text[at:])
-        rest = "".join(left)[1:-1] if covered else text[1:-1]
-        kept.append(rest)
+        if covered and at < total:
+            left.append(shown[spaces[at] + 1 : spaces[total]])
+        kept.append(" ".join(left) if covered else text)
         n_words.append(total)
-        n_removed.append(total - (rest.count(" ") + 1 if rest else 0))
+        n_removed.append(gone)
     out = docs.drop_columns(["__rid", "__shard"])
     for name, values, kind in (("n_words", n_words, pa.int64()), ("n_removed", n_removed, pa.int64()), ("kept_text", kept, pa.string())):
         out = out.append_column(f"__{name}", pa.array(values, kind))
@@ -252,40 +258,42 @@ def strip_repeats(
     if not 2 <= gram <= span <= 64:
         raise ValueError("needs 2 <= gram <= span <= 64")
     scratch = Scratch(docs.sparkSession, "repeats")
+    # rows are numbered, and the numbers written, so that they are the same wherever they are read again
+    numbered = scratch.save(docs.withColumn("__rid", F.monotonically_increasing_id()))
     text = F.col(text_col).cast("string")
-    # a row is named by what it holds: rows that repeat id and text share a name and, as they should, their passages
-    keyed = docs.withColumn("__rid", F.xxhash64(F.col(id_col), text, F.length(text)))
-    plain = keyed.select(F.col("__rid").alias("rid"), F.coalesce(text.cast("binary"), F.lit(b"")).alias("t"))
+    plain = numbered.select(F.col("__rid").alias("rid"), F.coalesce(text.cast("binary"), F.lit(b"")).alias("t"))
     seen = scratch.save(plain.mapInArrow(lambda it: _anchors(it, span, gram), "anchor long, digest long, rid long, at long"))
     total = seen.count()
     # confirm: which anchors come again, and with which stretches
-    twice = seen.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").withColumn("again", F.lit(True))
-    rows = scratch.save(join_spread(seen, scratch.save(twice), ["anchor"], ["again"], F.col("n"), total, F.col("rid")).filter("again").drop("again"))
-    scratch.drop(seen)
-    kinds = rows.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("one"))
-    kinds = scratch.save(kinds)
+    twice = scratch.save(seen.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").withColumn("again", F.lit(True)))
+    rows = scratch.save(join_spread(seen, twice, ["anchor"], ["again"], F.col("n"), total, F.col("rid")).filter("again").drop("again"))
+    scratch.drop(seen, twice)
+    kinds = scratch.save(rows.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("one")))
     sure = kinds.filter("n > 1").select("anchor", "digest", "n", F.lit(True).alias("sure"))
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
-    listed = kinds.join(mixed, "anchor", "left_semi").groupBy(F.col("one.rid").alias("rid")).agg(
+    several = scratch.save(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").withColumn("mixed", F.lit(True)))
+    mixed = join_spread(kinds, several, ["anchor"], ["mixed"], F.col("kinds"), kinds.count(), F.col("digest")).filter("mixed")
+    listed = mixed.groupBy(F.col("one.rid").alias("rid")).agg(
         F.collect_list(F.struct(F.col("one.at").alias("at"), "n")).alias("listed")  # at most one a stretch of one text
     )
-    size = plain.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    shards = max(1, round(size / shard_bytes))
-    looked = plain.join(listed, "rid").select("rid", "t", "listed")
-    windows = scratch.save(looked.mapInArrow(lambda it: _windows(it, span), "w1 long, w2 long, rid long, pos long, place long, n long"))
+    windows = scratch.save(
+        plain.join(listed, "rid").select("rid", "t", "listed").mapInArrow(lambda it: _windows(it, span), "w1 long, w2 long, rid long, pos long, place long, n long")
+    )
     met = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).filter("n > 1 AND rows > 1")
-    met = met.select("w1", "w2", "rows", F.lit(True).alias("met"))
-    single = join_spread(windows, scratch.save(met), ["w1", "w2"], ["met"], F.col("rows"), windows.count(), F.col("rid")).filter("met AND n = 1")
+    met = scratch.save(met.select("w1", "w2", "rows", F.lit(True).alias("met")))
+    single = join_spread(windows, met, ["w1", "w2"], ["met"], F.col("rows"), windows.count(), F.col("rid")).filter("met AND n = 1")
     single = single.groupBy("rid", "place").agg(F.expr("bit_or(shiftleft(1L, int(place - pos)))").alias("mask"))
     known = join_spread(rows, sure, ["anchor", "digest"], ["sure"], F.col("n"), total, F.col("rid")).filter("sure")
-    shard = F.pmod("rid", F.lit(shards)).cast("long").alias("shard")
+    size = plain.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    shards = max(1, round(size / shard_bytes))
+    shard = F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("long").alias("shard")
     # of each stretch one example a shard is enough; bit o of its mask is the window that begins o words before the anchor
     known = known.groupBy("anchor", "digest", shard).agg(F.min(F.struct("rid", "at")).alias("one")).selectExpr(
         "shard", "one.rid", "shiftright(one.at, 12) + one.at % 64 AS place",
         "shiftleft(shiftleft(1L, int(shiftright(one.at, 6) % 64)) - 1, int(one.at % 64 - shiftright(one.at, 6) % 64 + 1)) AS mask",
     )
-    passages = known.unionByName(single.select(shard, "rid", "place", "mask"))
-    dealt = keyed.withColumn("__shard", F.pmod("__rid", F.lit(shards)).cast("long"))
+    passages = scratch.save(known.unionByName(single.select(shard, "rid", "place", "mask")))
+    scratch.drop(rows, kinds, several, windows, met)
+    dealt = numbered.withColumn("__shard", F.pmod(F.xxhash64("__rid"), F.lit(shards)).cast("long"))
     out = T.StructType([f for f in docs.schema] + [T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__kept_text", T.StringType())])
     return dealt.groupBy("__shard").cogroup(passages.groupBy("shard")).applyInArrow(lambda d, p: _strip(d, p, span, gram, text_col), out)
 

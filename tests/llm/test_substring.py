@@ -57,3 +57,22 @@ def test_edge_rows(spark):
     got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in sd.strip_digests(docs).collect())
     assert got == [(0, 1, 0), (1, 40, 40), (1, 40, 40), (3, 0, 0)]
     assert sd.strip_digests(docs.limit(0)).count() == 0
+
+
+def test_many_equal_rows_and_edited_copies_spread_over_shards(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(90)]
+    texts = ["same " + " ".join(base)] * 200
+    for i in range(150):  # one anchor phrase, edited differently around it
+        w = base.copy()
+        for at in rng.sample(range(90), 2):
+            w[at] = f"e{i}"
+        texts.append(" ".join(w))
+    want = sd.brute_force([t.encode() for t in texts])
+    docs = spark.createDataFrame([(7 if i < 200 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = [tuple(r[1:]) for r in sd.strip_digests(docs).collect()]
+    assert sorted(got) == sorted(want)
+    from pyspark.sql import functions as F
+
+    small = sd.strip_repeats(docs, shard_bytes=5_000).select("__n_words", "__n_removed", F.sha2("__kept_text", 256))
+    assert sorted(map(tuple, small.collect())) == sorted(want)
