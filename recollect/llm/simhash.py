@@ -7,8 +7,8 @@ finds every link. Files that are long all the same (thousands of near copies of
 pairs of blocks dealt over the cluster.
 
 A comparison is bit-sliced: the fingerprints of a task are stored as 64 vertical bit planes. Shifting the planes by d
-lines up every fingerprint with the d-th one after it, so one word operation advances 64 distances. Two carry-save
-planes count the differing bits up to 3 and a third remembers overflow; words in which all pairs have overflowed are
+lines up every fingerprint with the d-th one after it, so one word operation advances 64 distances. Carry-save planes count
+the differing bits up to the radius and one more remembers overflow; words in which all pairs have overflowed are
 abandoned.
 """
 
@@ -120,15 +120,18 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int, first_bits: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one group (groups are contiguous) that differ in at most ``radius`` (0 to 3) bits.
+    """Index pairs of one group (groups are contiguous) that differ in at most ``radius`` (0 to 63) bits.
 
-    first_bits: the planes in the order to count them; those of the key agree anyway and come last.
+    first_bits: the planes in the order to count them; those of the key agree anyway and come last. Counters start so
+    that they overflow at radius + 1.
     """
     n = len(fps)
     edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
     left = np.repeat(edges[1:], np.diff(edges)) - np.arange(n) - 1
     planes = planes_of(fps)
     last = planes.shape[1] - 1
+    places = max(1, radius.bit_length())
+    start = (1 << places) - 1 - radius
     order = np.argsort(-left, kind="stable")
     for d in range(1, int(left.max(initial=0)) + 1):
         lanes = np.zeros((last + 1) * 64, np.uint8)
@@ -138,27 +141,27 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int, first_bits: lis
         at = np.flatnonzero(valid)
         skip, by = divmod(d, 64)
         by_ = np.uint64(by)
-        one = two = over = np.zeros(len(at), np.uint64)
+        count = [np.full(len(at), 0xFFFFFFFFFFFFFFFF if start >> p & 1 else 0, np.uint64) for p in range(places)]
+        over = np.zeros(len(at), np.uint64)
         for k, b in enumerate(first_bits):
             row = planes[b]
             lo = row[np.minimum(at + skip, last)]
             if by:
                 lo = (lo >> by_) | (row[np.minimum(at + skip + 1, last)] << np.uint64(64 - by))
-            differs = row[at] ^ lo
-            carry = one & differs
-            one = one ^ differs
-            over = over | (two & carry)
-            two = two ^ carry
+            carry = row[at] ^ lo
+            for p in range(places):
+                count[p], carry = count[p] ^ carry, count[p] & carry
+            over = over | carry
             if k % 8 == 7:
                 alive = (valid[at] & ~over) != 0
                 if not alive.all():
-                    at, one, two, over = at[alive], one[alive], two[alive], over[alive]
+                    at, over = at[alive], over[alive]
+                    count = [c[alive] for c in count]
                     if not len(at):
                         break
         if not len(at):
             continue
-        beyond = (over | (one & two), over | two, over | one | two)[2 - radius] if radius < 3 else over
-        hits = valid[at] & ~beyond
+        hits = valid[at] & ~over
         some = hits != 0
         if some.any():
             bits = np.unpackbits(hits[some].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -241,11 +244,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, radius: int = 3) -> DataFrame:
-    """The documents of ``docs`` that name their component, with their own columns: one of each near-copy group.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, radius: int = 3, confirmed: bool = False) -> DataFrame:
+    """One document of each near-copy group of ``docs``, that with the smallest id, with their own columns.
 
-    Documents without an id can't name a component; they stay.
+    Linked are fingerprints within ``radius`` bits. With ``confirmed``, linked are texts whose shingle sets have an exact
+    Jaccard likeness of 0.8 or more; fingerprints then only spare comparisons (see near_texts). Documents without an id
+    can't name a component; they stay.
     """
+    if confirmed:
+        from recollect.llm import near_texts
+
+        return near_texts.drop_near_copies(docs, id_col, text_col, words_each)
     marks = near_components(docs, id_col, text_col, words_each, radius)
     gone = marks.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__id"))
     return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
