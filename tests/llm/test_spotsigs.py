@@ -67,3 +67,83 @@ def test_odd_tables(spark):
     assert ss.compare_with_edits(one.limit(0)).count() == 0
     ties = spark.createDataFrame([(5, "b"), (5, "a"), (None, "c"), (None, None)], "doc_id long, text string")
     assert ss.compare_with_edits(ties, blocks=3).count() == 4
+
+
+def smallest_of_component(ids, sets):
+    """Of each id the smallest that Jaccard links of 0.8 or more reach, by comparing all pairs."""
+    root = dict(enumerate(range(len(ids))))
+    moved = True
+    links = [(i, j) for i in range(len(ids)) for j in range(i) if (sets[i] or sets[j]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) or sets[i] == sets[j]]
+    while moved:
+        moved = False
+        for i, j in links:
+            least = min(root[i], root[j])
+            moved |= root[i] != root[j]
+            root[i] = root[j] = least
+    known = {}
+    for k, r in root.items():
+        if ids[k] is not None:
+            known[r] = min(known.get(r, ids[k]), ids[k])
+    return [known.get(root[k]) for k in range(len(ids))], len(links)
+
+
+def near_corpus():
+    rng = random.Random(11)
+    anchors, words = sorted(ss.ANCHORS)[:20], [f"w{i}" for i in range(300)]
+    out = [None, "", "the", "of house", "!!!"]
+    for n in (8, 12, 40, 100, 300):
+        for _ in range(8):
+            text = [rng.choice(anchors) if k % 3 == 0 else rng.choice(words) for k in range(n)]
+            out.append(" ".join(text))
+            for part in (0.02, 0.03, 0.05, 0.1):  # copies from well above to well below the threshold, and copies of them
+                text = [rng.choice(words) if k % 3 and rng.random() < part else w for k, w in enumerate(text)]
+                out.append(" ".join(text))
+    base = [rng.choice(anchors) if k % 3 == 0 else rng.choice(words) for k in range(90)]
+    out += [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(90) if k % 3] * 3  # a long file of near copies
+    rng.shuffle(out)
+    return out
+
+
+def test_classes_against_all_pairs(spark):
+    texts = near_corpus()
+    ids = [k if k % 50 else None for k in range(len(texts))]
+    sets = [set(x.tolist()) for x in ss.signature_sets([t or "" for t in texts])]
+    want, n = smallest_of_component(ids, sets)
+    assert n > 5_000 and len(set(want)) > 40
+    df = spark.createDataFrame([(i, t, 5) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, class_id int").repartition(6)
+    got = ss.compare_with_edits(df).collect()
+    assert len(got) == len(texts)
+    assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == {i: w for i, w in zip(ids, want, strict=True) if i is not None}
+    assert sorted(str(r.class_id) for r in got if r.doc_id is None) == sorted(str(w) for i, w in zip(ids, want, strict=True) if i is None)
+
+
+def test_alike_sets_share_a_file():
+    rng = np.random.default_rng(1)
+    load = rng.integers(0, 9, 1 << 16)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 32, rng.integers(1, 400), dtype=np.uint64).astype(np.uint32))
+        b = a.copy()[rng.random(len(a)) < 0.92]
+        b = np.unique(np.r_[b, rng.integers(0, 1 << 32, rng.integers(0, 9), dtype=np.uint64).astype(np.uint32)])
+        if ss.likeness(a, b) >= 0.8:
+            owner, keys = ss.file_keys(ss.pa.array([a.tobytes(), b.tobytes()]), load)
+            assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+
+
+def test_place():
+    rng = np.random.default_rng(2)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 6, (12, 2))})
+    for k in range(7):
+        for h in range(7):
+            got = ss._place(tuple(np.array(x) for x in zip(*edges, strict=True)), np.array([k, 3]), np.array([h, 3]))
+            assert got[0] == sum(e <= (k, h) for e in edges) and got[1] == sum(e <= (3, 3) for e in edges)
+
+
+@pytest.mark.parametrize("blocks", [1, 9])
+def test_rows_without_ids_and_repeated_ids_follow_each_other(spark, blocks):
+    rows = [(None, f"the word {i % 7} of x{i % 5}") for i in range(60)] + [(5, f"an other {i}") for i in range(60)] + [(9, "the end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ss.compare_with_edits(df, blocks=blocks).collect()
+    shas = {r.edited_sha256 for r in got}
+    assert len(got) == len(rows) and sum(r.doc_id == 5 for r in got) == 60
+    texts = {t for _, t in rows}
+    assert shas <= {hashlib.sha256(ss.edited(a, b).encode()).hexdigest() for a in texts for b in texts}
