@@ -1,18 +1,21 @@
 """WARC archives as a chunked record table.
 
-Writing: payloads reach the workers in chunks of bounded size and go out through one open gzip member a record, while
-a SHA-1 runs along. Reading: archives are decompressed in blocks, and each payload comes out as rows of record
-identifier and chunk number, every row with the size and digest of the payload so far. Neither side ever holds a whole
-record, so a payload may be larger than a worker's memory.
-
-Archives go to the shared folder (any file system that Arrow opens by its address). A writer's file counts only once
-its task has ended and its name stands in the written manifest; what a lost attempt left is never read.
+Writing: each payload is cut into chunks of bounded size where it is read, and only chunks travel from there: to a worker
+that sends them out through one open gzip member a record, while a SHA-1 runs along. Which record is the response is
+settled beforehand on digests alone. Reading: archives are decompressed in blocks, and each payload comes out as rows of
+record identifier and chunk number, every row with the size and digest of the payload so far. Neither writer nor reader
+ever holds a whole record, so a payload may be larger than a worker's memory.
+
+Archives go to the shared folder (any file system that Arrow opens by its address; s3a and abfss are read as s3 and
+abfs). A writer's file counts only once its task has ended and its name stands in the written manifest; what a lost
+attempt left is never read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import uuid
 import zlib
@@ -24,11 +27,14 @@ from pyspark.sql import functions as F
 
 from recollect.llm.common import Scratch, join_spread
 
-#: Characters of a payload in a chunk row on its way to the writer; bytes in a chunk row read back.
+#: Bytes of a payload in a chunk row, on its way to the writer and read back.
 CHUNK = 1 << 16
-#: Bytes of an archive after which the next record starts another.
+#: Bytes of an archive after which the next record starts another; bytes of archives that one task reads, about.
 ARCHIVE_BYTES = 1 << 28
+TASK_BYTES = 1 << 30
 _BLOCK = 1 << 18
+#: Addresses that Spark and Arrow spell differently.
+_ARROW = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNKS = (
@@ -41,60 +47,77 @@ def base32_sha1(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def plan_records(pages: DataFrame, scratch: Scratch, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """(id, url, payload, size, sha1, record_type, refers_to) for each page.
+def plan_chunks(
+    pages: DataFrame, scratch: Scratch, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk: int = CHUNK
+) -> DataFrame:
+    """The payloads in chunk rows, those of a record together and in order, and what is written of each record.
 
-    Of equal payloads of at least ``min_bytes`` bytes the one with the largest id is the response and the others
-    revisit it; so are rows that repeat id and payload all responses. A null id is below any other; where no record of
-    a payload has an id, all are responses.
+    Columns: id, url, size, sha1, record_type, refers_to, refers_url, row, k, data. Payloads are equal when SHA-1, XXH64
+    and size agree. Of equal payloads of at least ``min_bytes`` bytes the one with the largest id is the response and the
+    others revisit it, in one row without data; rows that repeat id and payload of the response are responses too. A
+    null id is below any other; where no record of a payload has an id, all are responses.
     """
-    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(
-        F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"),
-        F.octet_length(payload).cast("long").alias("size"), F.sha1(payload).alias("sha1"),
-    )
-    groups = rows.groupBy("sha1", "size").agg(F.max("id").alias("first"), F.count("*").alias("n"))
-    groups = scratch.save(groups.filter(F.col("size") >= min_bytes))
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    rows = join_spread(rows, groups, ["sha1", "size"], ["first"], F.col("n"), total, F.struct("id", "url"))
-    revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    return rows.select(
-        "id", "url", "payload", "size", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to")
+        F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload")
     )
+    named = [F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"), F.xxhash64("payload").alias("proof")]
+    key = ["sha1", "size", "proof"]
+    n_chunks = F.greatest(F.ceil(F.col("size") / chunk), F.lit(1)).cast("int")
+    groups = rows.select("id", "url", *named).groupBy(*key).agg(F.max(F.struct("id", "url")).alias("first"), F.count("*").alias("n"))
+    groups = scratch.save(groups.filter(F.col("size") >= min_bytes).withColumn("rows", F.col("n") * n_chunks))
+    total = groups.agg(F.sum("rows")).first()[0] or 0
+    cut = rows.select("id", "url", *named, F.monotonically_increasing_id().alias("row"), "payload")
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("k"))
+    # bytes of a binary column are sliced where they lie: each chunk costs its own length
+    cut = cut.select("id", "url", *key, "row", "k", F.substring("payload", F.col("k") * chunk + 1, F.lit(chunk)).alias("data"))
+    cut = join_spread(cut, groups, key, ["first"], F.col("rows"), total, F.struct("id", "url"))
+    revisit = F.col("first.id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))
+    cut = cut.withColumn("revisit", revisit).filter("NOT revisit OR k = 0").select(
+        "id", "url", "size", "sha1", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"),
+        F.when(F.col("revisit"), F.col("first.id")).alias("refers_to"), F.when(F.col("revisit"), F.col("first.url")).alias("refers_url"),
+        "row", "k", F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("data")).alias("data"),
+    )
+    # the chunks of a record come from one task, and so to one; here they are put in order
+    return cut.sortWithinPartitions("sha1", "size", "id", "url", "row", "k")
 
 
-def _address(page: int | None) -> str:
-    return "<urn:page:none>" if page is None else f"<urn:page:{page}>"
+def _address(url: str) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def _header(kind: str, page: int | None, refers: int | None, url: str | None, size: int, sha1: str, length: int) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_address(page)}", f"WARC-Date: {_DATE}"]
+def _header(record: str, kind: str, page: int | None, url: str | None, refers: int | None, refers_url: str | None, size: int, sha1: str, length: int) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record}", f"WARC-Date: {_DATE}"]
     if url is not None:
-        target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
-        lines.append(f"WARC-Target-URI: {target}")
+        lines.append(f"WARC-Target-URI: {_address(url)}")
     lines += [f"WARC-Payload-Digest: sha1:{base32_sha1(bytes.fromhex(sha1))}", f"X-Payload-Length: {size}"]
+    if page is not None:
+        lines.append(f"X-Page-ID: {page}")
     if kind == "revisit":
-        lines += [f"WARC-Refers-To: {_address(refers)}", f"WARC-Profile: {_PROFILE}"]
+        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To-Date: {_DATE}", f"X-Refers-To-Page-ID: {refers}"]
+        if refers_url is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {_address(refers_url)}")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {length}", "", ""]
     return "\r\n".join(lines).encode()
 
 
-def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write the planned records; gives the manifest (archive, records), which must be saved before it is read."""
-    n = F.greatest(F.ceil(F.char_length("payload") / CHUNK), F.lit(1)).cast("int")
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise("")
-    chunks = records.withColumn("k", F.explode(F.sequence(F.lit(0), F.when(F.col("record_type") == "response", n).otherwise(1) - 1)))
-    chunks = chunks.select("id", "url", "size", "sha1", "record_type", "refers_to", "k", body.substr(F.col("k") * CHUNK + 1, F.lit(CHUNK)).cast("binary").alias("data"))
+def _system(address: str):
+    """The Arrow file system of an address, and the path in it."""
+    from pyarrow import fs
+
+    scheme, mark, rest = address.partition("://")
+    return fs.FileSystem.from_uri(f"{_ARROW.get(scheme, scheme)}://{rest}" if mark else address)
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(folder)
+def write_archives(chunks: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write planned chunks; gives the manifest (archive, records, bytes), which must be saved before it is read."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _system(folder)
         system.create_dir(root)
         out = pack = None
-        done: list[tuple[str, int]] = []
-        name, records_in, left = "", 0, 0
-        sha, stated = hashlib.sha1(), ""
+        done: list[tuple[str, int, int]] = []
+        name, records, left = "", 0, 0
+        sha, stated, row, next_k = hashlib.sha1(), "", None, 0
 
         def end_record() -> None:
             nonlocal pack
@@ -104,36 +127,43 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
                 out.write(pack.compress(b"\r\n\r\n") + pack.flush())
                 pack = None
 
+        def end_archive() -> None:
+            nonlocal out
+            end_record()
+            if out is not None:
+                done.append((f"{folder}/{name}", records, out.tell()))
+                out.close()
+                out = None
+
         for batch in batches:
-            for page, url, size, sha1, kind, refers, k, data in zip(*(batch.column(i) for i in range(8)), strict=True):
-                if k.as_py() == 0:
+            columns = [batch.column(i).to_pylist() for i in range(9)]
+            for page, url, size, sha1, kind, refers, refers_url, own, k, data in zip(*columns, batch.column(9), strict=True):
+                if k == 0:
                     end_record()
                     if out is not None and out.tell() >= archive_bytes:
-                        out.close()
-                        done.append((name, records_in))
-                        out = None
+                        end_archive()
                     if out is None:
-                        name, records_in = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
-                        out = system.open_output_stream(name, compression=None)
-                    kind_, size_ = kind.as_py(), size.as_py()
-                    left = size_ if kind_ == "response" else 0
-                    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size_}\r\n\r\n".encode()
+                        name, records = f"{uuid.uuid4().hex}.warc.gz", 0
+                        out = system.open_output_stream(f"{root}/{name}", compression=None)
+                    left = size if kind == "response" else 0
+                    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
                     pack = zlib.compressobj(4, zlib.DEFLATED, 31)
-                    head = _header(kind_, page.as_py(), refers.as_py(), url.as_py(), size_, sha1.as_py(), len(http) + left)
-                    out.write(pack.compress(head + http))
-                    records_in += 1
-                    sha, stated = hashlib.sha1(), sha1.as_py() if kind_ == "response" else ""
+                    record = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{records}')}>"
+                    out.write(pack.compress(_header(record, kind, page, url, refers, refers_url, size, sha1, len(http) + left) + http))
+                    records += 1
+                    sha, stated, row, next_k = hashlib.sha1(), sha1 if kind == "response" else "", own, 0
+                if (own, k) != (row, next_k):
+                    raise ValueError("the chunks of a payload came apart on their way to the archive")
+                next_k += 1
                 piece = data.as_py()
                 sha.update(piece)
                 left -= len(piece)
                 out.write(pack.compress(piece))
-        end_record()
-        if out is not None:
-            out.close()
-            done.append((name, records_in))
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["archive", "records"])
+        end_archive()
+        kinds = (pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], kinds[i]) for i in range(3)], ["archive", "records", "bytes"])
 
-    return chunks.mapInArrow(write, "archive string, records long")
+    return chunks.mapInArrow(write, "archive string, records long, bytes long")
 
 
 class _Stream:
@@ -175,9 +205,8 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.lower(): v for k, _, v in (line.partition(": ") for line in lines if line)}
 
 
-def _page(address: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:page:(-?\d+)>", address or "")
-    return int(m[1]) if m else None
+def _number(field: str | None) -> int | None:
+    return None if field is None else int(field)
 
 
 def read_records(source, archive: str, with_data: bool, chunk: int = CHUNK) -> Iterator[tuple]:
@@ -190,7 +219,7 @@ def read_records(source, archive: str, with_data: bool, chunk: int = CHUNK) -> I
         left = length - len(http)
         sha, size, no = hashlib.sha1(), 0, 0
         stated = f.get("warc-payload-digest", "").removeprefix("sha1:")
-        fixed = (archive, f["warc-record-id"], f["warc-type"], _page(f["warc-record-id"]), _page(f.get("warc-refers-to")), f.get("warc-target-uri"), int(f["x-payload-length"]), stated)
+        fixed = (archive, f["warc-record-id"], f["warc-type"], _number(f.get("x-page-id")), _number(f.get("x-refers-to-page-id")), f.get("warc-target-uri"), int(f["x-payload-length"]), stated)
         while True:
             data = stream.take(min(left, chunk))
             if left and not data:
@@ -216,15 +245,13 @@ def read_chunks(manifest: DataFrame, with_data: bool = True, chunk: int = CHUNK)
     schema = pa.schema([(n, kinds[x.split()[1]]) for n, x in zip(names, _CHUNKS.split(", "), strict=True)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         rows: list[tuple] = []
         for batch in batches:
             for archive in batch.column(0).to_pylist():
-                system, path = fs.FileSystem.from_uri(archive)
+                system, path = _system(archive)
                 with system.open_input_stream(path, compression=None) as source:
                     held = 0
                     for row in read_records(source, archive, with_data, chunk):
@@ -236,20 +263,21 @@ def read_chunks(manifest: DataFrame, with_data: bool = True, chunk: int = CHUNK)
         if rows:
             yield flush()
 
-    # an archive a task: left to itself Spark would read this short list of names, and so all archives, in one
-    return manifest.select("archive").repartition(max(1, manifest.count()), "archive").mapInArrow(read, _CHUNKS)
+    # left to itself Spark would read this short list of names, and so all archives, in one task
+    archives, held = manifest.agg(F.count("*"), F.sum("bytes")).first()
+    tasks = min(archives, max(3 * manifest.sparkSession.sparkContext.defaultParallelism, math.ceil((held or 0) / TASK_BYTES)))
+    return manifest.select("archive").repartition(max(1, tasks)).mapInArrow(read, _CHUNKS)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", with_data: bool = False) -> DataFrame:
-    """Write ``pages`` to archives and give the chunk table read back from them."""
-    scratch = Scratch(pages.sparkSession, "warc")
-    folder = f"{scratch.base}/archives"
-    planned = plan_records(pages, scratch, min_bytes, id_col, url_col, payload_col)
-    manifest = write_archives(planned, folder)
-    scheme = re.match(r"[a-z0-9]+://[^/]*", folder)
-    prefix = scheme[0] if scheme else "file://"
-    manifest = scratch.save(manifest.withColumn("archive", F.concat(F.lit(prefix), F.col("archive"))))
-    return read_chunks(manifest, with_data)
+    """Write ``pages`` to archives and give the chunk table read back from them. Other columns don't matter."""
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "warc")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch.base}/archives")
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    folder = re.sub(r"^file:/+", "file:///", folder)
+    planned = plan_chunks(pages, scratch, min_bytes, id_col, url_col, payload_col)
+    return read_chunks(scratch.save(write_archives(planned, folder)), with_data)
 
 
 def records_of(chunks: DataFrame) -> DataFrame:

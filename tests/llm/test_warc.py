@@ -1,6 +1,8 @@
 import base64
 import gzip
 import hashlib
+import re
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -45,13 +47,26 @@ def test_chunks_rebuild_payloads_and_carry_digests(spark):
 
 def test_archives_are_plain_warc_and_roll_over(spark, tmp_path):
     scratch = Scratch(spark, "t")
-    planned = warc.plan_records(spark.createDataFrame(ROWS, SCHEMA).coalesce(1), scratch)
+    planned = warc.plan_chunks(spark.createDataFrame(ROWS, SCHEMA).coalesce(1), scratch)
     manifest = scratch.save(warc.write_archives(planned.coalesce(1), f"file://{tmp_path}/w", archive_bytes=100))
     rows = manifest.collect()
     assert sum(r.records for r in rows) == len(ROWS) and len(rows) > 3
-    text = b"".join(gzip.open(r.archive).read() for r in rows)
+    text = b"".join(gzip.open(r.archive.removeprefix("file://")).read() for r in rows)
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", text)
+    assert len(set(ids)) == len(ROWS)
     assert text.startswith(b"WARC/1.1\r\nWARC-Type: ") and b"WARC-Target-URI: http://a%0D%0Ax\r\n" in text
 
 
 def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_time_grows_in_proportion_to_the_payload(spark):
+    took = {}
+    for mb in (1, 8, 128):
+        pages = spark.range(1).select(F.lit(mb).alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("<p>é and so on</p>"), F.lit((mb << 20) // 19)).alias("html"))
+        began = time.time()
+        last = warc.records_of(warc.round_trip(pages)).collect()
+        took[mb] = time.time() - began
+        assert len(last) == 1 and last[0].payload_bytes == (mb << 20) // 19 * 19
+    assert took[128] < 16 * max(took[8], 1.5)
