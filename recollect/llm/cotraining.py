@@ -1,11 +1,13 @@
 """Quality classifier by co-training.
 
 Two views of a document are learned apart: what its text says and how it is written, and what is known of the page
-(source, language, length). Each round both views mark the documents of an unlabelled pool that they are surest of,
-and each learns those marks of the *other* view as labels. In the end both are calibrated on labelled documents that
+(source, language, length). Each round both views score every unlabelled document; of those that a view is surest of it
+draws some, and the *other* view learns its marks as labels. In the end both are calibrated on labelled documents that
 neither has seen, and a weighted sum of the calibrated views scores every document.
 
-The classifiers are fitted on the driver, on features of a bounded sample drawn by hash; scoring runs over all documents.
+Features are written once, and every round and the last scoring run over that table on the cluster, thresholds from
+quantiles of the whole pool included. The classifiers are fitted on the driver, on the features of about LABELLED labelled
+documents and at most about 2 * MARKS a view and round of those it was taught, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -19,12 +21,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents, and documents of the pool, that the classifiers are fitted on, about.
+from recollect.llm.common import Scratch
+
+#: Labelled documents that the classifiers are fitted on, and marks of each kind that a view teaches in a round, about.
 LABELLED = 4_000
-POOL = 4_000
+MARKS = 600
 ROUNDS = 4
 #: Share of the pool that a view marks in a round, and how sure it must be.
 MARKED, SURE = 0.1, 0.9
+#: Stands for a missing id.
+_NO_ID = -(1 << 63)
 _BITS = 12
 _STATS = 8
 CONTENT = (1 << _BITS) + _STATS
@@ -101,13 +107,6 @@ def fit_logistic(x: Features, y: np.ndarray, weight: np.ndarray, columns: int, d
     return w
 
 
-def _take(x: Features, rows: np.ndarray, n: int) -> Features:
-    to = np.full(n, -1)
-    to[rows] = np.arange(len(rows))
-    keep = to[x[0]] >= 0
-    return to[x[0][keep]], x[1][keep], x[2][keep]
-
-
 @dataclass
 class Model:
     content: np.ndarray
@@ -126,102 +125,154 @@ def _dense(columns: list[np.ndarray]) -> Features:
     return np.tile(np.arange(n), len(columns)), np.repeat(np.arange(len(columns)), n), np.concatenate(columns)
 
 
-def co_train(content: Features, meta: Features, labels: np.ndarray, keys: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """labels: 0, 1, or -1 for the pool. keys: hashes that deal a quarter of the labelled rows to calibration."""
-    n = len(labels)
-    known = np.flatnonzero(labels >= 0)
-    held = known[keys[known] % 4 == 0]
-    own = known[keys[known] % 4 != 0]
-    if len(set(labels[own].tolist())) < 2 or len(set(labels[held].tolist())) < 2:
-        share = labels[known].mean() if len(known) else 0.5
-        flat = np.array([1.0, 0.0])
-        odds = np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
-        return Model(np.zeros(CONTENT + 1), np.zeros(META + 1), (flat, flat), np.array([0.0, 0.0, odds]))
-    views = [(content, CONTENT), (meta, META)]
-    marks: list[dict[int, int]] = [{}, {}]  # what each view has learned of the pool
-    pool = np.flatnonzero(labels < 0)
-    weights: list[np.ndarray] = []
-    share = labels[own].mean()
-    for turn in range(rounds + 1):
-        weights = []
-        for (x, columns), got in zip(views, marks, strict=True):
-            extra = np.array(sorted(got), int)
-            rows = np.r_[own, extra]
-            y = np.r_[labels[own], np.array([got[i] for i in extra.tolist()], int)]
-            weight = np.r_[np.ones(len(own)), np.full(len(extra), 0.5)]
-            weights.append(fit_logistic(_take(x, rows, n), y.astype(float), weight, columns))
-        if turn == rounds or not len(pool):
-            break
-        for v, ((x, _), w) in enumerate(zip(views, weights, strict=True)):
-            p = _sigmoid(_dot(x, w, n))[pool]
-            most = max(1, round(MARKED * len(pool)))
-            top = np.argsort(-p, kind="stable")[: max(1, round(most * share))]
-            low = np.argsort(p, kind="stable")[: max(1, round(most * (1 - share)))]
-            marks[1 - v] |= {int(pool[i]): 1 for i in top if p[i] >= SURE} | {int(pool[i]): 0 for i in low if p[i] <= 1 - SURE}
-    y, ones = labels[held].astype(float), np.ones(len(held))
-    logits = [_dot(x, w, n)[held] for (x, _), w in zip(views, weights, strict=True)]
-    fits = [fit_logistic(_dense([z]), y, ones, 1, 1e-3) for z in logits]
-    ready = [f[0] * z + f[1] for f, z in zip(fits, logits, strict=True)]
-    return Model(weights[0], weights[1], (fits[0], fits[1]), fit_logistic(_dense(ready), y, ones, 2, 1e-3))
+@dataclass
+class Rows:
+    """Features of some documents, as they are written: 16-bit columns and 32-bit values."""
+
+    ci: list[bytes]
+    cv: list[bytes]
+    mi: list[bytes]
+
+    def __add__(self, other: Rows) -> Rows:
+        return Rows(self.ci + other.ci, self.cv + other.cv, self.mi + other.mi)
+
+    def at(self, rows: np.ndarray) -> Rows:
+        return Rows(*([x[int(i)] for i in rows] for x in (self.ci, self.cv, self.mi)))
+
+    def content(self) -> Features:
+        cols = np.frombuffer(b"".join(self.ci), "<u2").astype(np.int64)
+        return np.repeat(np.arange(len(self.ci)), [len(x) // 2 for x in self.ci]), cols, np.frombuffer(b"".join(self.cv), "<f4").astype(float)
 
+    def meta(self) -> Features:
+        cols = np.frombuffer(b"".join(self.mi), "<u2").astype(np.int64)
+        return np.repeat(np.arange(len(self.mi)), [len(x) // 2 for x in self.mi]), cols, np.ones(len(cols))
 
-def _drawn(key: Column, share: float) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit("quality")), F.lit(1 << 20)) < min(1.0, share) * (1 << 20)
 
+_VIEWS = ((Rows.content, CONTENT), (Rows.meta, META))
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Fit on about ``labelled`` labelled documents and ``pool`` others; their features are all that reaches the driver."""
-    key = F.col(id_col).cast("long")
-    given = labels.select(key.alias("key"), F.col(label_col).cast("int").alias("y")).filter("key IS NOT NULL AND y IN (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
-    ids = docs.select(key.alias("key")).filter("key IS NOT NULL")
-    known = given.filter(_drawn(F.col("key"), labelled / max(1, given.count())))
-    others = ids.filter(_drawn(F.col("key"), pool / max(1, ids.count()))).join(given, "key", "left_anti").distinct().withColumn("y", F.lit(-1))
-    sample = known.unionByName(others)  # about labelled + pool rows, whatever the table's size
-    rows = docs.select(key.alias("key"), F.col("text").cast("string").alias("t"), F.col("source").cast("string").alias("s"), F.col("lang").cast("string").alias("g"), F.char_length(F.col("text").cast("string")).alias("n"))
-    rows = rows.join(F.broadcast(sample), "key")
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def featurise(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id") -> DataFrame:
+    """The features of each row of ``docs``, written: id, key (the id, or a number for none), d (a hash of them), ci, cv, mi."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), F.col("source").cast("string").alias("s"), F.col("lang").cast("string").alias("g"), F.char_length(text).alias("n"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 text, source, lang, size = (part.column(i) for i in range(1, 5))
                 out = []
-                for x in (content_features(text.cast(pa.binary()).to_pylist()), meta_features(source.to_pylist(), lang.to_pylist(), size.to_pylist())):
+                for x, kinds in ((content_features(text.cast(pa.binary()).to_pylist()), ("<u2", "<f4")), (meta_features(source.to_pylist(), lang.to_pylist(), size.to_pylist()), ("<u2",))):
                     edges = np.searchsorted(x[0], np.arange(part.num_rows + 1))
-                    out += [pa.array([c[a:b].astype(k) for a, b in zip(edges, edges[1:], strict=False)], pa.list_(t)) for c, k, t in ((x[1], np.int32, pa.int32()), (x[2], np.float32, pa.float32()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), *out], ["key", "y", "ci", "cv", "mi", "mv"])
+                    out += [[c[a:b].astype(k).tobytes() for a, b in zip(edges, edges[1:], strict=False)] for c, k in zip(x[1:], kinds, strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.binary()) for c in out]], ["id", "ci", "cv", "mi"])
+
+    found = rows.mapInArrow(each, "id long, ci binary, cv binary, mi binary")
+    return scratch.save(found.withColumn("key", F.coalesce("id", F.lit(_NO_ID))).withColumn("d", F.xxhash64("ci", "cv", "mi")))
 
-    got = rows.mapInArrow(features, "key long, y int, ci array<int>, cv array<float>, mi array<int>, mv array<float>").toArrow()
-    order = np.argsort(got.column("key").to_numpy(), kind="stable")
-    got = got.take(pa.array(order)).combine_chunks()
 
-    def joined(i: str, v: str) -> Features:
-        lists = got.column(i).combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-        values = got.column(v).combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float32()))
-        sizes = np.array([len(x) for x in lists], int)
-        return np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy().astype(int), values.flatten().to_numpy().astype(float)
+def _logits(features: DataFrame, weights: list[np.ndarray]) -> DataFrame:
+    """(key, d, a, b): what the two views say of each row."""
+    shared = features.sparkSession.sparkContext.broadcast(weights)
 
-    keys = np.array([xxhash.xxh32_intdigest(str(k)) for k in got.column("key").to_pylist()], np.int64)
-    return co_train(joined("ci", "cv"), joined("mi", "mv"), got.column("y").to_numpy().astype(int), keys)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = Rows(*(batch.column(c).to_pylist() for c in range(2, 5)))
+            z = [pa.array(_dot(view(rows), w, batch.num_rows)) for (view, _), w in zip(_VIEWS, shared.value, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *z], ["key", "d", "a", "b"])
 
+    return features.select("key", "d", "ci", "cv", "mi").mapInArrow(each, "key long, d long, a double, b double")
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """One row for each row of ``docs``: id, score (probability of good quality), quality_pred, content_score, meta_score.
+
+def _collected(features: DataFrame, wanted: DataFrame, *columns: str) -> tuple[Rows, list[np.ndarray]]:
+    """One row of features for each row of ``wanted`` (key or key and d; some thousand rows), with ``columns`` and the key."""
+    on = [c for c in ("key", "d") if c in wanted.columns]
+    named = list(dict.fromkeys(("key", *columns)))
+    one = features.join(F.broadcast(wanted), on).groupBy(*named).agg(F.min(F.struct("ci", "cv", "mi")).alias("x"))
+    got = one.select(*named, "x.*").toArrow().sort_by([(c, "ascending") for c in on])
+    return Rows(*(got.column(c).to_pylist() for c in ("ci", "cv", "mi"))), [got.column(c).to_numpy() for c in named]
+
+
+def _fit(v: int, rows: Rows, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    view, columns = _VIEWS[v]
+    return fit_logistic(view(rows), y.astype(float), weight, columns)
+
+
+def marks_of(z: Column, low: float, high: float) -> Column:
+    """1 or 0 where a view is sure enough of a document and surer than of most, else null."""
+    sure = float(np.log(SURE / (1 - SURE)))
+    return F.when(z >= max(high, sure), 1).when(z <= min(low, -sure), 0)
+
+
+def train(features: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", label_col: str = "quality", labelled: int = LABELLED, marks: int = MARKS, rounds: int = ROUNDS) -> Model:
+    """Fit on the written features and ``labels``. An id with several labels has the largest; ids without row don't count."""
+    given = labels.select(F.col(id_col).cast("long").alias("key"), F.col(label_col).cast("int").alias("y")).filter("key IS NOT NULL AND y IN (0, 1)")
+    given = scratch.save(given.groupBy("key").agg(F.max("y").alias("y")))
+    drawn = lambda salt, share, *by: F.pmod(F.xxhash64(*by, F.lit(salt)), F.lit(1 << 20)) < F.least(F.lit(1.0), share) * (1 << 20)
+    sample = given.filter(drawn("quality", F.lit(labelled / max(1, given.count())), "key"))
+    rows, (keys, y) = _collected(features, sample, "y")
+    deal = np.array([xxhash.xxh32_intdigest(str(k)) % 4 for k in keys.tolist()], int)  # a quarter calibrates
+    held, own = np.flatnonzero(deal == 0), np.flatnonzero(deal != 0)
+    if len(set(y[own].tolist())) < 2 or len(set(y[held].tolist())) < 2:
+        share = y.mean() if len(y) else 0.5
+        flat = np.array([1.0, 0.0])
+        odds = np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
+        return Model(np.zeros(CONTENT + 1), np.zeros(META + 1), (flat, flat), np.array([0.0, 0.0, odds]))
+    share = float(y[own].mean())
+    taught: list[dict[tuple[int, int], tuple[int, Rows]]] = [{}, {}]  # what each view has learned of the pool
+    for turn in range(rounds + 1):
+        weights = []
+        for v, extra in enumerate(taught):
+            more = [extra[k] for k in sorted(extra)]
+            known = Rows(*([x for _, r in more for x in getattr(r, c)] for c in ("ci", "cv", "mi")))
+            weight = np.r_[np.ones(len(own)), np.full(len(more), 0.5)]
+            weights.append(_fit(v, rows.at(own) + known, np.r_[y[own], [m for m, _ in more]], weight))
+        if turn == rounds:
+            break
+        pool = scratch.save(_logits(features, weights).join(given.select("key"), "key", "left_anti").dropDuplicates(["key", "d"]))
+        cuts = pool.approxQuantile(["a", "b"], [MARKED * (1 - share), 1 - MARKED * share], 1e-3)
+        if not cuts[0]:
+            continue
+        marked = pool.select("key", "d", *[marks_of(F.col(c), *q).alias(f"m{c}") for c, q in zip("ab", cuts, strict=True)])
+        sizes = marked.agg(*[F.count_if(F.col(f"m{c}") == k).alias(f"{c}{k}") for c in "ab" for k in (0, 1)]).first()
+        take = lambda c: F.when(drawn(f"{c}{turn}", F.when(F.col(f"m{c}") == 1, marks / max(1, sizes[f"{c}1"])).otherwise(marks / max(1, sizes[f"{c}0"])), "key", "d"), F.col(f"m{c}"))
+        chosen = marked.select("key", "d", take("a").alias("ya"), take("b").alias("yb")).filter("ya IS NOT NULL OR yb IS NOT NULL")
+        chosen = chosen.select("key", "d", F.coalesce("ya", F.lit(-1)).alias("ya"), F.coalesce("yb", F.lit(-1)).alias("yb"))
+        extra, (own_keys, digest, ya, yb) = _collected(features, chosen, "d", "ya", "yb")
+        for i, name in enumerate(zip(own_keys.tolist(), digest.tolist(), strict=True)):
+            one = extra.at([i])
+            for v, m in ((1, ya[i]), (0, yb[i])):
+                if m >= 0:
+                    taught[v][name] = (int(m), one)
+        scratch.drop(pool)
+    ones = np.ones(len(held))
+    logits = [_dot(view(rows), w, len(y))[held] for (view, _), w in zip(_VIEWS, weights, strict=True)]
+    fits = [fit_logistic(_dense([z]), y[held].astype(float), ones, 1, 1e-3) for z in logits]
+    ready = [f[0] * z + f[1] for f, z in zip(fits, logits, strict=True)]
+    return Model(weights[0], weights[1], (fits[0], fits[1]), fit_logistic(_dense(ready), y[held].astype(float), ones, 2, 1e-3))
+
+
+def score(features: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """One row for each row of written features: id, score (probability of good quality), quality_pred, content_score, meta_score.
 
     Null texts count as empty, null metadata as a value of its own; other columns don't matter. With no labels, or
     labels of one kind, every document gets the share of good ones (0.5 of none).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("t"), F.col("source").cast("string").alias("s"), F.col("lang").cast("string").alias("g"), F.char_length(F.col("text").cast("string")).alias("n"))
+    shared = features.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                text, source, lang, size = (part.column(i) for i in range(1, 5))
-                p, a, b = m.scores(content_features(text.cast(pa.binary()).to_pylist()), meta_features(source.to_pylist(), lang.to_pylist(), size.to_pylist()), part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(a), pa.array(b)], ["id", "score", "quality_pred", "content_score", "meta_score"])
+            rows = Rows(*(batch.column(c).to_pylist() for c in range(1, 4)))
+            p, a, b = m.scores(rows.content(), rows.meta(), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(a), pa.array(b)], ["id", "score", "quality_pred", "content_score", "meta_score"])
 
-    out = rows.mapInArrow(each, "id long, score double, quality_pred int, content_score double, meta_score double")
+    out = features.select("id", "ci", "cv", "mi").mapInArrow(each, "id long, score double, quality_pred int, content_score double, meta_score double")
     return out.withColumnRenamed("id", id_col)
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` scored by what their labels and the two views of them teach; see ``train`` and ``score``."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    features = featurise(docs, scratch, id_col)
+    return score(features, train(features, labels, scratch, id_col), id_col)
