@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import Scratch, join_spread
+from recollect.llm.common import HEAVY_ROWS, HEAVY_SHARE, Scratch
 
 #: Bytes of a payload in a chunk row, on its way to the writer and read back.
 CHUNK = 1 << 16
@@ -50,42 +50,44 @@ def base32_sha1(digest: bytes) -> str:
 def plan_chunks(
     pages: DataFrame, scratch: Scratch, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk: int = CHUNK
 ) -> DataFrame:
-    """The payloads in chunk rows, those of a record together and in order, and what is written of each record.
+    """The payloads in chunk rows, those of a record together and in order, and before them what is to be known of each.
 
-    Columns: id, url, size, sha1, record_type, refers_to, refers_url, row, k, data. Payloads are equal when SHA-1, XXH64
-    and size agree. Of equal payloads of at least ``min_bytes`` bytes the one with the largest id is the response and the
-    others revisit it, in one row without data; rows that repeat id and payload of the response are responses too. A
-    null id is below any other; where no record of a payload has an id, all are responses.
+    Columns: sha1, size, proof (a second hash), first, id, url, row, k, data. Payloads are equal when SHA-1, XXH64 and size
+    agree. Of equal payloads of at least ``min_bytes`` bytes that with the largest id is the response; its id is ``first``,
+    told in a row without data that comes before the chunks, or on the chunks themselves where a payload is so common that
+    its records are spread over the tasks.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload")
     )
-    named = [F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"), F.xxhash64("payload").alias("proof")]
     key = ["sha1", "size", "proof"]
+    named = [F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"), F.xxhash64("payload").alias("proof")]
     n_chunks = F.greatest(F.ceil(F.col("size") / chunk), F.lit(1)).cast("int")
-    groups = rows.select("id", "url", *named).groupBy(*key).agg(F.max(F.struct("id", "url")).alias("first"), F.count("*").alias("n"))
-    groups = scratch.save(groups.filter(F.col("size") >= min_bytes).withColumn("rows", F.col("n") * n_chunks))
+    groups = rows.select("id", *named).groupBy(*key).agg(F.max("id").alias("first"), F.count("*").alias("n"))
+    groups = scratch.save(groups.filter((F.col("size") >= min_bytes) & (F.col("n") > 1) & F.col("first").isNotNull()).withColumn("rows", F.col("n") * n_chunks))
     total = groups.agg(F.sum("rows")).first()[0] or 0
+    common = F.col("rows") >= max(HEAVY_ROWS, total // HEAVY_SHARE)  # at most HEAVY_SHARE payloads
     cut = rows.select("id", "url", *named, F.monotonically_increasing_id().alias("row"), "payload")
-    cut = cut.select("*", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("k"))
+    cut = cut.join(F.broadcast(groups.filter(common).select(*key, "first")), key, "left")
+    # of what is known to be a revisit here one row without data is enough
+    again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.when(again, 0).otherwise(n_chunks - 1))).alias("k"))
     # bytes of a binary column are sliced where they lie: each chunk costs its own length
-    cut = cut.select("id", "url", *key, "row", "k", F.substring("payload", F.col("k") * chunk + 1, F.lit(chunk)).alias("data"))
-    cut = join_spread(cut, groups, key, ["first"], F.col("rows"), total, F.struct("id", "url"))
-    revisit = F.col("first.id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))
-    cut = cut.withColumn("revisit", revisit).filter("NOT revisit OR k = 0").select(
-        "id", "url", "size", "sha1", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"),
-        F.when(F.col("revisit"), F.col("first.id")).alias("refers_to"), F.when(F.col("revisit"), F.col("first.url")).alias("refers_url"),
-        "row", "k", F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("data")).alias("data"),
-    )
-    # the chunks of a record come from one task, and so to one; here they are put in order
-    return cut.sortWithinPartitions("sha1", "size", "id", "url", "row", "k")
+    data = F.when(again, F.lit(b"")).otherwise(F.substring("payload", F.col("k") * chunk + 1, F.lit(chunk)))
+    cut = cut.select(F.when(F.col("first").isNotNull(), F.xxhash64("id", "url").cast("string")).otherwise(F.col("sha1")).alias("to"), *key, "first", "id", "url", "row", "k", data.alias("data"))
+    none = lambda kind: F.lit(None).cast(kind)
+    told = groups.filter(~common).select(
+        F.col("sha1").alias("to"), *key, "first", none("long").alias("id"), none("string").alias("url"), none("long").alias("row"), F.lit(-1).alias("k"), none("binary").alias("data")
+    )
+    dealt = cut.unionByName(told).repartition("to")
+    return dealt.sortWithinPartitions(*key, F.col("k") >= 0, "id", "url", "row", "k").drop("to")
 
 
 def _address(url: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def _header(record: str, kind: str, page: int | None, url: str | None, refers: int | None, refers_url: str | None, size: int, sha1: str, length: int) -> bytes:
+def _header(record: str, kind: str, page: int | None, url: str | None, refers: int | None, size: int, sha1: str, length: int) -> bytes:
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record}", f"WARC-Date: {_DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_address(url)}")
@@ -94,8 +96,6 @@ def _header(record: str, kind: str, page: int | None, url: str | None, refers: i
         lines.append(f"X-Page-ID: {page}")
     if kind == "revisit":
         lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To-Date: {_DATE}", f"X-Refers-To-Page-ID: {refers}"]
-        if refers_url is not None:
-            lines.append(f"WARC-Refers-To-Target-URI: {_address(refers_url)}")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {length}", "", ""]
     return "\r\n".join(lines).encode()
 
@@ -109,7 +109,12 @@ def _system(address: str):
 
 
 def write_archives(chunks: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write planned chunks; gives the manifest (archive, records, bytes), which must be saved before it is read."""
+    """Write planned chunks; gives the manifest (archive, records, bytes), which must be saved before it is read.
+
+    A record whose payload has a ``first`` other than its id revisits that; others are responses, so rows that repeat id
+    and payload of a response are responses too. A null id is below any other; where no record of a payload has an id, all
+    are responses.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _system(folder)
@@ -135,9 +140,13 @@ def write_archives(chunks: DataFrame, folder: str, archive_bytes: int = ARCHIVE_
                 out.close()
                 out = None
 
+        told: tuple = ()
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(9)]
-            for page, url, size, sha1, kind, refers, refers_url, own, k, data in zip(*columns, batch.column(9), strict=True):
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            for sha1, size, proof, first, page, url, own, k, data in zip(*columns, batch.column(8), strict=True):
+                if k < 0:
+                    told = (sha1, size, proof, first)
+                    continue
                 if k == 0:
                     end_record()
                     if out is not None and out.tell() >= archive_bytes:
@@ -145,16 +154,21 @@ def write_archives(chunks: DataFrame, folder: str, archive_bytes: int = ARCHIVE_
                     if out is None:
                         name, records = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = system.open_output_stream(f"{root}/{name}", compression=None)
+                    if first is None and told[:3] == (sha1, size, proof):
+                        first = told[3]
+                    kind = "response" if first is None or first == page else "revisit"
                     left = size if kind == "response" else 0
                     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
                     pack = zlib.compressobj(4, zlib.DEFLATED, 31)
                     record = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{records}')}>"
-                    out.write(pack.compress(_header(record, kind, page, url, refers, refers_url, size, sha1, len(http) + left) + http))
+                    out.write(pack.compress(_header(record, kind, page, url, first, size, sha1, len(http) + left) + http))
                     records += 1
                     sha, stated, row, next_k = hashlib.sha1(), sha1 if kind == "response" else "", own, 0
                 if (own, k) != (row, next_k):
                     raise ValueError("the chunks of a payload came apart on their way to the archive")
                 next_k += 1
+                if not stated:
+                    continue
                 piece = data.as_py()
                 sha.update(piece)
                 left -= len(piece)

@@ -57,6 +57,13 @@ def test_archives_are_plain_warc_and_roll_over(spark, tmp_path):
     assert text.startswith(b"WARC/1.1\r\nWARC-Type: ") and b"WARC-Target-URI: http://a%0D%0Ax\r\n" in text
 
 
+def test_a_very_common_payload_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HEAVY_ROWS", 10)
+    rows = [(i, "u", LONG if i % 3 else f"own {i}") for i in range(90)]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.records_of(warc.round_trip(spark.createDataFrame(rows, SCHEMA).repartition(4))).collect()}
+    assert got == {i: ("response", None) if not i % 3 or i == 89 else ("revisit", 89) for i in range(90)}
+
+
 def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
 
