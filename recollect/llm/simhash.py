@@ -110,17 +110,21 @@ def _mask(bits: list[int]) -> int:
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """Bit b of fingerprint i is bit i % 64 of word [b, i // 64]; one spare word at the end of each plane."""
+    """Bit b of fingerprint i is bit i % 64 of word [b, i // 64]; one spare word at the end of each plane.
+
+    A fingerprint is a number of 64 bits or a row of several.
+    """
     words = (len(fps) + 63) // 64
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    packed = np.zeros((BITS, (words + 1) * 8), np.uint8)
+    each = 8 * fps[:1].size if len(fps) else 8
+    bits = np.unpackbits(np.ascontiguousarray(fps.astype("<u8")).view(np.uint8).reshape(-1, each), axis=1, bitorder="little")
+    packed = np.zeros((8 * each, (words + 1) * 8), np.uint8)
     rows = np.packbits(bits.T, axis=1, bitorder="little")
     packed[:, : rows.shape[1]] = rows
     return packed.view("<u8")
 
 
 def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int, first_bits: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one group (groups are contiguous) that differ in at most ``radius`` (0 to 63) bits.
+    """Index pairs of one group (groups are contiguous) that differ in at most ``radius`` bits.
 
     first_bits: the planes in the order to count them; those of the key agree anyway and come last. Counters start so
     that they overflow at radius + 1.

@@ -7,8 +7,8 @@ tells what its prose says. Texts are compared by the Jaccard likeness of their s
 Near copies are found corpus-wide. Two sets can't be more alike than their lengths are, so sets are filed in partitions of
 set length, and in the partition below too if that holds a length within reach. In a partition a set is filed under
 the rarest of its signatures, so many that alike sets must share one (how common signatures are is counted over all
-sets, by bucket). Files are compared by ``set_links``: pairs are dropped on their lengths, then on the part of the smaller
-set still to come, before any set is walked to its end.
+sets, by bucket). Files are compared by ``set_links``: pairs are dropped on their lengths and on a sketch of both sets, then
+on the part of the smaller set still to come, before any set is walked to its end.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm.common import Scratch, join_spread
 from recollect.llm.components import components
-from recollect.llm.set_links import Likeness, links
+from recollect.llm.set_links import Likeness, fingerprints, links
 
 #: Anchors: function words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -49,7 +49,7 @@ _FIELDS = (
 #: Jaccard likeness from which sets are near copies, as a ratio of whole numbers.
 LIKENESS = (4, 5)
 #: Least lengths of the partitions of set length.
-_EDGES = 4 ** np.arange(16)
+_EDGES = 2 ** np.arange(32)
 #: Signatures are counted by their first bits.
 _LOAD_BITS = 16
 #: Bytes of text in a block of ids, about; blocks at most; rows drawn a block to set their edges.
@@ -193,11 +193,15 @@ def file_keys(sets: list[np.ndarray] | pa.Array, load: np.ndarray, ratio: tuple[
 
 
 def _filed(batches: Iterator[pa.RecordBatch], load: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (id, size, sig) under the keys of their files."""
+    """Rows (id, size, sig) under the keys of their files, with fingerprints."""
     for batch in batches:
-        owner, keys = file_keys(batch.column(2), load)
-        at = pa.array(owner)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.zeros(len(owner), np.int64))], ["key", "id", "size", "fp"])
+        owner, sig = _flat(batch.column(2))
+        mixed = (sig.astype(np.uint64) + np.uint64(1)) * _MULT
+        fps = fingerprints(owner, (mixed ^ (mixed >> np.uint64(32))) * _MULT, batch.num_rows)
+        at, keys = file_keys(batch.column(2), load)
+        taken = pa.array(at)
+        columns = [pa.array(keys), batch.column(0).take(taken), batch.column(1).take(taken), *(pa.array(np.ascontiguousarray(fps[at, k])) for k in (0, 1))]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "id", "size", "fp", "fp2"])
 
 
 def near_classes(sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -212,7 +216,7 @@ def near_classes(sets: DataFrame, scratch: Scratch) -> DataFrame:
     load = np.zeros(1 << _LOAD_BITS, np.int64)
     load[counted.column("b").to_numpy()] = counted.column("n").to_numpy()
     shared = spark.sparkContext.broadcast(load)
-    filed = classes.select("node", "size", "sig").mapInArrow(lambda it: _filed(it, shared.value), "key long, id long, size long, fp long")
+    filed = classes.select("node", "size", "sig").mapInArrow(lambda it: _filed(it, shared.value), "key long, id long, size long, fp long, fp2 long")
     like = Likeness(lambda x: np.frombuffer(x, "<u4"), LIKENESS)
     roots = components(links(filed, classes.select(F.col("node").alias("id"), F.col("sig").alias("t")), like, scratch), scratch)
     linked = scratch.save(classes.drop("sig", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
