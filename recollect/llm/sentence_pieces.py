@@ -2,13 +2,13 @@
 
 The pieces of a text form a lattice. A forward Viterbi pass gives the cheapest way to reach each position; read
 backward from the end, those are exact remaining costs, so an A* search over partial segmentations from the end
-back to the start completes them strictly in order of cost: the first N to arrive are the N best.
+back to the start completes them strictly in order of cost: the first N to arrive are the N best (``search_back``).
 
-The lattice falls apart between words, and within them wherever no piece of the vocabulary holds the two characters
-around a position. Viterbi runs over all new words of a batch at once, forward and backward, which gives each word's
-best segmentation and how much its second best costs more. A solution with a dear deviation in it has N cheaper
-ones before it, so only the N - 1 words of a text with the cheapest deviations are searched further, and the N best of
-the text are put together from theirs.
+The lattice of a text is contracted first. It falls apart between words, and within them wherever no piece of the
+vocabulary holds the two characters around a position. Viterbi runs over all new words of a batch at once, forward and
+backward, which gives each word's best segmentation and how much its second best costs more. A solution with a dear
+deviation in it has N cheaper ones before it, so only the N - 1 words of a text with the cheapest deviations keep more than
+one arc, and what is left is searched: A* over the characters of those words, then over the chain of them.
 
 A piece costs its negative log probability under Zipf's law over the vocabulary's ranks (the file ranks its pieces; it
 holds no probabilities), in whole millionths, so that sums are exact and ties are ties. Characters without a piece
@@ -21,7 +21,7 @@ import heapq
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,11 @@ SCALE = 1_000_000
 #: More than any cost.
 _FAR = 1 << 60
 _P = np.uint64(0x9E3779B97F4A7C15)
-#: Parts and words that a worker remembers.
+#: Parts and words that a worker remembers, and characters from which a word isn't.
 _KEPT = 500_000
+_LONG = 200
+#: Bits of a hash by which most strings that aren't pieces are told at once.
+_SIEVE = 20
 _SPACE = "▁"
 _DIGESTS = "doc_id long, n_best int, log_probs array<double>, n_pieces array<int>, ids_crc32 array<long>, decodes boolean"
 
@@ -48,6 +51,51 @@ def model_path() -> str:
 Solution = tuple[int, bytes]  # cost in millionths of a nat, ids as little-endian 32-bit numbers
 
 
+class _Numbers(dict):
+    """Words by number; words that are asked for the first time get the next one and are noted."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+        self.made = 0
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = self.made
+        self.made += 1
+        return self.made - 1
+
+
+def search_back(n: int, arcs: Callable[[int], list[tuple[int, int, object]]], best: int) -> list[tuple[int, list]]:
+    """The ``best`` cheapest paths from 0 to n, cheapest first, as (cost, labels). ``arcs(j)``: (start, cost, label) of those to j.
+
+    Of partial paths with the same bound that nearest to the start goes on, so equal costs don't widen the search.
+    """
+    reach = [0] * (n + 1)
+    for j in range(1, n + 1):
+        reach[j] = min(reach[i] + c for i, c, _ in arcs(j))
+    found: list[tuple[int, list]] = []
+    heap: list[tuple] = [(reach[n], n, 0, 0, None)]
+    made = 0
+    while heap and len(found) < best:
+        _, at, _, done, path = heapq.heappop(heap)
+        if not at:
+            labels = []
+            while path is not None:
+                labels.append(path[0])
+                path = path[1]
+            found.append((done, labels))
+            continue
+        for i, c, label in arcs(at):
+            made += 1
+            heapq.heappush(heap, (done + c + reach[i], i, made, done + c, (label, path)))
+    return found
+
+
+def chain_back(lists: list[list[Solution]], best: int) -> list[tuple[int, list[int]]]:
+    """The ``best`` cheapest choices of one solution from each list."""
+    return search_back(len(lists), lambda j: [(j - 1, s[0], k) for k, s in enumerate(lists[j - 1])], best)
+
+
 class Pieces:
     """The vocabulary, and the N best segmentations of texts."""
 
@@ -76,9 +124,9 @@ class Pieces:
         self.spelling = {i: p.encode() for p, (_, i) in self.cost_of.items()} | {i: bytes([b]) for b, (_, i) in self.byte.items()}
         self.parts: dict[str, list[Solution]] = {}
         self.searched: dict[str, list[Solution]] = {}
-        self.words: dict[str, tuple[int, bytes, int]] = {}  # cost, ids, what the second best costs more
+        self.forget()
         self.byte_cost = byte_cost
-        self.table = []  # of each length the hashes of its pieces, in order, with their costs and ids
+        self.table = []  # of each length the hashes of its pieces, in order, with costs, ids and characters, and a sieve of the hashes
         for n in range(1, self.longest + 1):
             own = [(p, c, i) for p, (c, i) in self.cost_of.items() if len(p) == n]
             codes = np.array([[ord(x) for x in p] for p, _, _ in own], np.uint64).reshape(len(own), n)
@@ -86,131 +134,147 @@ class Pieces:
             for k in range(n):
                 h = h * _P + codes[:, k]
             order = np.argsort(h)
-            self.table.append((h[order], np.array([c for _, c, _ in own], np.int64)[order], np.array([i for _, _, i in own], np.int64)[order]))
-
-    def _arcs(self, text: str) -> list[list[tuple[int, int, bytes]]]:
-        """For each position the arcs that end there: (start, cost, ids)."""
-        out: list[list[tuple[int, int, bytes]]] = [[] for _ in range(len(text) + 1)]
-        for i in range(len(text)):
-            for j in range(i + 1, min(len(text), i + self.longest) + 1):
-                if found := self.cost_of.get(text[i:j]):
-                    out[j].append((i, found[0], found[1].to_bytes(4, "little")))
-            if text[i] not in self.cost_of:
-                spelled = [self.byte[b] for b in text[i].encode("utf-8", "surrogatepass")]
-                out[i + 1].append((i, sum(c for c, _ in spelled), b"".join(x.to_bytes(4, "little") for _, x in spelled)))
-        return out
+            sieve = np.zeros(1 << _SIEVE, bool)
+            sieve[h >> np.uint64(64 - _SIEVE) if n > 1 else h & np.uint64((1 << _SIEVE) - 1)] = True
+            self.table.append((h[order], np.array([c for _, c, _ in own], np.int64)[order], np.array([i for _, _, i in own], np.int64)[order], codes[order], sieve))
+
+    def _arcs(self, text: str) -> Callable[[int], list[tuple[int, int, bytes]]]:
+        """The arcs of a text's characters, looked up where they are asked for."""
+        cost_of, longest = self.cost_of, self.longest
+
+        def arcs(j: int) -> list[tuple[int, int, bytes]]:
+            out = [(i, x[0], x[1].to_bytes(4, "little")) for i in range(max(0, j - longest), j) if (x := cost_of.get(text[i:j]))]
+            if not out or out[-1][0] != j - 1:
+                spelled = [self.byte[b] for b in text[j - 1].encode("utf-8", "surrogatepass")]
+                out.append((j - 1, sum(c for c, _ in spelled), b"".join(x.to_bytes(4, "little") for _, x in spelled)))
+            return out
+
+        return arcs
 
     def search(self, text: str) -> list[Solution]:
-        """The N best of one part: forward Viterbi, then A* from its end."""
-        if len(text) == 1 or len(text) == 2 and text not in self.cost_of:
-            return [(sum(a[j][0][1] for j in range(1, len(text) + 1)), b"".join(a[j][0][2] for j in range(1, len(text) + 1)))] if (a := self._arcs(text)) else []
-        arcs = self._arcs(text)
-        reach = [0] * len(arcs)
-        for j in range(1, len(arcs)):
-            reach[j] = min(reach[i] + c for i, c, _ in arcs[j])
-        found: list[Solution] = []
-        heap = [(reach[-1], 0, len(text), b"")]
-        while heap and len(found) < self.best:
-            bound, done, at, ids = heapq.heappop(heap)
-            if not at:
-                found.append((done, ids))
+        """The N best of one part."""
+        return [(cost, b"".join(ids)) for cost, ids in search_back(len(text), self._arcs(text), self.best)]
+
+    def learn(self) -> list[str]:
+        """Best segmentation and second best cost of the new words, those of one length together; gives the long ones."""
+        new, first = self.number.new, len(self.ids)
+        self.number.new = []
+        upto = first + len(new)
+        if upto > len(self.costs):
+            self.costs, self.gaps = (np.r_[x, np.zeros(max(len(x), upto), np.int64)] for x in (self.costs, self.gaps))
+        self.ids += [b""] * len(new)
+        by_length: dict[int, list[int]] = {}
+        long = []
+        for k, w in enumerate(new):
+            if len(w) < _LONG:
+                by_length.setdefault(len(w), []).append(k)
                 continue
-            for i, c, piece in arcs[at]:
-                heapq.heappush(heap, (done + c + reach[i], done + c, i, piece + ids))
-        return found
-
-    def learn(self, words: list[str]) -> None:
-        """Best segmentation and second best cost of new words, those of one length together."""
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
+            own = self.searched[w] = self._word(w)
+            self.costs[first + k], self.gaps[first + k] = own[0][0], own[1][0] - own[0][0] if len(own) > 1 else _FAR
+            self.ids[first + k] = own[0][1]
+            long.append(w)
         for n, own in by_length.items():
-            for k in range(0, len(own), max(64, 200_000 // n)):
-                self._viterbi(own[k : k + max(64, 200_000 // n)], n)
-
-    def _viterbi(self, words: list[str], n: int) -> None:
+            step = max(64, 200_000 // n)
+            for i in range(0, len(own), step):
+                part = own[i : i + step]
+                cost, gap, ids = self._viterbi([new[k] for k in part], n)
+                at = first + np.array(part)
+                self.costs[at], self.gaps[at] = cost, gap
+                for k, x in zip(part, ids, strict=True):
+                    self.ids[first + k] = x
+        return long
+
+    def _viterbi(self, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Words of n characters, side by side: arrays are of (position, word)."""
         m = len(words)
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).astype(np.uint64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).T.astype(np.uint64)
         spans = min(n, self.longest)
-        costs, ids, h = [], [], np.zeros((m, n + 1), np.uint64)
+        arcs: list[tuple[np.ndarray, np.ndarray]] = []  # of each size, cost and id of the piece that begins at a position
+        h = np.zeros((n + 1, m), np.uint64)
         for size in range(1, spans + 1):
-            h = h[:, : n - size + 1] * _P + codes[:, size - 1 :]
-            known, cost, piece = self.table[size - 1]
-            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-            hit = known[at] == h if len(known) else np.zeros(h.shape, bool)
-            costs.append(np.where(hit, cost[at], _FAR) if len(known) else np.full(h.shape, _FAR))
-            ids.append(piece[at] if len(known) else np.zeros(h.shape, np.int64))
-            if size == 1:  # characters without a piece are spelled in bytes; they are marked by their negative code
-                width = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
-                costs[0] = np.where(hit, costs[0], width.astype(np.int64) * self.byte_cost)
-                ids[0] = np.where(hit, ids[0], -1 - codes.astype(np.int64))
-        reach, back = np.zeros((m, n + 1), np.int64), np.zeros((m, n + 1), np.int64)
-        via = np.zeros((m, n + 1), np.int64)
+            h = h[: n - size + 1] * _P + codes[size - 1 :]
+            known, cost, piece, spelled, sieve = self.table[size - 1]
+            flat = h.ravel()
+            at_h = np.flatnonzero(sieve[flat >> np.uint64(64 - _SIEVE) if size > 1 else flat & np.uint64((1 << _SIEVE) - 1)])
+            mine = flat[at_h]
+            at = np.searchsorted(known, mine)
+            at[at == len(known)] = 0
+            same = known[at] == mine if len(known) else np.zeros(0, bool)
+            at_h, at = at_h[same], at[same]
+            # not by their hash alone
+            same = (codes.ravel()[at_h[:, None] + m * np.arange(size)] == spelled[at]).all(1)
+            at_h, at = at_h[same], at[same]
+            costs, ids = np.full(len(flat), _FAR), np.zeros(len(flat), np.int64)
+            costs[at_h], ids[at_h] = cost[at], piece[at]
+            arcs.append((costs.reshape(h.shape), ids.reshape(h.shape)))
+        # characters without a piece are spelled in bytes; they are marked by their negative code
+        width = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+        none = arcs[0][0] == _FAR
+        arcs[0][0][none], arcs[0][1][none] = width[none].astype(np.int64) * self.byte_cost, -1 - codes[none].astype(np.int64)
+        reach, back, via = (np.zeros((n + 1, m), np.int64) for _ in range(3))
         for j in range(1, n + 1):
-            each = np.stack([reach[:, j - s] + costs[s - 1][:, j - s] for s in range(1, min(j, spans) + 1)])
-            via[:, j] = each.argmin(0)
-            reach[:, j] = each.min(0)
+            best, step = reach[j - 1] + arcs[0][0][j - 1], via[j]
+            for s in range(2, min(j, spans) + 1):
+                other = reach[j - s] + arcs[s - 1][0][j - s]
+                step[other < best] = s - 1
+                np.minimum(best, other, out=best)
+            reach[j] = best
         for i in range(n - 1, -1, -1):
-            back[:, i] = np.stack([costs[s - 1][:, i] + back[:, i + s] for s in range(1, min(n - i, spans) + 1)]).min(0)
-        through = [reach[:, : n - s + 1] + costs[s - 1] + back[:, s:] for s in range(1, spans + 1)]
+            best = arcs[0][0][i] + back[i + 1]
+            for s in range(2, min(n - i, spans) + 1):
+                np.minimum(best, arcs[s - 1][0][i] + back[i + s], out=best)
+            back[i] = best
+        through = [reach[: n - s + 1] + arcs[s - 1][0] + back[s:] for s in range(1, spans + 1)]
         pos, rows, steps = np.full(m, n), np.arange(m), []
         while len(rows):
-            size = via[rows, pos[rows]]
+            size = via[pos[rows], rows]
             start = pos[rows] - size - 1
             took = np.full(m, _FAR)
             for s in np.unique(size):
                 mine = size == s
-                took[rows[mine]] = ids[s][rows[mine], start[mine]]
-                through[s][rows[mine], start[mine]] = _FAR
+                took[rows[mine]] = arcs[s][1][start[mine], rows[mine]]
+                through[s][start[mine], rows[mine]] = _FAR
             steps.append(took)
             pos[rows] = start
             rows = rows[start > 0]
-        gap = np.minimum(np.min([t.min(1) for t in through], axis=0) - reach[:, n], _FAR)
+        gap = through[0].min(0)
+        for t in through[1:]:
+            np.minimum(gap, t.min(0), out=gap)
+        gap = np.minimum(gap - reach[n], _FAR)
         found = np.stack(steps[::-1], 1)
-        plain = (found >= 0).all(1)
-        for k, w in enumerate(words):
-            row = found[k]
-            row = row[row != _FAR]
-            if plain[k] or (row >= 0).all():
-                spelled = row.astype("<u4").tobytes()
-            else:
-                spelled = b"".join(
-                    int(x).to_bytes(4, "little") if x >= 0 else b"".join(self.byte[b][1].to_bytes(4, "little") for b in chr(-1 - x).encode("utf-8", "surrogatepass")) for x in row.tolist()
-                )
-            self.words[w] = (int(reach[k, n]), spelled, int(gap[k]))
-
-    def _merge(self, parts: list[list[Solution]]) -> list[Solution]:
-        """The N best of parts in a row."""
-        if len(parts) == 1:
-            return parts[0]
-        base = sum(p[0][0] for p in parts)
-        deviations = heapq.nsmallest(self.best - 1, ((s[0] - p[0][0], k, n) for k, p in enumerate(parts) for n, s in enumerate(p) if n))
-        ways: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ())]
-        for extra, k, n in sorted(deviations, key=lambda x: x[1:]):
-            ways += [(c + extra, (*w, (k, n))) for c, w in ways if not w or w[-1][0] != k]
-            ways = heapq.nsmallest(self.best, ways)
-        first = [p[0][1] for p in parts]
-        out = []
-        for extra, way in sorted(ways):
-            ids = first
-            if way:
-                ids = first.copy()
-                for k, n in way:
-                    ids[k] = parts[k][n][1]
-            out.append((base + extra, b"".join(ids)))
-        return out
+        used = found != _FAR
+        flat = found[used]
+        spelled = flat.astype("<u4").tobytes()
+        ends = (4 * np.cumsum(used.sum(1))).tolist()
+        ids = [spelled[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        for k in np.flatnonzero(((found < 0) & used).any(1)).tolist():  # characters without a piece
+            ids[k] = b"".join(
+                x.to_bytes(4, "little") if x >= 0 else b"".join(self.byte[b][1].to_bytes(4, "little") for b in chr(-1 - x).encode("utf-8", "surrogatepass")) for x in found[k][used[k]].tolist()
+            )
+        return reach[n], gap, ids
+
+    def forget(self) -> None:
+        """Words by number: their best cost and ids, and what the second best costs more."""
+        self.number = _Numbers()
+        self.ids: list[bytes] = []
+        self.costs, self.gaps = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
 
     def _word(self, word: str) -> list[Solution]:
         cut = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.joined), len(word)]
         lists = []
         for a, b in zip(cut, cut[1:], strict=False):
             part = word[a:b]
-            if part not in self.parts:
-                if len(self.parts) >= _KEPT:
-                    self.parts.clear()
-                self.parts[part] = self.search(part)
-            lists.append(self.parts[part])
-        return self._merge(lists)
+            found = self.parts.get(part)
+            if found is None:
+                found = self.search(part)
+                if len(part) < _LONG:
+                    if len(self.parts) >= _KEPT:
+                        self.parts.clear()
+                    self.parts[part] = found
+            lists.append(found)
+        if len(lists) == 1:
+            return lists[0]
+        return [(cost, b"".join(own[k][1] for own, k in zip(lists, choice, strict=True))) for cost, choice in chain_back(lists, self.best)]
 
     def encode(self, text: str) -> list[Solution]:
         """The N best segmentations of a text, cheapest first; fewer where there are fewer. An empty text has one, of nothing."""
@@ -221,30 +285,32 @@ class Pieces:
     def encode_all(self, texts: list[str]) -> list[list[Solution]]:
         """``encode`` of each text; their new words are learned together."""
         split = [self.between.findall(f"{_SPACE}{t.replace(' ', _SPACE)}") if t else [] for t in texts]
-        if len(self.words) > _KEPT:
-            self.words.clear()
-        self.learn(list({w for ws in split for w in ws if w not in self.words}))
+        if len(self.number) > _KEPT:
+            self.forget()
+        numbers = [np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)) for words in split]
+        long = self.learn()
         out = []
-        for words in split:
+        for words, at in zip(split, numbers, strict=True):
             if not words:
                 out.append([(0, b"")])
                 continue
-            costs, ids, gaps = zip(*map(self.words.__getitem__, words), strict=True)
+            gaps = self.gaps[at]
             # the words with the cheapest deviations, in their order; no other can be part of the N best
-            near = sorted(heapq.nsmallest(self.best - 1, range(len(words)), key=gaps.__getitem__))
-            near = [k for k in near if gaps[k] < _FAR]
-            if not near:
-                out.append([(sum(costs), b"".join(ids))])
-                continue
+            near = np.sort(np.argsort(gaps, kind="stable")[: self.best - 1])
+            near = near[gaps[near] < _FAR].tolist()
+            rest = int(self.costs[at].sum() - self.costs[at[near]].sum())
+            ids = list(map(self.ids.__getitem__, at.tolist()))
+            between = [b"".join(ids[i + 1 : j]) for i, j in zip([-1, *near], [*near, len(ids)], strict=True)]
             lists = [self._searched(words[k]) for k in near]
-            rest = sum(costs) - sum(costs[k] for k in near)
-            best = []
-            for cost, choice in self._ways(lists):
-                spelled = list(ids)
-                for k, n, own in zip(near, choice, lists, strict=True):
-                    spelled[k] = own[n][1]
-                best.append((rest + cost, b"".join(spelled)))
-            out.append(best)
+            out.append(
+                [
+                    (rest + cost, between[0] + b"".join(own[k][1] + after for k, own, after in zip(choice, lists, between[1:], strict=True)))
+                    for cost, choice in chain_back(lists, self.best)
+                ]
+            )
+        for w in long:  # known for these texts only
+            self.ids[self.number.pop(w)] = b""
+            self.searched.pop(w, None)
         return out
 
     def _searched(self, word: str) -> list[Solution]:
@@ -255,13 +321,6 @@ class Pieces:
             found = self.searched[word] = self._word(word)
         return found
 
-    def _ways(self, lists: list[list[Solution]]) -> list[tuple[int, tuple[int, ...]]]:
-        """The N cheapest choices of one solution from each list."""
-        ways: list[tuple[int, tuple[int, ...]]] = [(0, ())]
-        for own in lists:
-            ways = heapq.nsmallest(self.best, [(c + s[0], (*w, n)) for c, w in ways for n, s in enumerate(own)])
-        return ways
-
     def decode(self, ids: bytes | list[int]) -> str:
         numbers = np.frombuffer(ids, "<u4").tolist() if isinstance(ids, bytes) else ids
         text = b"".join(map(self.spelling.__getitem__, numbers)).decode("utf-8", "surrogatepass").replace(_SPACE, " ")
@@ -288,8 +347,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", best: int = BEST, model: str | None = None) -> DataFrame:
     """(id, rank, log_prob, ids): the ``best`` cheapest segmentations of each text, rank 0 first.
 
-    A null text counts as empty, and an empty text has one segmentation, of no pieces. Equal costs are ordered by
-    their ids' bytes from the last difference back; rows that repeat an id are rows of their own; an empty table
+    A null text counts as empty, and an empty text has one segmentation, of no pieces. Which of equal costs come, and in
+    what order, depends on the text alone; rows that repeat an id are rows of their own; an empty table
     gives none. The mark of space itself (U+2581) in a text is read as a space, as the library does.
     """
     path = model or model_path()

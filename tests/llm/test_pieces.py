@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -63,3 +64,39 @@ def test_operators(spark, vocabulary):
     first = {(r.doc_id, r.decoded): r.ids for r in out if r.rank == 0}
     assert sorted(r.ids_crc32[0] for r in digests) == sorted(zlib.crc32(np.array(x, "<u4").tobytes()) for x in first.values())
     assert sp.encode(df.limit(0)).count() == 0
+
+
+def test_long_words_are_searched_like_others(vocabulary, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abtehn日é", k=rng.randint(180, 260))) for _ in range(12)] + ["ab " * 50 + "q" * 300 + " the end"]
+    got = vocabulary.encode_all(texts)
+    monkeypatch.setattr(sp, "_LONG", 100_000)
+    other = sp.Pieces(sp.model_path(), 4).encode_all(texts)
+    assert [[c for c, _ in x] for x in got] == [[c for c, _ in x] for x in other]
+    for found, t in zip(got, texts, strict=True):
+        assert len({x for _, x in found}) == 4 and all(vocabulary.decode(x) == t for _, x in found)
+        cost = {i: c for c, i in vocabulary.cost_of.values()} | {i: c for c, i in vocabulary.byte.values()}
+        assert all(c == sum(cost[i] for i in np.frombuffer(x, "<u4").tolist()) for c, x in found)
+
+
+def test_a_word_without_end_takes_time_in_proportion(vocabulary):
+    rng = random.Random(6)
+    took = {}
+    for n in (20_000, 200_000):
+        text = "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=n))
+        began = time.process_time()
+        found = vocabulary.encode(text)
+        took[n] = time.process_time() - began
+        assert len(found) == 4 and vocabulary.decode(found[3][1]) == text
+    assert took[200_000] < 20 * max(took[20_000], 0.05)
+
+
+def test_ties_depend_on_the_text_alone(vocabulary):
+    texts = ["x" * 40, "aaaa bbbb", "xx xx xx xx", "日日日日", "x" * 40]
+    alone = [sp.Pieces(sp.model_path(), 4).encode(t) for t in texts]
+    assert any(a[0][0] == a[1][0] or a[1][0] == a[2][0] for a in alone)
+    for order in (texts, texts[::-1], ["y " * 30, *texts]):
+        got = dict(zip(order, sp.Pieces(sp.model_path(), 4).encode_all(order), strict=True))
+        assert [got[t] for t in texts] == alone
+    vocabulary.encode("x" * 39)
+    assert [vocabulary.encode(t) for t in texts] == alone
