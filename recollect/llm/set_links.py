@@ -29,6 +29,8 @@ BITS, RADIUS, SMALL = 128, 44, 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Elements whose bits are counted at once.
 _STEP = 1 << 17
+#: Rows of units whose fingerprints are compared in one pass.
+_PASS = 1 << 16
 #: Sets that a task remembers.
 _KEPT = 64
 #: Sets in a block of a long file.
@@ -125,15 +127,23 @@ def fingerprints(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _candidates(roots: np.ndarray, size: np.ndarray, fps: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different roots whose lengths and fingerprints allow for a link; the second index is the smaller."""
+    """Pairs of one unit of different roots whose lengths and fingerprints allow for a link."""
     p, q = like.ratio
-    found = list(close_pairs(fps.view(np.uint64), np.zeros(len(roots), int), RADIUS, list(range(BITS))))
-    small = np.flatnonzero(size < SMALL)
-    x, y = np.nonzero(np.tri(len(small), k=-1, dtype=bool))
-    a, b = np.concatenate([f[1] for f in found] + [small[x]]), np.concatenate([f[0] for f in found] + [small[y]])
-    fit = (roots[a] != roots[b]) & (q * np.minimum(size[a], size[b]) >= p * np.maximum(size[a], size[b]))
-    both = np.unique(a[fit] * len(roots) + b[fit])
-    return both // len(roots), both % len(roots)
+    differ = sum(np.bitwise_count(x[:, None] ^ x[None, :]).astype(np.int64) for x in fps.view(np.uint64).T)
+    least, most = np.minimum(size[:, None], size), np.maximum(size[:, None], size)
+    fit = ((differ <= RADIUS) | (least < SMALL)) & (q * least >= p * most) & (roots[:, None] != roots) & np.tri(len(roots), k=-1, dtype=bool)
+    return np.nonzero(fit)
+
+
+def _neighbours(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of each group (groups are contiguous), by distance."""
+    edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+    left = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(group)) - 1
+    d, at = 1, np.flatnonzero(left >= 1)
+    while len(at):
+        yield at, at + d
+        d += 1
+        at = at[left[at] >= d]
 
 
 def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -153,15 +163,41 @@ def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 
 def _thinned(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    """Of rows (unit, id, root, size, fp, fp2), sorted by unit, those that have a candidate in their unit."""
-    for rows, last, unit in _by_unit(batches):
-        ids, roots, size, fp = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-        fps = np.stack((fp, np.array([x.as_py() for x in last], np.int64)), axis=1)
-        a, b = _candidates(roots, size, fps, like)
-        used = np.unique(np.concatenate((a, b)))
-        if len(used):
-            columns = (np.full(len(used), unit), ids[used], roots[used], size[used], *fps[used].T)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["unit", "id", "root", "size", "fp", "fp2"])
+    """Of rows (unit, id, root, size, fp, fp2), sorted by unit, those that have a candidate in their unit; many units at once."""
+    p, q = like.ratio
+    names = ["unit", "id", "root", "size", "fp", "fp2"]
+
+    def run(rows: np.ndarray) -> pa.RecordBatch:
+        unit, _, root, size, fp, fp2 = rows
+        used = np.zeros(len(unit), bool)
+
+        def mark(a: np.ndarray, b: np.ndarray) -> None:
+            fit = (root[a] != root[b]) & (q * np.minimum(size[a], size[b]) >= p * np.maximum(size[a], size[b]))
+            used[a[fit]] = used[b[fit]] = True
+
+        for a, b in close_pairs(np.stack((fp, fp2), axis=1).view(np.uint64), unit, RADIUS, list(range(BITS))):
+            mark(a, b)
+        # a set of fewer than SMALL elements can only be alike to one of few more
+        small = np.flatnonzero(p * size < q * SMALL)
+        for a, b in _neighbours(unit[small]):
+            a, b = small[a], small[b]
+            some = np.minimum(size[a], size[b]) < SMALL
+            mark(a[some], b[some])
+        return pa.RecordBatch.from_arrays([pa.array(c[used]) for c in rows], names)
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)]))
+        if sum(x.shape[1] for x in held) >= _PASS:
+            rows = np.concatenate(held, axis=1)
+            cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last unit may go on in the next batch
+            if cut:
+                yield run(rows[:, :cut])
+            held = [rows[:, cut:]]
+    if held:
+        yield run(np.concatenate(held, axis=1))
 
 
 def _unit_links(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
