@@ -19,6 +19,11 @@ def tokens(c: str | Column) -> Column:
     return F.filter(F.split(F.lower(_col(c)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+def token_count(c: str | Column) -> Column:
+    """How many ``tokens`` a text has, without making them."""
+    return F.regexp_count(F.lower(_col(c)), F.lit(r"[\p{L}\p{N}]+"))
+
+
 def fields(c: str | Column) -> Column:
     """What white space separates, lower-cased, without marks at its ends."""
     parts = F.split(F.lower(_col(c)), r"\s+")
@@ -51,6 +56,11 @@ def fallback_terms(c: str | Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(kept, forms)))
 
 
+def plain_terms(c: str | Column) -> Column:
+    """Distinct terms of at least three bytes that are no stopwords."""
+    return F.array_distinct(F.filter(fields(c), lambda x: _long_enough(x, 3) & ~x.isin(S.STOPWORDS)))
+
+
 def rerank_terms(c: str | Column) -> Column:
     return F.array_distinct(F.filter(fields(c), lambda x: _long_enough(x, 2)))
 
@@ -66,11 +76,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def redact(c: str | Column) -> Column:
-    """Secrets become [SECRET]; several in a row become one."""
+    """Secrets become [SECRET]; several in a row become one. Texts without any mark of a secret are passed over."""
     out = _col(c)
     for pattern in S.SECRET_PATTERNS:
         out = F.regexp_replace(out, pattern, "[SECRET]")
-    return F.regexp_replace(out, r"(\[SECRET\])+", "[SECRET]")
+    found = F.lower(_col(c)).rlike(S.SECRET_MARKS)
+    return F.when(found, F.regexp_replace(out, r"(\[SECRET\])+", "[SECRET]")).otherwise(_col(c))
 
 
 def strip_private(c: str | Column) -> Column:
@@ -102,18 +113,14 @@ def clip_to_tokens(c: str | Column, limit: Column | int, mark: str = "... [trunc
 
 
 def entities(c: str | Column) -> Column:
-    """Identifiers, dates and hosts, each spelling of a name once, in order, the first twenty."""
+    """Identifiers, dates and hosts in a text, lower-cased, each once."""
     c = F.regexp_replace(_col(c), "\u0000", " ")
-    token, camel, date, host = S.ENTITY_PATTERNS
+    token, _, date, host = S.ENTITY_PATTERNS  # a name in camel case is an identifier too
     every = F.concat(
-        F.regexp_extract_all(c, F.lit(token), 0), F.regexp_extract_all(c, F.lit(camel), 0),
-        F.transform(F.regexp_extract_all(c, F.lit(date), 0), lambda x: F.concat(F.lit("date-"), x)), F.regexp_extract_all(c, F.lit(host), 1),
+        F.regexp_extract_all(c, F.lit(token), F.lit(0)), F.transform(F.regexp_extract_all(c, F.lit(date), F.lit(0)), lambda x: F.concat(F.lit("date-"), x)),
+        F.regexp_extract_all(c, F.lit(host), F.lit(1)),
     )
-    every = F.filter(every, lambda x: _long_enough(x, 3))
-    keyed = F.aggregate(
-        every, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x)))
-    )
-    return F.slice(F.array_sort(keyed), 1, 20)
+    return F.array_distinct(F.transform(F.filter(every, lambda x: F.char_length(x) >= 3), lambda x: F.lower(x)))
 
 
 def entity_type(name: str | Column) -> Column:

@@ -5,30 +5,45 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect import schema as S
+from recollect.functions import text as X
+from recollect.sources.scratch import written
+
 
 def containing(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(query_id, id) of documents (id, text) that contain a phrase (query_id, lead).
 
-    Phrases meet documents on the hash of their first three words, found at any three words of a document.
+    Phrases meet documents on the hash of their first three words (or two) at any place of a document; a phrase of one word may
+    begin or end inside another word, and so meets on its first three characters, or all. Only numbers are met; texts
+    come in when pairs are known.
     """
     gram = lambda w: F.xxhash64(F.array_join(w, " "))
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    p = phrases.select("query_id", "lead", words(F.col("lead")).alias("w")).filter(F.size("w") >= 1)
-    p = p.withColumn("k", F.least(F.size("w"), F.lit(3)))
-    out = None
-    for k in (1, 2, 3):
-        keyed = p.filter(F.col("k") == k).select("query_id", "lead", gram(F.slice("w", 1, k)).alias("key"))
-        grams = docs.select("id", "text", words(F.col("text")).alias("w")).filter(F.size("w") >= k)
-        if k == 1:  # a phrase of one word may begin or end inside another word
-            part = docs.join(F.broadcast(p.filter("k = 1").select("query_id", "lead")), F.contains("text", "lead")).select("query_id", "id")
+    p = phrases.select("query_id", words(F.col("lead")).alias("w")).filter(F.size("w") >= 1)
+    letters = F.substring(F.element_at("w", 1), 1, 3)
+    key = F.when(F.size("w") > 1, F.struct(F.least(F.size("w"), F.lit(3)).alias("k"), gram(F.slice("w", 1, 3)).alias("h")))
+    key = key.otherwise(F.struct((-F.char_length(letters)).alias("k"), F.xxhash64(letters).alias("h")))
+    p = written(p.select("query_id", key.alias("key")), "phrases")
+    kinds = [r[0] for r in p.select("key.k").distinct().collect()]  # at most five
+    if not kinds:
+        return docs.select(F.lit(None).cast("long").alias("query_id"), "id").limit(0)
+    places = lambda n: F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+
+    def keys(k: int) -> Column:
+        if k > 0:
+            hashes = F.transform(places(k), lambda i: gram(F.slice("w", i, F.lit(k))))
         else:
-            grams = grams.select("id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: gram(F.slice("w", i, k))))).alias("key"))
-            part = grams.join(keyed, "key").filter(F.contains("text", "lead")).select("query_id", "id")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+            inside = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x) + k + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(x, i, F.lit(-k))))
+            hashes = F.flatten(F.transform(F.array_distinct("w"), inside))
+        return F.transform(F.array_distinct(hashes), lambda h: F.struct(F.lit(k).alias("k"), h.alias("h")))
+
+    split = docs.select("id", words(F.col("text")).alias("w"))
+    met = split.select("id", F.explode(F.concat(*[keys(k) for k in kinds])).alias("key")).join(p, "key").select("query_id", "id").distinct()
+    both = met.join(docs.select("id", "text"), "id").join(phrases.select("query_id", "lead"), "query_id")
+    return both.filter(F.contains("text", "lead")).select("query_id", "id")
 
 
 def per_query(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -56,6 +71,56 @@ def gates(summary_: DataFrame, floors: dict[str, float]) -> DataFrame:
     return rows.select("gate", "value", (F.col("value") >= floor).alias("passed"))
 
 
+def guards(rows: DataFrame, k: int, now: str = S.NOW) -> DataFrame:
+    """(guard, share): places of the k best (query_id, project and the record's columns) that go to the wrong records."""
+    stale = F.count_if(F.col("expires_at") <= F.lit(now).cast("timestamp"))
+    old = F.count_if(F.col("status").isin("archived", "superseded") | (F.coalesce("superseded_by", F.lit(0)) != 0))
+    one = rows.agg(stale.alias("stale"), old.alias("superseded"), F.count_if(F.col("project_id") != F.col("project")).alias("wrong_project"), F.countDistinct("query_id").alias("cases"))
+    out = one.unpivot(["cases"], ["stale", "superseded", "wrong_project"], "guard", "hits")
+    return out.select("guard", F.round(F.col("hits") / (float(k) * F.col("cases")), 6).alias("share"))
+
+
+def abstention(queries: DataFrame, best: DataFrame, floor: float) -> DataFrame:
+    """(score, cases, value): the share of queries that should find nothing whose best result is under the floor."""
+    top = queries.join(best, "query_id", "left").groupBy("query_id").agg(F.max("score").alias("best"))
+    right = F.when(F.col("best") >= floor, 0.0).otherwise(1.0)
+    return top.agg(F.count("*").alias("cases"), F.round(F.coalesce(F.avg(right), F.lit(1.0)), 6).alias("value")).select(F.lit("abstention").alias("score"), "cases", "value")
+
+
+def required(cases: DataFrame) -> DataFrame:
+    """(score, cases, value): hits over those required, each query's hits counting as far as it requires them."""
+    share = F.sum(F.least("found", "relevant")).cast("double") / F.sum("relevant")
+    return cases.agg(F.count("*").alias("cases"), F.round(share, 6).alias("value")).select(F.lit("required").alias("score"), "cases", "value")
+
+
+def audit(rows: DataFrame) -> DataFrame:
+    """One row over (query_id, q, t): the terms of queries against those of the titles that they should find."""
+    best = rows.groupBy("query_id").agg(F.count("*").alias("n"), F.max(X.jaccard(F.col("q"), F.col("t"))).alias("best"))
+    rate = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
+    return best.agg(
+        F.count("*").alias("cases"), F.round(F.avg("best"), 6).alias("average_overlap"), F.round(F.max("best"), 6).alias("most_overlap"),
+        rate(F.col("n") == 1).alias("weak_distractors"), rate(F.col("best") >= 0.7).alias("high_overlap"),
+    )
+
+
+def sweep(modes: dict[str, DataFrame], relevant: DataFrame) -> DataFrame:
+    """(mode, queries, recall_5, mrr) of several ways of retrieval (query_id, id, rank) on the same relevant documents."""
+    out = None
+    for mode, ranked in modes.items():
+        first = relevant.select("query_id").distinct().join(ranked.join(relevant, ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("first")), "query_id", "left")
+        hit = F.when(F.col("first").isNotNull(), 1.0).otherwise(0.0)
+        one = first.agg(F.count("*").alias("queries"), F.round(F.avg(hit), 6).alias("recall_5"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+        one = one.select(F.lit(mode).alias("mode"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def precision(queries: DataFrame, ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    hits = ranked.filter(F.col("rank") <= k).join(relevant, ["query_id", "id"]).groupBy("query_id").agg(F.count("*").alias("h"))
+    share = F.coalesce(F.col("h"), F.lit(0)) / float(k)
+    return queries.join(hits, "query_id", "left").agg(F.count("*").alias("queries"), F.round(F.avg(share), 6).alias(f"precision_{k}"))
+
+
 def worst(cases: DataFrame, n: int) -> DataFrame:
     """A report of the n worst queries: relevant documents missed, then how late the first came."""
     late = F.when(F.col("first_rank") == 0, 1.0).otherwise((F.col("first_rank") - 1) / 10.0)

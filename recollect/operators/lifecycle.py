@@ -54,6 +54,17 @@ def ignore_known(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
     return fresh.groupBy(*key).agg(F.min_by(F.struct(*cols), F.col("id")).alias("v")).select(*key, "v.*")
 
 
+def ported(old: DataFrame, new: DataFrame, kinds: dict[str, str], other: str) -> DataFrame:
+    """(id, kind, came): rows of an old table that the new one lacks, with their kinds mapped, beside those that it has."""
+    missing = old.join(new.select("id"), "id", "left_anti").select("id", S.lookup("kind", kinds, other).alias("kind"), F.lit("ported").alias("came"))
+    return missing.unionByName(new.select("id", "kind", F.lit("kept").alias("came")))
+
+
+def migrated(old: DataFrame, new: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """Rows of an older schema beside those of a newer one, whose columns they get with their defaults."""
+    return new.unionByName(old, allowMissingColumns=True).fillna(defaults)
+
+
 def archive_expired(items: DataFrame, now: str = S.NOW) -> DataFrame:
     return items.filter((F.col("status") == "active") & (F.col("classification") != "foundational") & (F.col("expires_at") < _now(now)))
 
@@ -93,6 +104,28 @@ def consolidation_groups(items: DataFrame, least: int = 3) -> DataFrame:
     ).filter(F.col("n") >= least)
 
 
+def _live_groups(items: DataFrame, least: int) -> DataFrame:
+    live = items.filter("status = 'active' AND superseded_by IS NULL")
+    square = F.sum(F.col("id").cast("decimal(19,0)") * F.col("id").cast("decimal(19,0)"))
+    return live.groupBy("project_id", "domain", "kind").agg(
+        F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("id").alias("total"), square.alias("squares")
+    ).filter(F.col("n") >= least)
+
+
+def new_groups(items: DataFrame, before: DataFrame, least: int = 3) -> DataFrame:
+    """Groups of live records worth merging whose sources aren't those of a group before, told by number, ends and sums of ids."""
+    return _live_groups(items, least).join(_live_groups(before, least), ["n", "first_id", "last_id", "total", "squares"], "left_anti")
+
+
+def consolidated(items: DataFrame, least: int = 3) -> DataFrame:
+    """(id, status, superseded_by) of the sources of merged groups: the first stays, the others are archived for it."""
+    groups = _live_groups(items, least).select(*[F.col(c).alias(f"g_{c}") for c in ("project_id", "domain", "kind")], "first_id")
+    same = [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in ("project_id", "domain", "kind")]
+    rows = items.filter("status = 'active' AND superseded_by IS NULL").join(groups, same)
+    first = F.col("id") == F.col("first_id")
+    return rows.select("id", F.when(first, "active").otherwise("archived").alias("status"), F.when(~first, F.col("first_id")).alias("superseded_by"))
+
+
 def feedback_fold(events: DataFrame, start: float = 1.0) -> DataFrame:
     """(memory_id, utility): rewards folded in time order, never below 0.1 on the way.
 

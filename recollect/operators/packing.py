@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect import schema as S
+from recollect.functions import text as X
 
 
 def candidates(items: DataFrame, requests: DataFrame, globals_: int = 80, projects: int = 140, sessions: int = 60, now: str = S.NOW) -> DataFrame:
@@ -62,6 +63,21 @@ def total(parts: dict[str, Column]) -> Column:
     return out
 
 
+def fitting(rows: DataFrame) -> DataFrame:
+    """Candidates joined with their request that are of the domain it wants and held at its moment; without a wish all are."""
+    held = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("asof"))) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("asof")))
+    return rows.filter((F.col("domain_wanted").isNull() | (F.col("domain") == F.col("domain_wanted"))) & (F.col("asof").isNull() | held))
+
+
+def explained(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``rows`` of candidates with score, score_components (a map), tokens, and from ``verdicts`` included and reason."""
+    parts = score()
+    told = F.map_from_arrays(F.array(*[F.lit(k) for k in parts]), F.array(*[v.cast("double") for v in parts.values()]))
+    out = rows.select("*", told.alias("score_components"), F.round(total(parts), 6).alias("score"), X.token_estimate("body").alias("tokens"))
+    found = verdicts.select("request_id", "id", F.col("verdict").alias("reason"), (F.col("verdict") != "excluded").alias("included"))
+    return out.join(found, ["request_id", "id"])
+
+
 def greedy(ordered: DataFrame, budget: int, reserve: int = 20, window: int = 200) -> DataFrame:
     """Walk each request's candidates (request_id, place, id, tokens) in order and take what still fits.
 

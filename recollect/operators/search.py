@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect import schema as S
 from recollect.functions import text as X
+from recollect.sources.scratch import written
 
 
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "body") -> DataFrame:
@@ -16,26 +17,31 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "body") -> Dat
     return words.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "body", every: bool = True) -> DataFrame:
-    """(query_id, id, hits, bm25) of documents that hold all terms of a query, or any if not ``every``.
+def matches(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "body") -> DataFrame:
+    """(query_id, id, hits, bm25, lane) of the documents that hold all terms of a query, or if there are none, any of them.
 
-    ``queries`` has query_id and terms (an array). Postings of terms that no query asks for are dropped before they are
-    shuffled, while tokens stream out of the scan: the distinct terms of the queries are joined first.
+    ``queries`` has query_id and terms (an array). Documents are split once: postings of asked terms are written, and all
+    else reads those. Documents with all terms are found through each query's rarest one. ``lane`` says which it was.
     """
     asked = queries.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     words = docs.select(F.col(id_col).alias("id"), X.tokens(text_col).alias("w"))
-    size = words.agg(F.count("*").cast("double").alias("n"), F.avg(F.size("w")).alias("avgdl"))
     tokens = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
     found = tokens.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    found = written(found, "postings")
+    size = docs.agg(F.count("*").cast("double").alias("n"), F.avg(X.token_count(text_col)).alias("avgdl"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(S.IDF_FLOOR))
-    weights = df.join(F.broadcast(size)).select("term", idf.alias("idf"), "avgdl")  # size is one row
+    weights = written(df.join(F.broadcast(size)).select("term", "df", idf.alias("idf"), "avgdl"), "weights")  # size is one row
     part = F.col("idf") * F.col("tf") * (S.K1 + 1) / (F.col("tf") + S.K1 * (1 - S.B + S.B * F.col("dl") / F.col("avgdl")))
     scored = found.join(weights, "term").select("term", "id", part.alias("part"))
-    ranked = asked.join(scored, "term").groupBy("query_id", "n_terms", "id").agg(F.count("*").alias("hits"), F.sum("part").alias("bm25"))
-    if every:
-        ranked = ranked.filter("hits = n_terms")
-    return ranked.select("query_id", "id", "hits", "bm25")
+    counted = asked.join(weights.select("term", "df"), "term", "left")
+    rarest = counted.groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"))
+    first = rarest.filter("r.df > 0").select("query_id", F.col("r.term").alias("term")).join(found.select("term", "id"), "term").select("query_id", "id")
+    whole = first.join(asked, "query_id").join(scored, ["term", "id"]).groupBy("query_id", "n_terms", "id").agg(F.count("*").alias("hits"), F.sum("part").alias("bm25"))
+    whole = written(whole.filter("hits = n_terms").drop("n_terms"), "whole")
+    missing = asked.join(whole.select("query_id").distinct(), "query_id", "left_anti")
+    some = missing.join(scored, "term").groupBy("query_id", "id").agg(F.count("*").alias("hits"), F.sum("part").alias("bm25"))
+    return whole.withColumn("lane", F.lit("all")).unionByName(some.withColumn("lane", F.lit("any")))
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
@@ -56,11 +62,11 @@ def boost(now: str = S.NOW) -> Column:
 
 
 def relevance(matches: DataFrame, items: DataFrame, outcomes: DataFrame, now: str = S.NOW) -> DataFrame:
-    """(query_id, id, hits, score, updated_at): match quality times boosts. bm25 / (1 + bm25) grows with the match."""
+    """(query_id, id, hits, lane, score, updated_at): match quality times boosts. bm25 / (1 + bm25) grows with the match."""
     counts = outcome_counts(outcomes)
     facts = items.join(counts, items["id"] == counts["memory_id"], "left").select("id", "updated_at", boost(now).alias("boost"))
     out = matches.join(facts, "id")
-    return out.select("query_id", "id", "hits", (F.col("bm25") / (1 + F.col("bm25")) * F.col("boost")).alias("score"), "updated_at")
+    return out.select("query_id", "id", "hits", "lane", (F.col("bm25") / (1 + F.col("bm25")) * F.col("boost")).alias("score"), "updated_at")
 
 
 def top(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFrame:
@@ -69,12 +75,6 @@ def top(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> Data
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def with_fallback(all_terms: DataFrame, any_term: DataFrame) -> DataFrame:
-    """Matches of all terms, and for queries that have none, those of any; ``lane`` says which."""
-    missing = any_term.join(all_terms.select("query_id").distinct(), "query_id", "left_anti")
-    return all_terms.withColumn("lane", F.lit("all")).unionByName(missing.withColumn("lane", F.lit("any")))
-
-
 def overlap_rank(candidates: DataFrame, queries: DataFrame, text: Column) -> DataFrame:
     """Fallback candidates ranked by the rarity, among the candidates of their query, of the terms that they contain.
 

@@ -7,20 +7,32 @@ from pyspark.sql import functions as F
 
 from recollect import schema as S
 from recollect.functions import text as X
+from recollect.sources.scratch import written
 
 
 def title_words(items: DataFrame) -> DataFrame:
     return items.withColumn("words", F.array_sort(F.array_distinct(X.significant_words("title")))).filter(F.size("words") > 0)
 
 
-def similar_titles(items: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(project_id, kind, a, b, overlap): classes of equal word sets, linked where their Jaccard is over the threshold.
+def title_classes(items: DataFrame) -> DataFrame:
+    """(project_id, kind, words, id, second, n): records of equal words as one class, with its two smallest ids."""
+    words = title_words(items).select("project_id", "kind", "id", "words")
+    least = words.groupBy("project_id", "kind", "words").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    if "__second" in items.columns:
+        raise ValueError("items must not have a column __second")
+    key = ["project_id", "kind", "words"]
+    other = words.withColumnRenamed("id", "__second").join(least.filter("n > 1").select(*key, "id"), key).filter("__second > id")
+    second = other.groupBy(*key).agg(F.min("__second").alias("second"))
+    return least.join(second, key, "left").select(*key, "id", "second", "n")
+
 
-    Records with the same words are one class, named by its smallest id, so copies make no pairs. Two sets over the
-    threshold share a word among the first ``n - ceil(threshold * n) + 1`` of each in the order of rarity: only those are met.
+def linked_classes(classes: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(project_id, kind, a, b, overlap): classes, by smallest id, whose Jaccard is over the threshold.
+
+    Two sets over the threshold share a word among the first ``n - ceil(threshold * n) + 1`` of each in the order of rarity:
+    only those are met.
     """
-    words = title_words(items).select("project_id", "kind", "id", "words")
-    classes = words.groupBy("project_id", "kind", "words").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    classes = classes.select("project_id", "kind", "words", "id")
     flat = classes.select("project_id", "kind", "id", F.size("words").alias("size"), F.explode("words").alias("w"))
     df = flat.groupBy("project_id", "kind", "w").agg(F.count("*").alias("df"))
     order = Window.partitionBy("project_id", "kind", "id").orderBy("df", "w")
@@ -36,37 +48,149 @@ def similar_titles(items: DataFrame, threshold: float = 0.6) -> DataFrame:
     return both.select("project_id", "kind", "a", "b", X.jaccard(F.col("aw"), F.col("bw")).alias("overlap")).filter(F.col("overlap") > threshold)
 
 
+def similar_titles(items: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """``linked_classes`` of records' titles: pairs between class representatives. ``title_links`` says who is in a class."""
+    return linked_classes(title_classes(items), threshold)
+
+
+def title_links(items: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(id, class_id, links) of each record with words: how many others are over the threshold, those of its class too."""
+    classes = written(title_classes(items), "titles")
+    pairs = linked_classes(classes, threshold)
+    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("o")))
+    met = ends.join(classes.select(F.col("id").alias("o"), "n"), "o").groupBy("id").agg(F.sum("n").alias("met"))
+    sizes = classes.join(met, "id", "left").select("project_id", "kind", "words", F.col("id").alias("class_id"), (F.col("n") - 1 + F.coalesce("met", F.lit(0))).alias("links"))
+    return title_words(items).select("project_id", "kind", "words", "id").join(sizes, ["project_id", "kind", "words"]).select("id", "class_id", "links")
+
+
 def conflicts(items: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """The records of kinds that can contradict each other, by class, with the strongest rival class and its overlap."""
-    pairs = similar_titles(items.filter((F.col("status") == "active") & F.col("kind").isin(S.CONFLICT_KINDS)), threshold)
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("rival"), "overlap").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("rival"), "overlap"))
-    w = Window.partitionBy("id").orderBy(F.desc("overlap"), "rival")
-    return both.withColumn("k", F.row_number().over(w)).filter("k = 1").select("id", "rival", "overlap")
+    """(id, rival, overlap): the strongest rival by title of each record of a kind that can contradict; of equal ones the smallest.
+
+    A record with the same words as others rivals those, with overlap one.
+    """
+    chosen = items.filter((F.col("status") == "active") & F.col("kind").isin(S.CONFLICT_KINDS))
+    classes = written(title_classes(chosen), "titles")
+    pairs = linked_classes(classes, threshold)
+    both = pairs.select(F.col("a").alias("class_id"), F.col("b").alias("rival"), "overlap").unionByName(pairs.select(F.col("b").alias("class_id"), F.col("a").alias("rival"), "overlap"))
+    best = both.groupBy("class_id").agg(F.max(F.struct("overlap", (-F.col("rival")).alias("r"))).alias("b"))
+    key = ["project_id", "kind", "words"]
+    told = classes.withColumnRenamed("id", "class_id").join(best, "class_id", "left").select(*key, "class_id", "second", F.col("b.overlap").alias("o"), (-F.col("b.r")).alias("r"))
+    rows = title_words(chosen).select(*key, "id").join(told, key)
+    twin = F.when(F.col("id") != F.col("class_id"), F.col("class_id")).otherwise(F.col("second"))
+    out = rows.select("id", F.coalesce(twin, "r").alias("rival"), F.when(twin.isNotNull(), 1.0).otherwise(F.col("o")).alias("overlap"))
+    return out.filter("rival IS NOT NULL")
+
+
+def body_conflicts(new: DataFrame, items: DataFrame, newest: int = 50, least: float = 0.3) -> DataFrame:
+    """(id, rival, overlap): of the ``newest`` live records of the same project and kind, that whose title and body are most alike.
+
+    TF-IDF cosine with the rival as the only document: its terms weigh 1, others of the new text 1 + ln 2. ``new`` is a set of
+    records about to be saved, compared with a bounded list each.
+    """
+    w = Window.partitionBy("project_id", "kind").orderBy(F.desc("updated_at"), "id")
+    terms = lambda df: df.withColumn("t", F.transform(X.rerank_terms(F.concat_ws(" ", "title", "body")), lambda x: F.xxhash64(x)))
+    live = items.filter((F.col("status") == "active") & F.col("kind").isin(S.CONFLICT_KINDS))
+    near = terms(live.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= newest)).select("project_id", "kind", F.col("id").alias("rival"), F.col("t").alias("rt"))
+    rows = terms(new.filter(F.col("kind").isin(S.CONFLICT_KINDS))).select("project_id", "kind", "id", "t").join(near, ["project_id", "kind"]).filter("id <> rival")
+    both, n, m = F.size(F.array_intersect("t", "rt")).cast("double"), F.size("t"), F.size("rt")
+    cosine = both / (F.sqrt(m) * F.sqrt(both + (n - both) * F.pow(1 + F.ln(F.lit(2.0)), F.lit(2))))
+    scored = rows.select("id", "rival", F.round(F.coalesce(cosine, F.lit(0.0)), 6).alias("overlap")).filter(F.col("overlap") > least)
+    best = scored.groupBy("id").agg(F.max(F.struct("overlap", (-F.col("rival")).alias("r"))).alias("b"))
+    return best.select("id", (-F.col("b.r")).alias("rival"), F.col("b.overlap").alias("overlap"))
+
+
+def best_conflict(by_title: DataFrame, by_body: DataFrame, sure: float = 0.85, margin: float = 0.1) -> DataFrame:
+    """(id, rival, type, overlap): a title's conflict, or the body's where the title's isn't sure and weaker by the margin."""
+    t = by_title.select("id", F.col("rival").alias("tr"), F.col("overlap").alias("to"))
+    both = t.join(by_body.select("id", F.col("rival").alias("br"), F.col("overlap").alias("bo")), "id", "full_outer")
+    body = F.col("to").isNull() | ((F.col("to") < sure) & (F.col("bo") > F.col("to") + margin))
+    body = F.coalesce(body & F.col("bo").isNotNull(), F.lit(False))
+    return both.select(
+        "id", F.when(body, F.col("br")).otherwise(F.col("tr")).alias("rival"), F.when(body, "body_similar").otherwise("title_overlap").alias("type"), F.when(body, F.col("bo")).otherwise(F.col("to")).alias("overlap")
+    )
+
+
+def contradictions(conflicts_: DataFrame, relations: DataFrame) -> DataFrame:
+    """The contradicts edges that conflicts add to a table of relations which hasn't got them."""
+    edges = conflicts_.select(F.col("id").alias("from_id"), F.col("rival").alias("to_id"), F.lit("contradicts").alias("relation")).distinct()
+    return edges.join(relations, ["from_id", "to_id", "relation"], "left_anti")
 
 
 def resolution(overlap: Column) -> Column:
-    return F.when(overlap >= 0.85, "merge").when(overlap >= 0.7, "invalidate").otherwise("relate")
+    """What is done about a conflict; null is none."""
+    return F.when(overlap.isNull(), "add").when(overlap >= 1.0, "suppress").when(overlap >= 0.85, "merge").when(overlap >= 0.7, "invalidate").otherwise("relate")
+
+
+def _without_one(x: Column) -> Column:
+    """The strings that are left of one when a character goes."""
+    return F.transform(F.sequence(F.lit(1), F.char_length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.char_length(x))))
 
 
 def similar_names(names: DataFrame, most: int = 3) -> DataFrame:
     """(name, other, match, distance) among the distinct names of a column ``name``: case, substring, small edit distance.
 
-    Names are few (projects, not records). They meet on the trigrams that a match must share, or on being short.
+    Names within n edits leave the same string when each loses at most n characters; names of which one holds the other share
+    their trigrams. They meet on those, so names that aren't alike meet only by a common trigram.
     """
     n = names.select("name").distinct().withColumn("low", F.lower(F.trim("name")))
-    grams = F.when(F.length("low") >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 2, F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(3)))).otherwise(F.array())
-    # an edit distance of at most half the shorter name leaves one of its letters in place
-    letters = F.transform(F.array_distinct(F.split("low", "")), lambda c: F.concat(F.lit("."), c))
-    keys = n.select("name", "low", F.explode(F.array_distinct(F.concat(grams, letters))).alias("key"))
+    limit = lambda c: F.least(F.lit(most), F.greatest(F.floor(F.char_length(c) / 2).cast("int"), F.lit(1)))
+    # a name whose limit is n may meet longer ones, whose limit is larger, at n edits: each is filed under all its steps
+    steps = [F.array("low")]
+    for _ in range(most):
+        steps.append(F.array_distinct(F.flatten(F.transform(F.filter(steps[-1], lambda x: F.char_length(x) > 0), _without_one))))
+    left = F.transform(F.array_distinct(F.concat(*[F.when(limit(F.col("low")) >= k, x).otherwise(F.array().cast("array<string>")) for k, x in enumerate(steps)])), lambda x: F.concat(F.lit("-"), x))
+    at = F.sequence(F.lit(1), F.greatest(F.char_length("low") - 2, F.lit(1)))
+    grams = F.when(F.char_length("low") >= 3, F.transform(at, lambda i: F.substring(F.col("low"), i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    keys = n.select("name", "low", F.explode(F.array_distinct(F.concat(grams, left))).alias("key"))
     other = keys.select("key", F.col("name").alias("other"), F.col("low").alias("olow"))
     pairs = keys.join(other, "key").filter("name <> other").select("name", "low", "other", "olow").distinct()
-    limit = F.least(F.lit(most), F.greatest(F.floor(F.length("low") / 2), F.lit(1)))
-    inside = (F.length("low") >= 3) & (F.col("olow").contains(F.col("low")) | F.col("low").contains(F.col("olow")))
+    inside = (F.char_length("low") >= 3) & (F.col("olow").contains(F.col("low")) | F.col("low").contains(F.col("olow")))
     distance = F.levenshtein("low", "olow")
-    match = F.when(F.col("low") == F.col("olow"), "case").when(inside, "substring").when(distance <= limit, "levenshtein")
+    match = F.when(F.col("low") == F.col("olow"), "case").when(inside, "substring").when(distance <= limit(F.col("low")), "levenshtein")
     return pairs.select("name", "other", match.alias("match"), F.when(match == "levenshtein", distance).otherwise(0).alias("distance")).filter("match IS NOT NULL")
 
 
+def project_groups(names: DataFrame) -> DataFrame:
+    """(name, lead): projects that belong together. In order of name, each that isn't in a group yet leads one, of those after it
+    that hold it, that it holds or that begin with the same four characters.
+
+    Which name leads depends on all before it, so this is a fold over the sorted names, run once for the names that meet at all:
+    distinct names of projects, a few a thousand records, that share a trigram or their beginning.
+    """
+    n = names.select("name").distinct().withColumn("low", F.lower("name"))
+    at = F.sequence(F.lit(1), F.greatest(F.char_length("low") - 2, F.lit(1)))
+    keys = F.when(F.char_length("low") >= 3, F.transform(at, lambda i: F.substring(F.col("low"), i, F.lit(3)))).otherwise(F.array("low"))
+    keyed = n.select("name", "low", F.explode(F.array_distinct(keys)).alias("key"))
+    short = n.filter(F.char_length("low") < 3).select(F.col("name").alias("other"), F.col("low").alias("olow"))
+    later = keyed.select("key", F.col("name").alias("other"), F.col("low").alias("olow"))
+    met = keyed.join(later, "key").filter("name < other").select("name", "low", "other", "olow")
+    parts = lambda size: F.transform(F.sequence(F.lit(1), F.char_length("low") - size + 1), lambda i: F.substring(F.col("low"), i, F.lit(size)))
+    for size in (1, 2):  # names of one or two characters lie in others without a whole trigram
+        holds = n.filter(F.char_length("low") >= size).select("name", "low", F.explode(F.array_distinct(parts(size))).alias("olow")).join(short.filter(F.char_length("olow") == size), "olow")
+        pair = holds.filter("name <> other").select("name", "low", "other", "olow")
+        met = met.unionByName(pair.filter("name < other")).unionByName(pair.filter("name > other").select(F.col("other").alias("name"), F.col("olow").alias("low"), F.col("name").alias("other"), F.col("low").alias("olow")))
+    alike = F.col("low").contains(F.col("olow")) | F.col("olow").contains(F.col("low")) | ((F.char_length("low") >= 4) & (F.char_length("olow") >= 4) & (F.substring("low", 1, 4) == F.substring("olow", 1, 4)))
+    links = written(met.filter(alike).select("name", "other").distinct(), "names")
+    # a name leads if no leader before it takes it; rounds settle names whose earlier neighbours are all settled
+    open_ = links.select(F.col("other").alias("name")).union(links.select("name")).distinct().withColumn("lead", F.lit(None).cast("string"))
+    while True:
+        known = links.join(open_.select("name", F.col("lead").alias("of")), "name").groupBy("other").agg(
+            F.min(F.when(F.col("of") == F.col("name"), F.col("name"))).alias("taker"), F.min(F.when(F.col("of").isNull(), F.col("name"))).alias("waits")
+        ).withColumnRenamed("other", "name")
+        nxt = open_.join(known, "name", "left").select(
+            "name",
+            F.coalesce(
+                "lead",
+                F.when(F.col("taker").isNotNull() & (F.col("waits").isNull() | (F.col("taker") < F.col("waits"))), F.col("taker")).when(F.col("taker").isNull() & F.col("waits").isNull(), F.col("name")),
+            ).alias("lead"),
+        )
+        open_ = written(nxt, "names")
+        if open_.filter("lead IS NULL").isEmpty():
+            break
+    led = open_.filter("lead <> name")
+    return led.unionByName(led.select(F.col("lead").alias("name"), "lead").distinct())
+
+
 def containment(expected: Column, text: Column) -> Column:
     """Share of the expected tokens that a text contains."""
     low = F.lower(text)

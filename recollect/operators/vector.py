@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect import schema as S
 from recollect.functions import text as X
+from recollect.sources.scratch import written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,23 +34,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, floor: float = S.VEC
     ``metric`` cosine keeps similarities of at least ``floor``; l2 gives negated distances.
     """
     spark = vectors.sparkSession
-    n = queries.count()
+    blocks = max(1, -(-queries.count() // query_rows))
+    keyed = queries.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    k_best = lambda df, n: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).filter(F.col("rank") <= n)
     out = None
-    keyed = queries.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // query_rows)))))
-    for block in range(max(1, -(-n // query_rows))):  # a stated query set against all rows, in blocks of bounded size
-        part = keyed.filter(F.col("__b") == block).select("query_id", "embedding").toArrow()
-        ids = part.column("query_id").to_numpy()
-        matrix = np.array([v if v is not None else [] for v in part.column("embedding").to_pylist()], float) if len(ids) else np.zeros((0, 1))
-        shared = spark.sparkContext.broadcast((ids, matrix))
+    for block in range(blocks):  # a stated query set against all rows, in blocks of bounded size, one after the other
+        part = keyed.filter(F.col("__b") == block).select("query_id", "embedding").toArrow().combine_chunks()
+        size = pc.list_value_length(part.column("embedding"))
+        wide = pc.max(size).as_py() or 0
+        part = part.filter(pc.equal(size, wide)) if wide else part.slice(0, 0)
+        shared = spark.sparkContext.broadcast((part.column("query_id").to_numpy(), _matrix(part.column("embedding"), wide)))
 
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             norm = np.sqrt((q * q).sum(1))
             for batch in batches:
-                rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v is not None and len(v) == q.shape[1]]
-                if not rows or not len(ids):
+                # vectors of another length are like nothing
+                rows = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), q.shape[1]), False))
+                if not rows.num_rows or not len(ids):
                     continue
-                own, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+                own, x = rows.column(0).to_numpy(zero_copy_only=False), _matrix(rows.column(1), q.shape[1])
                 if metric == "cosine":
                     whole = norm[:, None] * np.sqrt((x * x).sum(1))[None, :]
                     sim = np.where(whole > 0, q @ x.T / np.where(whole > 0, whole, 1), 0.0)
@@ -60,10 +65,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, floor: float = S.VEC
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(own[b]), pa.array(sim[a, b])], ["query_id", "id", "similarity"])
 
         found = vectors.select("id", "embedding").mapInArrow(each, "query_id long, id long, similarity double")
+        found = k_best(found.withColumn("similarity", F.round("similarity", 6) + 0.0), k)
+        if blocks == 1:
+            return found
+        found = written(found, "nearest")
+        shared.destroy()
         out = found if out is None else out.unionByName(found)
-    out = out.withColumn("similarity", F.round("similarity", 6) + 0.0)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return out
+
+
+def _matrix(lists: pa.ChunkedArray | pa.Array, wide: int) -> np.ndarray:
+    """Lists of one length as rows."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float) if len(lists) else np.zeros(0)
+    return np.nan_to_num(flat, copy=False).reshape(len(lists), wide)
 
 
 def modifiers(now: str = S.NOW) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.plans import aggregates, evaluation, graphs, lifecycles, packs, scans, searches, similarities, streams, texts  # noqa: F401
+from recollect.plans import aggregates, datasets, evaluation, graphs, imports, lifecycles, packs, scans, searches, similarities, streams, texts  # noqa: F401
 from recollect.plans.base import QUERIES, SQL, Query
 
 

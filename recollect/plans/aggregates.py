@@ -108,7 +108,7 @@ def a8_revenue_by_nation(spark, d):
 
 
 @query("""SELECT event_type, CAST(quantile_cont(value, 0.5) AS DOUBLE) AS p50, CAST(quantile_cont(value, 0.95) AS DOUBLE) AS p95, max(value) AS top FROM events GROUP BY 1""")
-def b5_percentiles(spark, d):
+def b4_percentiles(spark, d):
     e = table(spark, d, "events")
     return e.groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"), F.max("value").alias("top"))
 

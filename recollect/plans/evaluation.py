@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recollect.functions import text as X
 from recollect.operators import evaluate as B
 from recollect.operators import search as O
+from recollect.operators import vector as V
 from recollect.plans.base import query
-from recollect.plans.searches import _PARTS, _scored
-from recollect.sources.tables import sql, table
+from recollect.plans.searches import _FIELDS, _FUSE, _PARTS, _STOP, _VEC, _hybrid, _scored, _vector_queries, _vectors
+from recollect.sources.tables import memory_items, sql, table
 
 _REL = "SELECT item_id AS query_id, doc_id AS id FROM benchmark JOIN documents ON contains(documents.text, split_part(benchmark.text, '.', 1))"
 _HITS = "SELECT query_id, r.rank, r.id FROM (SELECT * FROM ranked WHERE rank <= 10) r JOIN relevant USING (query_id, id)"
@@ -17,17 +19,19 @@ _PER = """SELECT q.query_id, min(rank) AS first, count(h.rank) FILTER (rank <= 5
 _EVAL = _PARTS | {"relevant": _REL, "hits": _HITS, "per": _PER}
 
 
+def _relevant(spark, d):
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.split_part("text", F.lit("."), F.lit(1)).alias("lead"))
+    return B.containing(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), b)
+
+
 def _cases(spark, d):
     best = O.top(_scored(spark, d), 10).select("query_id", "id", "rank")
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.split_part("text", F.lit("."), F.lit(1)).alias("lead"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    relevant = B.containing(docs, b)
-    return B.per_query(best, relevant, 5)
+    return B.per_query(best, _relevant(spark, d), 5)
 
 
 @query(sql("""SELECT query_id, coalesce(CAST(first AS INTEGER), 0) AS first_rank, found5 AS found, n AS relevant, round(coalesce(1.0 / first, 0), 6) AS rr,
     round(dcg / (SELECT sum(1 / log2(1 + k)) FROM range(1, 6) t(k) WHERE k <= n), 6) AS ndcg FROM per""", "items", "outcomes", **_EVAL))
-def b1_b4_per_query(spark, d):
+def b1_b3_per_query(spark, d):
     return _cases(spark, d)
 
 
@@ -38,14 +42,14 @@ def b2_summary(spark, d):
 
 
 @query(sql("""SELECT query_id % 4 AS category, count(*) AS queries, round(avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0 END), 6) AS recall_3 FROM per GROUP BY 1""", "items", "outcomes", **_EVAL))
-def b3_by_category(spark, d):
+def b5_by_category(spark, d):
     rows = _cases(spark, d).withColumn("category", F.col("query_id") % 4)
     return B.summary(rows, "category").select("category", "queries", "recall_3")
 
 
 @query(sql("""SELECT gate, value, value >= floor AS passed FROM (SELECT 'recall_3' AS gate, round(avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0 END), 6) AS value, 0.8 AS floor FROM per
     UNION ALL SELECT 'mrr', round(avg(round(coalesce(1.0 / first, 0), 6)), 6), 0.7 FROM per)""", "items", "outcomes", **_EVAL))
-def b6_gates(spark, d):
+def b9_gates(spark, d):
     return B.gates(B.summary(_cases(spark, d)), {"recall_3": 0.8, "mrr": 0.7})
 
 
@@ -53,3 +57,62 @@ def b6_gates(spark, d):
     (SELECT query_id, round((n - found5) / n::DOUBLE + CASE WHEN first IS NULL THEN 1 ELSE (first - 1) / 10.0 END, 6) AS severity FROM per) WHERE severity > 0 QUALIFY place <= 20""", "items", "outcomes", **_EVAL))
 def l4_worst_cases(spark, d):
     return B.worst(_cases(spark, d), 20)
+
+
+@query(sql("""SELECT guard, round(hits / (5.0 * (SELECT count(DISTINCT query_id) FROM found)), 6) AS share FROM (SELECT
+      count(*) FILTER (expires_at <= TIMESTAMP '2024-01-31 00:00:00') AS stale, count(*) FILTER (status = 'archived' OR coalesce(superseded_by, 0) <> 0) AS superseded, count(*) FILTER (project_id <> own) AS wrong_project FROM found)
+    UNPIVOT (hits FOR guard IN (stale, superseded, wrong_project))""", "items", **{**_VEC, "found": """SELECT n.query_id, i.status, i.superseded_by, i.expires_at, i.project_id, o.project_id AS own
+      FROM (SELECT * FROM near WHERE rank <= 5) n JOIN items i ON i.id = n.id JOIN items o ON o.id = n.query_id"""}))
+def b6_guards(spark, d):
+    """What share of the five places of each vector query goes to records that are stale, superseded or of another project."""
+    near = V.nearest(_vectors(spark, d), _vector_queries(spark, d), 5).select("query_id", "id", "rank")
+    i = memory_items(spark, d).select("id", "project_id", "status", "superseded_by", "expires_at")
+    own = i.select(F.col("id").alias("query_id"), F.col("project_id").alias("project"))
+    return B.guards(near.join(i, "id").join(own, "query_id"), 5)
+
+
+@query(sql("""SELECT 'abstention' AS score, count(*) AS cases, round(coalesce(avg(CASE WHEN best >= 0.9 THEN 0.0 ELSE 1.0 END), 1), 6) AS value FROM
+      (SELECT b.item_id, max(score) AS best FROM benchmark b LEFT JOIN ranked ON query_id = item_id WHERE item_id NOT IN (SELECT query_id FROM relevant) GROUP BY 1)
+    UNION ALL SELECT 'required', count(*), round(sum(least(found5, n))::DOUBLE / sum(n), 6) FROM per""", "items", "outcomes", **_EVAL))
+def b7_scores(spark, d):
+    """Queries without a relevant document whose best result is rightly weak, and hits among those required of the others."""
+    scored, relevant = _scored(spark, d), _relevant(spark, d)
+    best = O.top(scored, 10)
+    none = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(relevant.select("query_id").distinct(), "query_id", "left_anti")
+    return B.abstention(none, best, 0.9).unionByName(B.required(B.per_query(best.select("query_id", "id", "rank"), relevant, 5)))
+
+
+_Q = rf"list_distinct(list_filter({_FIELDS}, x -> octet_length(encode(x)) >= 3 AND x NOT IN ({_STOP})))"
+
+
+@query(sql("""SELECT count(*) AS cases, round(avg(best), 6) AS average_overlap, round(max(best), 6) AS most_overlap, round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0 END), 6) AS weak_distractors,
+    round(avg(CASE WHEN best >= 0.7 THEN 1.0 ELSE 0 END), 6) AS high_overlap FROM audit""", "items", relevant=_REL,
+    audit=f"""SELECT query_id, count(*) AS n, max(CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0 ELSE len(list_intersect(q, t)) / (len(q) + len(t) - len(list_intersect(q, t)))::DOUBLE END) AS best FROM
+      (SELECT r.query_id, {_Q.replace('@', 'b.text')} AS q, {_Q.replace('@', 'i.title')} AS t FROM relevant r JOIN benchmark b ON b.item_id = r.query_id JOIN items i ON i.id = r.id) GROUP BY 1"""))
+def b8_fixture_audit(spark, d):
+    """How far queries give their answers away: the overlap of their terms with the titles of what they should find."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), X.plain_terms("text").alias("q"))
+    titles = memory_items(spark, d).select("id", X.plain_terms("title").alias("t"))
+    return B.audit(_relevant(spark, d).join(asked, "query_id").join(titles, "id"))
+
+
+_MODES = {k: v for k, v in _EVAL.items() if k not in ("hits", "per")} | {k: v for k, v in _FUSE.items() if k not in _PARTS} | {
+    "lanes3": "SELECT 'lexical' AS mode, query_id, id, rank FROM ranked WHERE rank <= 5 UNION ALL SELECT 'vector', query_id, id, rank FROM vnear WHERE rank <= 5 UNION ALL SELECT 'hybrid', query_id, id, rank FROM best WHERE rank <= 5"
+}
+
+
+@query(sql("""SELECT mode, count(*) AS queries, round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS recall_5, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM
+    (SELECT m.mode, q.query_id, min(l.rank) AS first FROM (SELECT DISTINCT query_id FROM relevant) q CROSS JOIN (SELECT unnest(['lexical', 'vector', 'hybrid']) AS mode) m
+      LEFT JOIN (SELECT l.* FROM lanes3 l JOIN relevant USING (query_id, id)) l ON l.query_id = q.query_id AND l.mode = m.mode GROUP BY 1, 2) GROUP BY 1""", "items", "outcomes", **_MODES))
+def b10_mode_sweep(spark, d):
+    """Every way of retrieval on the same queries."""
+    relevant = _relevant(spark, d)
+    asked = table(spark, d, "benchmark").join(table(spark, d, "embeddings"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query_id"), "embedding")
+    modes = {"lexical": O.top(_scored(spark, d), 5), "vector": V.nearest(_vectors(spark, d), asked, 5), "hybrid": _hybrid(spark, d, 5)}
+    return B.sweep({k: v.select("query_id", "id", "rank") for k, v in modes.items()}, relevant)
+
+
+@query(sql("SELECT count(*) AS queries, round(avg(coalesce(h, 0) / 3.0), 6) AS precision_3 FROM benchmark LEFT JOIN (SELECT query_id, count(*) AS h FROM hits WHERE rank <= 3 GROUP BY 1) ON query_id = item_id", "items", "outcomes", **_EVAL))
+def b11_precision(spark, d):
+    best = O.top(_scored(spark, d), 3).select("query_id", "id", "rank")
+    return B.precision(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")), best, _relevant(spark, d), 3)

@@ -8,16 +8,22 @@ from recollect import schema as S
 from recollect.functions import text as X
 from recollect.operators import lifecycle as L
 from recollect.plans.base import query
+from recollect.plans.texts import redact_sql
 from recollect.sources.tables import entity_links, memory_items, outcomes, prompts, relations, sessions, sql, table
 
 
-@query(sql(rf"""SELECT id, project_id, kind, {S.lookup_sql("kind", S.CLASS_OF_KIND, "tactical")} AS classification, sha256(project_id || '|' || sha256(lower(trim(regexp_replace(body, '\s+', ' ', 'g')))) || '|' || lower(trim(title))) AS idempotency_key
-    FROM (SELECT id, project_id, kind, trim(title) AS title, CASE WHEN greatest(floor(len(w) * 1.35 + 0.5), 1) <= lim THEN trim(body) ELSE array_to_string(w[:CAST(floor((lim - 5) / 1.35) AS INTEGER)], ' ') || '... [truncated]' END AS body FROM
-      (SELECT *, {S.lookup_sql("kind", S.BODY_LIMIT, 1000)} AS lim, list_filter(regexp_split_to_array(trim(body), '\s+'), x -> x <> '') AS w FROM items WHERE NOT regexp_matches(body, '(?i)(ghp_|gh[ohus]_|sk-|sk_|xox|AKIA|key|token|secret|password|bearer|<private)')))""", "items"))
+def _cleaned(col: str) -> str:
+    return redact_sql(rf"trim(regexp_replace({col}, '(?is)<private>.*?</private>', '[REDACTED]', 'g'), ' ')")
+
+
+@query(sql(rf"""SELECT id, project_id, kind, {S.lookup_sql("kind", S.CLASS_OF_KIND, "tactical")} AS classification, sha256(project_id || '|' || sha256(lower(trim(regexp_replace(body, '\s+', ' ', 'g'), ' '))) || '|' || lower(trim(title, ' '))) AS idempotency_key
+    FROM (SELECT id, project_id, kind, title, CASE WHEN body = '' OR greatest(floor(len(w) * 1.35 + 0.5), 1) <= lim THEN body ELSE array_to_string(w[:CAST(floor((lim - 5) / 1.35) AS INTEGER)], ' ') || '... [truncated]' END AS body FROM
+      (SELECT *, {S.lookup_sql("kind", S.BODY_LIMIT, 1000)} AS lim, list_filter(regexp_split_to_array(body, '\s+'), x -> x <> '') AS w FROM
+        (SELECT id, project_id, kind, {_cleaned("title")} AS title, {_cleaned("body")} AS body FROM items)))""", "items"))
 def w1_prepare_insert(spark, d):
-    """Records without anything to redact, as they are written: cut to their kind's limit, classed and keyed."""
-    plain = memory_items(spark, d).filter(~F.col("body").rlike("(?i)(ghp_|gh[ohus]_|sk-|sk_|xox|AKIA|key|token|secret|password|bearer|<private)"))
-    return L.prepare_insert(plain.select("id", "project_id", "kind", "title", "body")).select("id", "project_id", "kind", "classification", "idempotency_key")
+    """Records as they are written: secrets and private parts gone, cut to their kind's limit, classed and keyed."""
+    rows = memory_items(spark, d).select("id", "project_id", "kind", "title", "body")
+    return L.prepare_insert(rows).select("id", "project_id", "kind", "classification", "idempotency_key")
 
 
 @query(sql("""SELECT id, field, old_value, new_value FROM (SELECT id, 'title' AS field, title AS old_value, CASE WHEN id % 5 = 0 THEN lower(title) END AS new_value FROM items
@@ -67,10 +73,12 @@ def w9_guarded_delete(spark, d):
     return s.join(memory_items(spark, d).select("session_id").distinct(), "session_id", "left_anti").select("id")
 
 
-@query(sql("""SELECT project_id, title, min(id) AS id FROM items WHERE id % 3 = 1 AND (project_id, title) NOT IN (SELECT project_id, title FROM items WHERE id % 3 = 0) GROUP BY 1, 2""", "items"))
+@query(sql("""SELECT project_id, title, min(id) AS id FROM items WHERE id NOT IN (SELECT doc_id FROM labels) AND (project_id, title) NOT IN (SELECT project_id, title FROM items WHERE id IN (SELECT doc_id FROM labels)) GROUP BY 1, 2""", "items"))
 def w10_insert_or_ignore(spark, d):
+    """Records without a label go to a table that holds those with one, unless project and title are there."""
     i = memory_items(spark, d).select("project_id", "title", "id")
-    return L.ignore_known(i.filter("id % 3 = 1"), i.filter("id % 3 = 0"), ["project_id", "title"])
+    labelled = table(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    return L.ignore_known(i.join(labelled, "id", "left_anti"), i.join(labelled, "id", "left_semi"), ["project_id", "title"])
 
 
 @query(sql("SELECT from_id, to_id, relation FROM relations WHERE (from_id, to_id, relation) NOT IN (SELECT from_id, to_id, relation FROM relations WHERE relation = 'caused' AND from_id % 2 = 0)", "relations"))
@@ -176,15 +184,19 @@ def e13_chunk_project_filter(spark, d):
     return direct.union(by_session).distinct()
 
 
-@query(sql("SELECT id, project, coalesce(NULL, 'none') AS summary, 0 AS revision FROM sessions", "sessions"))
+@query(sql("""SELECT id, project, coalesce(summary, 'none') AS summary, coalesce(revision, 0) AS revision FROM (SELECT id, project, NULL AS summary, NULL AS revision FROM sessions WHERE ended_at IS NULL
+    UNION ALL SELECT s.id, s.project, first, n FROM sessions s JOIN (SELECT session_id, CAST(count(*) AS INTEGER) AS n, min(left(content, 40)) AS first FROM prompts GROUP BY 1) p ON p.session_id = s.id WHERE ended_at IS NOT NULL)""", "sessions", "prompts"))
 def e14_migrate(spark, d):
-    """Columns added later, with their defaults."""
-    new = spark.createDataFrame([], "id string, project string, summary string, revision int")
-    out = sessions(spark, d).select("id", "project").unionByName(new, allowMissingColumns=True)
-    return out.fillna({"summary": "none", "revision": 0})
+    """Rows of an old schema (open sessions) under the new one, whose rows (ended sessions) have a summary and a revision."""
+    s = sessions(spark, d)
+    told = prompts(spark, d).groupBy(F.col("session_id").alias("id")).agg(F.min(F.substring("content", 1, 40)).alias("summary"), F.count("*").cast("int").alias("revision"))
+    new = s.filter("ended_at IS NOT NULL").select("id", "project").join(told, "id")
+    old = s.filter("ended_at IS NULL").select("id", "project")
+    return L.migrated(old, new, {"summary": "none", "revision": 0})
 
 
-@query()
+@query(sql(r"""SELECT project, n AS rows, left(sha256(CAST(d AS VARCHAR) || '|' || n), 8) AS chunk_id FROM (SELECT project, count(*) AS n,
+    sum(CAST(('0x' || left(sha256(id || chr(1) || session_id || chr(1) || content), 15)) AS HUGEINT)) AS d FROM prompts GROUP BY 1)""", "prompts"))
 def d7_chunk_addresses(spark, d):
     return L.chunk_id(prompts(spark, d), "project", ["id", "session_id", "content"])
 
@@ -200,14 +212,12 @@ def j17_candidate_sources(spark, d):
     return sources.join(i.select("id", "title"), "id").select("group_id", "id", "title")
 
 
-@query(sql(f"""SELECT id, new_kind AS kind FROM (SELECT id, {S.lookup_sql("kind", {"pattern": "procedure", "glossary": "identity"}, "discovery")} AS new_kind FROM items WHERE id % 4 = 0) WHERE id NOT IN (SELECT id FROM items WHERE id % 8 = 0)
-    UNION ALL SELECT id, kind FROM items WHERE id % 8 = 0""", "items"))
+@query(sql(f"""SELECT id, {S.lookup_sql("kind", {"pattern": "procedure", "glossary": "identity"}, "discovery")} AS kind, 'ported' AS came FROM items WHERE id NOT IN (SELECT doc_id FROM labels)
+    UNION ALL SELECT id, kind, 'kept' FROM items WHERE id IN (SELECT doc_id FROM labels)""", "items"))
 def s16_legacy_port(spark, d):
-    """Rows of an old table that the new one lacks, with their kinds mapped, beside those that it has."""
-    i = memory_items(spark, d)
-    new = i.filter("id % 8 = 0").select("id", "kind")
-    old = i.filter("id % 4 = 0").select("id", S.lookup("kind", {"pattern": "procedure", "glossary": "identity"}, "discovery").alias("kind"))
-    return old.join(new.select("id"), "id", "left_anti").unionByName(new)
+    """Rows of an old table (all records) that the new one (the labelled) lacks, with their kinds mapped, beside those that it has."""
+    i, labelled = memory_items(spark, d).select("id", "kind"), table(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    return L.ported(i, i.join(labelled, "id", "left_semi"), {"pattern": "procedure", "glossary": "identity"}, "discovery")
 
 
 @query(sql("""SELECT project, string_agg('- ' || left(content, 80), chr(10) ORDER BY k) AS context FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY created_at DESC, id) AS k FROM prompts) WHERE k <= 5 GROUP BY 1""", "prompts"))

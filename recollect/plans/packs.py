@@ -50,12 +50,15 @@ def _requests(spark, d):
     )
 
 
-def _placed(spark, d):
+def _rows(spark, d):
     items, requests = memory_items(spark, d), _requests(spark, d)
     weights = items.join(G.comentions(entity_links(spark, d), items).select("id", F.col("weight").alias("entity_weight")), "id", "left")
     weights = weights.join(G.relation_weight(relations(spark, d)).select("id", F.col("weight").alias("relation_weight")), "id", "left")
-    rows = P.candidates(items, requests).join(weights, "id").join(requests, "request_id")
-    scored = rows.select("request_id", "id", "updated_at", X.token_estimate("body").alias("tokens"), F.round(P.total(P.score()), 6).alias("score"))
+    return P.candidates(items, requests).join(weights, "id").join(requests, "request_id")
+
+
+def _placed(spark, d):
+    scored = _rows(spark, d).select("request_id", "id", "updated_at", X.token_estimate("body").alias("tokens"), F.round(P.total(P.score()), 6).alias("score"))
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), F.desc("updated_at"), "id")
     return scored.withColumn("place", F.row_number().over(w)).select("request_id", "id", "score", "place", "tokens")
 
@@ -65,6 +68,15 @@ def p1_d2_candidates(spark, d):
     return P.candidates(memory_items(spark, d), _requests(spark, d))
 
 
+@query(sql("""SELECT request_id, i.id FROM cands c JOIN items i ON i.id = c.id JOIN requests USING (request_id) WHERE i.domain = domain_wanted AND (moment IS NULL OR ((valid_from IS NULL OR valid_from <= moment) AND (valid_to IS NULL OR valid_to > moment)))""",
+    "items", **{k: _SQL[k] for k in ("live", "requests", "lane_g", "lane_p", "lane_s", "cands")}))
+def f10_pack_filter(spark, d):
+    """Candidates of the wanted domain alone that held at the request's moment, if it names one."""
+    requests = _requests(spark, d)
+    rows = P.candidates(memory_items(spark, d), requests).join(memory_items(spark, d).select("id", "domain", "valid_from", "valid_to"), "id").join(requests, "request_id")
+    return P.fitting(rows).select("request_id", "id")
+
+
 @query(sql("SELECT * FROM placed", *_NEEDS, **_SQL))
 def p2_pack_scores(spark, d):
     return _placed(spark, d)
@@ -79,6 +91,23 @@ def p4_n5_greedy_pack(spark, d):
     return P.greedy(_placed(spark, d), 400)
 
 
+_WALK = """SELECT request_id, CAST(NULL AS BIGINT) AS id, 0 AS place, 380 AS remaining, '' AS verdict FROM requests UNION ALL
+        SELECT p.request_id, p.id, p.place, w.remaining - u, v FROM walk w JOIN placed p ON p.request_id = w.request_id AND p.place = w.place + 1,
+        LATERAL (SELECT CASE WHEN p.tokens <= w.remaining THEN p.tokens WHEN p.tokens <= w.remaining + 200 AND w.remaining > 60 THEN w.remaining - 50 ELSE 0 END AS u,
+                        CASE WHEN p.tokens <= w.remaining THEN 'included' WHEN p.tokens <= w.remaining + 200 AND w.remaining > 60 THEN 'truncated' ELSE 'excluded' END AS v)"""
+
+
+@query(sql("""SELECT p.request_id, p.id, i.kind, i.scope, i.classification, p.score, p.tokens, w.verdict <> 'excluded' AS included, w.verdict AS reason, 15 AS components, true AS adds_up
+    FROM walk w JOIN placed p ON p.request_id = w.request_id AND p.place = w.place JOIN items i ON i.id = p.id WHERE w.place > 0""", *_NEEDS, **_SQL, walk=_WALK))
+def p5_explain(spark, d):
+    """Each candidate with its components and what became of it; the components themselves are in P.explained."""
+    rows = P.explained(_rows(spark, d), P.greedy(_placed(spark, d), 400))
+    total = F.aggregate(F.map_values("score_components"), F.lit(0.0), lambda a, x: a + x)
+    return rows.select(
+        "request_id", "id", "kind", "scope", "classification", "score", "tokens", "included", "reason", F.size("score_components").alias("components"), (F.abs(total - F.col("score")) < 2e-6).alias("adds_up")
+    )
+
+
 @query(sql("""SELECT request_id, id, place, CAST(running AS BIGINT) AS running FROM (SELECT *, sum(tokens) OVER (PARTITION BY request_id ORDER BY place) AS running FROM placed) WHERE running <= 800""", *_NEEDS, **_SQL))
 def n6_prefix_budget(spark, d):
     return P.prefix_budget(_placed(spark, d), 800, ["request_id"], [F.asc("place")], F.col("tokens")).select("request_id", "id", "place", "running")

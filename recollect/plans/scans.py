@@ -73,12 +73,13 @@ def s12_json_payloads(spark, d):
     return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.try_parse_json("props").isNotNull().alias("valid"))
 
 
-@query(sql("""SELECT q.t AS asof, i.id FROM items i JOIN (SELECT DISTINCT CAST(created_at AS DATE) AS t FROM prompts) q
-    ON i.valid_to IS NOT NULL AND i.valid_from <= q.t AND i.valid_to > q.t""".replace("q.t AS asof", "CAST(q.t AS VARCHAR) AS asof"), "items", "prompts"))
+@query(sql("""SELECT CAST(q.t AS VARCHAR) AS asof, i.id FROM items i JOIN (SELECT DISTINCT CAST(updated_at AS DATE) AS t FROM items) q
+    ON i.valid_to IS NOT NULL AND i.valid_from <= q.t AND i.valid_to > q.t""", "items"))
 def f2_as_of_join(spark, d):
-    """Validity windows against instants: windows are at most ten days long, so each is laid out by the day."""
-    days = prompts(spark, d).select(F.to_date("created_at").alias("t")).distinct()
-    bound = memory_items(spark, d).filter("valid_to IS NOT NULL").select("id", "valid_from", "valid_to")
+    """Validity windows against every day on which a record changed: windows are at most ten days long, so each is laid out by the day."""
+    i = memory_items(spark, d)
+    days = i.select(F.to_date("updated_at").alias("t")).distinct()
+    bound = i.filter("valid_to IS NOT NULL").select("id", "valid_from", "valid_to")
     laid = bound.withColumn("t", F.explode(F.sequence(F.to_date("valid_from"), F.to_date("valid_to"))))
     found = laid.join(days, "t").filter(O.valid_at(F.col("t").cast("timestamp")))
     return found.select(F.col("t").cast("string").alias("asof"), "id")
@@ -90,9 +91,9 @@ def f3_since_and_ingested(spark, d):
     return i.filter((F.col("updated_at") >= O.at("2023-12-01 00:00:00")) & (F.col("ingested_at") <= O.at("2024-01-20 00:00:00")) & (F.col("session_id") == "s7")).select("id", "session_id")
 
 
-@query(sql("SELECT id, applies_to_json FROM items WHERE lower(applies_to_json) LIKE '%src3/f1%'", "items"))
+@query(sql("SELECT id, applies_to_json FROM items WHERE lower(applies_to_json) LIKE '%src3/f3%'", "items"))
 def f4_path_predicate(spark, d):
-    return O.touching(memory_items(spark, d), "SRC3/f1").select("id", "applies_to_json")
+    return O.touching(memory_items(spark, d), "SRC3/f3").select("id", "applies_to_json")
 
 
 @query(sql(f"SELECT id, kind, domain FROM items WHERE {FRESH} AND scope = 'project' AND kind = 'decision' AND written_by = 'agent1'", "items"))
@@ -174,12 +175,21 @@ def n4_top_k_per_group(spark, d):
     return table(spark, d, "orders").withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("o_custkey", "o_orderkey", "rank")
 
 
-@query(sql("""SELECT id, CAST(hits AS INTEGER) AS hits FROM (SELECT id, (CASE WHEN body LIKE '%the%' THEN 1 ELSE 0 END) + (CASE WHEN title LIKE '%and%' THEN 1 ELSE 0 END) AS hits, updated_at FROM items)
-    ORDER BY hits DESC, updated_at DESC, id LIMIT 100""", "items"))
+@query(sql("""SELECT session_id, id, CAST(hits AS INTEGER) AS hits, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY hits DESC, original) AS place FROM
+    (SELECT r.session_id, r.id, original, len(list_filter(h.hints, x -> contains(lower(r.applies_to_json), x))) AS hits FROM
+      (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY updated_at DESC, id) AS original FROM items) r
+      JOIN (SELECT session_id, list(DISTINCT file) AS hints FROM (SELECT session_id, 'f' || (id % 20) || '.py' AS file, row_number() OVER (PARTITION BY session_id ORDER BY updated_at DESC, id) AS k FROM items) WHERE k <= 3 GROUP BY 1) h USING (session_id)
+      WHERE original <= 60))""", "items"))
 def l3_hint_sort(spark, d):
+    """The 60 newest records of a session, those first that touch more of the files of its three newest; else as they were."""
     i = memory_items(spark, d)
-    hits = F.col("body").contains("the").cast("int") + F.col("title").contains("and").cast("int")
-    return i.select("id", hits.alias("hits"), "updated_at").orderBy(F.desc("hits"), F.desc("updated_at"), "id").limit(100).select("id", "hits")
+    w = Window.partitionBy("session_id").orderBy(F.desc("updated_at"), "id")
+    rows = i.select("session_id", "id", "updated_at", F.lower("applies_to_json").alias("touched")).withColumn("original", F.row_number().over(w)).filter("original <= 60")
+    file = F.concat(F.lit("f"), F.col("id") % 20, F.lit(".py"))
+    hints = rows.filter("original <= 3").groupBy("session_id").agg(F.collect_set(file).alias("hints"))  # at most three
+    hits = F.size(F.filter("hints", lambda x: F.contains("touched", x)))
+    out = rows.join(hints, "session_id").withColumn("hits", hits)
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("hits"), "original"))).select("session_id", "id", "hits", "place")
 
 
 @query(sql("""SELECT project, count(*) AS n, count(DISTINCT name) AS names FROM (SELECT project_id AS project, title AS name FROM items UNION ALL SELECT project, id FROM sessions UNION ALL SELECT project, session_id FROM prompts) GROUP BY 1""", "items", "sessions", "prompts"))
@@ -198,7 +208,7 @@ def d4_prefix_dedup(spark, d):
     return memory_items(spark, d).groupBy("project_id", F.substring("body", 1, 64).alias("head")).agg(F.min("id").alias("id"))
 
 
-@query(sql("""SELECT id FROM items WHERE id % 10 = 3 EXCEPT SELECT o_orderkey FROM orders""", "items"))
-def d2_except(spark, d):
-    return memory_items(spark, d).filter("id % 10 = 3").select("id").exceptAll(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).distinct())
-
+@query(sql("SELECT id FROM items EXCEPT SELECT doc_id FROM labels", "items"))
+def d1_except(spark, d):
+    """Records without a label."""
+    return memory_items(spark, d).select("id").exceptAll(table(spark, d, "labels").select(F.col("doc_id").alias("id")).distinct())

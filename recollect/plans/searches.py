@@ -48,13 +48,8 @@ def _queries(spark, d):
 
 
 def _scored(spark, d):
-    docs, queries = _live(spark, d), _queries(spark, d)
-    whole = O.bm25(docs, queries)
-    missing = queries.join(whole.select("query_id").distinct(), "query_id", "left_anti")
-    matches = O.with_fallback(whole, O.bm25(docs, missing, every=False))
-    scored = O.relevance(matches.drop("lane"), docs, outcomes(spark, d))
-    lanes = matches.select("query_id", "lane").distinct()
-    return scored.join(lanes, "query_id").withColumn("score", F.round("score", 6))
+    docs = _live(spark, d)
+    return O.relevance(O.matches(docs, _queries(spark, d)), docs, outcomes(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query(sql("SELECT query_id, CAST(rank AS INTEGER) AS rank, id, hits, lane, score FROM ranked WHERE rank <= 10", "items", "outcomes", **_PARTS))

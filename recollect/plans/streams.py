@@ -1,4 +1,4 @@
-"""Streams drained over the events table, each against its batch twin in SQL."""
+"""Streams drained over the events table, each against its batch twin in SQL: windows that the watermark has passed."""
 
 from __future__ import annotations
 
@@ -8,22 +8,25 @@ from recollect.plans.base import query
 from recollect.streaming import flows as Z
 
 
-@query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
+@query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events
+    GROUP BY CAST(ts AS DATE), event_type HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""")
 def z_tumbling_windows(spark, d):
-    out = Z.drain(Z.windowed(Z.events(spark, d)), "complete")
+    out = Z.drain(Z.windowed(Z.events(spark, d)))
     return out.select(F.to_date("w.start").cast("string").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query("""SELECT CAST(s AS VARCHAR) AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s FROM events) GROUP BY 1, 2""")
+@query("""SELECT CAST(s AS VARCHAR) AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s FROM events)
+    WHERE s + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY 1, 2""")
 def z_sliding_windows(spark, d):
-    out = Z.drain(Z.windowed(Z.events(spark, d), "2 days", "1 day"), "complete")
+    out = Z.drain(Z.windowed(Z.events(spark, d), "2 days", "1 day"))
     return out.select(F.col("w.start").cast("string").alias("start"), "event_type", "n")
 
 
-@query("""SELECT user_id, count(*) AS sessions, CAST(max(n) AS BIGINT) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
-    (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY 1, 2) GROUP BY 1""")
+@query("""SELECT user_id, count(*) AS sessions, CAST(max(n) AS BIGINT) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
+    (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY 1, 2
+    HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)) GROUP BY 1""")
 def z_session_windows(spark, d):
-    out = Z.drain(Z.session_windows(Z.events(spark, d)), "complete")
+    out = Z.drain(Z.session_windows(Z.events(spark, d)))
     return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 

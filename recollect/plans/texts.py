@@ -10,7 +10,7 @@ from recollect.plans.base import query
 from recollect.sources.tables import memory_items, sql, table
 
 
-def _redact_sql(col: str) -> str:
+def redact_sql(col: str) -> str:
     out = col
     for p in S.SECRET_PATTERNS:
         quoted = p.replace("'", "''")
@@ -18,7 +18,7 @@ def _redact_sql(col: str) -> str:
     return rf"regexp_replace({out}, '(\[SECRET\])+', '[SECRET]', 'g')"
 
 
-@query(f"SELECT doc_id, {_redact_sql('text')} AS redacted FROM documents")
+@query(f"SELECT doc_id, {redact_sql('text')} AS redacted FROM documents")
 def x1_redact(spark, d):
     return table(spark, d, "documents").select("doc_id", X.redact("text").alias("redacted"))
 
@@ -51,14 +51,7 @@ def x4_clip_to_tokens(spark, d):
     FROM (SELECT DISTINCT doc_id, lower(m) AS name FROM u WHERE length(m) >= 3)""")
 def x6_entities(spark, d):
     """Names in whole texts, by rows rather than lists: a long text has many."""
-    token, camel, date, host = S.ENTITY_PATTERNS
-    t = F.col("text")
-    every = F.concat(
-        F.regexp_extract_all(t, F.lit(token), F.lit(0)), F.transform(F.regexp_extract_all(t, F.lit(date), F.lit(0)), lambda x: F.concat(F.lit("date-"), x)),
-        F.regexp_extract_all(t, F.lit(host), F.lit(1)),
-    )
-    names = F.array_distinct(F.transform(F.filter(every, lambda x: F.char_length(x) >= 3), lambda x: F.lower(x)))
-    rows = table(spark, d, "documents").select("doc_id", F.explode(names).alias("name"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(X.entities("text")).alias("name"))
     return rows.select("doc_id", X.entity_type("name").alias("type"), "name")
 
 
@@ -69,10 +62,10 @@ def _family_sql() -> str:
 
 
 @query(sql(rf"""SELECT id, family || '/' || CASE WHEN s = '' OR s = family THEN 'general' ELSE s END AS topic FROM (SELECT id, family, CASE WHEN starts_with(seg, family || '-') THEN substr(seg, length(family) + 2, 100) ELSE seg END AS s FROM
-    (SELECT id, {_family_sql()} AS family, left(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 100) AS seg FROM items WHERE regexp_matches(title, '[A-Za-z0-9]')))""", "items"))
+    (SELECT id, family, left(trim(regexp_replace(CASE WHEN regexp_matches(title, '[A-Za-z0-9]') THEN lower(title) ELSE array_to_string(list_filter(regexp_split_to_array(lower(body), '\s+'), x -> x <> '')[:8], ' ') END, '[^a-z0-9]+', '-', 'g'), '-'), 100) AS seg
+     FROM (SELECT *, {_family_sql()} AS family FROM items)))""", "items"))
 def x8_topic_keys(spark, d):
-    i = memory_items(spark, d).filter(F.col("title").rlike("[A-Za-z0-9]"))
-    return i.select("id", X.topic_key("kind", "title", "body").alias("topic"))
+    return memory_items(spark, d).select("id", X.topic_key("kind", "title", "body").alias("topic"))
 
 
 @query(sql(f"""SELECT id, {S.lookup_sql("alias", S.KIND_ALIAS, "none")} AS kind FROM (SELECT id, ['learned', 'preference', 'manual', 'note', 'architecture', 'session_summary', 'other'][CAST(id % 7 AS INTEGER) + 1] AS alias FROM items)""", "items"))

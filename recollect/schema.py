@@ -52,7 +52,11 @@ SECRET_PATTERNS = [
     r"(?i)sk_(?:live|test)_[a-zA-Z0-9]{24,}",
     r"(?i)key\s*[:=]\s*['\"]?[a-zA-Z0-9_-]{39}['\"]?",
 ]
+#: What every secret, and every mark of one, holds in lower case.
+SECRET_MARKS = r"gh[pohus]_|sk[-_]|bearer|token|key|secret|password|akia|xox"
 ENTITY_PATTERNS = [r"[A-Za-z_][A-Za-z0-9_\-/]{2,}", r"\b[A-Z][a-z]{2,}(?:[A-Z][a-z]{2,})+\b", r"\b\d{4}-\d{2}-\d{2}\b", r"https?://([\w.\-]+)"]
+# Fixed values as well, down to the clock.
+LOCAL_CLIENTS = ["cli", "mcp", "http", "opencode", "mission-control"]
 PATH_ENDINGS = [".go", ".ts", ".tsx", ".js", ".py", ".sql", ".yaml", ".yml", ".json", ".md", ".txt"]
 TOPIC_BY_TYPE = {
     "architecture": "architecture design adr refactor", "bug": "bug bugfix fix incident hotfix", "decision": "decision",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,11 @@ def events(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame) -> DataFrame:
     """Run a stream over all that its source holds, and read what it wrote.
 
-    In append mode each batch adds its rows; in complete mode the last batch's rows are the result. Batches are written
-    under their number, so one that is run again replaces itself.
+    Each batch adds its rows (append mode); windows come out when the watermark has passed them, so state is no more than
+    what may still change. Batches are written under their number, so one that is run again replaces itself.
     """
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     done: list[int] = []
@@ -34,12 +35,11 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{folder}/out/{epoch}")
         done.append(epoch)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     if not done:
         return spark.createDataFrame([], stream.schema)
-    epochs = done[-1:] if mode == "complete" else sorted(set(done))
-    return spark.read.schema(stream.schema).parquet(*[f"{folder}/out/{e}" for e in epochs])
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/out/{e}" for e in sorted(set(done))])
 
 
 def windowed(stream: DataFrame, length: str = "1 day", slide: str | None = None, late: str = "2 days") -> DataFrame:
@@ -61,23 +61,36 @@ def gated(stream: DataFrame, level: str, needs: Callable) -> DataFrame:
     return stream.filter(needs(F.col("event_type")) <= LEVELS.index(level))
 
 
-def activity(stream: DataFrame, save: str = "purchase", idle: int = 6) -> DataFrame:
+def activity(stream: DataFrame, save: str = "purchase", idle: int = 6, late: str = "2 days", forget: str = "30 days") -> DataFrame:
     """(user_id, calls, saves, nudge) after each batch: running counts of a user, kept as state between batches.
 
-    A nudge is due for a user with more than ``idle`` calls since the last save.
+    A nudge is due for a user with more than ``idle`` calls since the last save. The calls of a batch are taken in order of
+    time, over all of its frames; a user without calls for as long as ``forget`` is forgotten.
     """
+    days = int(forget.split()[0]) * 86_400_000
 
     def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         calls, saves, since = state.get if state.exists else (0, 0, 0)
+        seen, last = [], None
         for f in frames:
-            for kind in f.sort_values(["ts", "event_id"])["event_type"]:
-                calls += 1
-                since += 1
-                if kind == save:
-                    saves += 1
-                    since = 0
+            at = f["ts"].astype("int64").to_numpy()
+            order = np.rec.fromarrays([at, f["event_id"].to_numpy()])
+            seen.append(order)
+            mine = order[(f["event_type"] == save).to_numpy()]
+            saves += len(mine)
+            if len(mine):
+                top = max(mine.tolist())
+                last = top if last is None else max(last, top)
+        every = np.concatenate(seen)
+        calls += len(every)
+        after = len(every) if last is None else int(((every["f0"] > last[0]) | ((every["f0"] == last[0]) & (every["f1"] > last[1]))).sum())
+        since = since + after if last is None else after
         state.update((calls, saves, since))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(pd.Timestamp(int(every["f0"].max()), unit=f["ts"].dt.unit).timestamp() * 1000)) + days)
         yield pd.DataFrame({"user_id": [key[0]], "calls": [calls], "saves": [saves], "nudge": [since > idle]})
 
-    keyed = stream.select("user_id", "ts", "event_id", "event_type").groupBy("user_id")
-    return keyed.applyInPandasWithState(step, "user_id long, calls long, saves long, nudge boolean", "calls long, saves long, since long", "append", GroupStateTimeout.NoTimeout)
+    keyed = stream.withWatermark("ts", late).select("user_id", "ts", "event_id", "event_type").groupBy("user_id")
+    return keyed.applyInPandasWithState(step, "user_id long, calls long, saves long, nudge boolean", "calls long, saves long, since long", "append", GroupStateTimeout.EventTimeTimeout)
