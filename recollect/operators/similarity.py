@@ -143,7 +143,12 @@ def similar_names(names: DataFrame, most: int = 3) -> DataFrame:
     grams = F.when(F.char_length("low") >= 3, F.transform(at, lambda i: F.substring(F.col("low"), i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
     keys = n.select("name", "low", F.explode(F.array_distinct(F.concat(grams, left))).alias("key"))
     other = keys.select("key", F.col("name").alias("other"), F.col("low").alias("olow"))
-    pairs = keys.join(other, "key").filter("name <> other").select("name", "low", "other", "olow").distinct()
+    pairs = keys.join(other, "key").filter("name <> other").select("name", "low", "other", "olow")
+    # names of one or two characters have no trigram to meet on: they are looked up among the parts of longer ones
+    short = n.filter(F.char_length("low") < 3).select(F.col("name").alias("other"), F.col("low").alias("olow"))
+    part = lambda size: F.transform(F.sequence(F.lit(1), F.char_length("low") - size + 1), lambda i: F.substring(F.col("low"), i, F.lit(size)))
+    long = n.filter(F.char_length("low") >= 3).select("name", "low", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), part(1), part(2)))).alias("olow"))
+    pairs = pairs.unionByName(long.join(short, "olow").select("name", "low", "other", "olow")).distinct()
     inside = (F.char_length("low") >= 3) & (F.col("olow").contains(F.col("low")) | F.col("low").contains(F.col("olow")))
     distance = F.levenshtein("low", "olow")
     match = F.when(F.col("low") == F.col("olow"), "case").when(inside, "substring").when(distance <= limit(F.col("low")), "levenshtein")

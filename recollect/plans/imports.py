@@ -37,8 +37,8 @@ def f1_query_operators(spark, d):
 
 @query(sql("""SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM
     (SELECT r.query_id, r.id, r.score FROM ranked r JOIN parsed p ON p.item_id = r.query_id JOIN items i ON i.id = r.id WHERE r.rank <= 200
-      AND (asof IS NULL OR (valid_from <= CAST(asof AS TIMESTAMP) AND (valid_to IS NULL OR valid_to > CAST(asof AS TIMESTAMP)))) AND (since IS NULL OR i.updated_at >= CAST(since AS TIMESTAMP))
-      AND (session IS NULL OR session = session_id) AND (file IS NULL OR contains(lower(applies_to_json), lower(file))) AND (path IS NULL OR contains(lower(applies_to_json), lower(path)))) QUALIFY rank <= 10""",
+      AND (p.asof IS NULL OR (valid_from <= CAST(p.asof AS TIMESTAMP) AND (valid_to IS NULL OR valid_to > CAST(p.asof AS TIMESTAMP)))) AND (p.since IS NULL OR i.updated_at >= CAST(p.since AS TIMESTAMP))
+      AND (p.session IS NULL OR p.session = session_id) AND (p.file IS NULL OR contains(lower(applies_to_json), lower(p.file))) AND (p.path IS NULL OR contains(lower(applies_to_json), lower(p.path)))) QUALIFY rank <= 10""",
     "items", "outcomes", **_PARTS, strings=_STRINGS, parsed=_PARSED))
 def f1_operator_search(spark, d):
     """Of the 200 best of each query, the ten best that its operators let pass."""
