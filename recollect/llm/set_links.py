@@ -217,12 +217,12 @@ def _unit_links(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[p
             hits = q * both >= p * (size[a] + size[b] - both)
         else:
             hits = np.array([like.alike(sets[int(i)], sets[int(j)]) for i, j in zip(a, b, strict=True)], bool)
-        u, v = np.maximum(ids[a[hits]], ids[b[hits]]), np.minimum(ids[a[hits]], ids[b[hits]])
+        u, v = np.minimum(ids[a[hits]], ids[b[hits]]), np.maximum(ids[a[hits]], ids[b[hits]])
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def links(filed: DataFrame, sets: DataFrame, like: Likeness, scratch: Scratch) -> DataFrame:
-    """Links (u, v) between ids whose components are those of all alike pairs that are filed together.
+    """Links (u, v), u < v, between ids whose components are those of all alike pairs that are filed together.
 
     ``filed`` has key, id, size (elements of the set), fp and fp2 (its fingerprint); ``sets`` has id and t, what ``like``
     reads a set from.
