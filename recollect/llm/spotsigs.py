@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ ANCHORS = frozenset(
 )
 CHAIN = 2
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+#: The same for texts below U+0300, where there are no combining marks.
+_PLAIN, _MARKED = re.compile(r"[^\W_]+"), re.compile(r"[^\x00-\u02ff]")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Words taken at once.
 _WORDS = 1 << 18
@@ -83,6 +86,11 @@ def _chains(h: np.ndarray, doc: np.ndarray, at: np.ndarray, links: np.ndarray, c
     return (sig >> np.uint64(32)).astype(np.uint32)
 
 
+def words_of(text: str) -> list[str]:
+    low = text.lower()
+    return (_WORD if _MARKED.search(low) else _PLAIN).findall(low)
+
+
 def signature_sets(texts: list[str], chain: int = CHAIN) -> list[np.ndarray]:
     """The sorted distinct 32-bit signatures of each text.
 
@@ -94,7 +102,7 @@ def signature_sets(texts: list[str], chain: int = CHAIN) -> list[np.ndarray]:
     while start < len(texts):
         parts, lengths = [], []
         while start + len(lengths) < len(texts) and sum(lengths) < _WORDS:
-            words = _WORD.findall(texts[start + len(lengths)].lower())
+            words = words_of(texts[start + len(lengths)])
             parts.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
             lengths.append(len(words))
         h = np.concatenate(parts)

@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import random
 
@@ -39,7 +40,8 @@ def brute_set(text):
     words = [w for w in ss._WORD.findall(text.lower())]
     anchors = [i for i, w in enumerate(words) if w in ss.ANCHORS]
     content = [i for i, w in enumerate(words) if w not in ss.ANCHORS]
-    return {(words[i], *[words[j] for j in content if j > i][:2]) for i in anchors}
+    after = lambda i: content[(at := bisect.bisect_right(content, i)) : at + 2]
+    return {(words[i], *[words[j] for j in after(i)]) for i in anchors}
 
 
 def test_chains_are_those_of_the_definition():
@@ -147,3 +149,9 @@ def test_rows_without_ids_and_repeated_ids_follow_each_other(spark, blocks):
     assert len(got) == len(rows) and sum(r.doc_id == 5 for r in got) == 60
     texts = {t for _, t in rows}
     assert shas <= {hashlib.sha256(ss.edited(a, b).encode()).hexdigest() for a in texts for b in texts}
+
+
+def test_plain_texts_are_split_as_others():
+    every = "".join(chr(i) for i in range(0x300)) + " a_b ñ² ¼x"
+    for text in (every, " ".join(every), "naïve e\u0301 ｆ"):
+        assert ss.words_of(text) == ss._WORD.findall(text.lower())
