@@ -11,7 +11,7 @@ from recollect.operators import graph, lifecycle, packing, search, similarity, v
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["search_topk", "v7_hybrid_search", "p4_n5_greedy_pack", "c2_j19_similar_titles", "e11_apply_changes", "w16_feedback_fold", "z_session_windows", "a1_grouped_counts", "f2_as_of_join", "j5_p3_comentions"]
+SAMPLE = ["search_topk", "v7_hybrid_search", "p4_n5_greedy_pack", "c2_similar_titles", "e11_apply_changes", "w16_feedback_fold", "z_session_windows", "a1_grouped_counts", "f2_as_of_join", "j5_p3_comentions"]
 
 
 def one(spark, col):
