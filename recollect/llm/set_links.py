@@ -168,6 +168,10 @@ def _thinned(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.R
     names = ["unit", "id", "root", "size", "fp", "fp2"]
 
     def run(rows: np.ndarray) -> pa.RecordBatch:
+        # a unit whose sets are in one component already has nothing to find
+        starts = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
+        apart = np.minimum.reduceat(rows[2], starts) != np.maximum.reduceat(rows[2], starts)
+        rows = rows[:, np.repeat(apart, np.diff(np.r_[starts, rows.shape[1]]))]
         unit, _, root, size, fp, fp2 = rows
         used = np.zeros(len(unit), bool)
 
