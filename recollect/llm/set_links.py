@@ -204,6 +204,25 @@ def _thinned(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.R
         yield run(np.concatenate(held, axis=1))
 
 
+def _forest(roots: np.ndarray, a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Of the links a-b between rows with known roots those that join two components: fewer than there are roots."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    out, root = [], roots.tolist()
+    for i, j in zip(a, b, strict=True):
+        x, y = top(root[i]), top(root[j])
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out
+
+
 def _unit_links(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     """Links between sets of different roots in one unit. Rows (unit, id, root, size, fp, fp2, t) are sorted by unit."""
     p, q = like.ratio
@@ -221,7 +240,8 @@ def _unit_links(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[p
             hits = q * both >= p * (size[a] + size[b] - both)
         else:
             hits = np.array([like.alike(sets[int(i)], sets[int(j)]) for i, j in zip(a, b, strict=True)], bool)
-        u, v = np.minimum(ids[a[hits]], ids[b[hits]]), np.maximum(ids[a[hits]], ids[b[hits]])
+        joining = np.array(_forest(roots, a[hits].tolist(), b[hits].tolist()), int).reshape(-1, 2)
+        u, v = ids[joining].min(1), ids[joining].max(1)
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
