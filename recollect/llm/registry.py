@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import chat, cotraining, exact_dedup, language_id, packing, sentence_pieces, simhash, spotsigs, substring_dedup, warc
+from recollect.llm import (
+    chat, cotraining, exact_dedup, language_id, packing, sentence_pieces, simhash, spotsigs, substring_dedup, token_streams, warc, whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +55,19 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_streams.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_sentencepiece, op2_language_id, op3_exact_dedup, op4_simhash, op5_spotsigs,
         op6_chat, op7_warc, op8_packing, op9_substring_dedup, op10_cotraining,
+        op11_whitening, op13_token_streams,
     )
     return {f.__name__: f for f in found}
 
