@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recollect.llm import (
-    chat, cotraining, exact_dedup, language_id, packing, sentence_pieces, simhash, spotsigs, substring_dedup, token_streams, warc, whitening,
+    chat, cotraining, exact_dedup, hard_negatives, language_id, packing, sentence_pieces, simhash, spotsigs, substring_dedup, token_streams, warc, whitening,
 )
 
 
@@ -59,6 +60,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op13_token_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_streams.digests(_table(spark, sf_dir, "documents"))
 
@@ -67,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_sentencepiece, op2_language_id, op3_exact_dedup, op4_simhash, op5_spotsigs,
         op6_chat, op7_warc, op8_packing, op9_substring_dedup, op10_cotraining,
-        op11_whitening, op13_token_streams,
+        op11_whitening, op12_hard_negatives, op13_token_streams,
     )
     return {f.__name__: f for f in found}
 
@@ -80,4 +86,16 @@ def oracle_sql() -> dict[str, str]:
             FROM d WINDOW w AS (PARTITION BY text_sha256)
         """,
         "op6_chat": chat.DIGESTS_SQL,
+        "op12_hard_negatives": """
+            WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+                WHERE label IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+            s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS alike, CAST(list_dot_product(a.x, v.x) AS BIGINT) AS score
+                FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 50 = 0),
+            p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+                QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+            SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+            QUALIFY rank <= 3 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+        """,
     }
