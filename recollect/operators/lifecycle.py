@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect import schema as S
 from recollect.functions import text as X
+from recollect.operators.prefix import running
 
 
 def _now(now: str) -> Column:
@@ -131,12 +132,12 @@ def feedback_fold(events: DataFrame, start: float = 1.0) -> DataFrame:
 
     The floor makes this a fold, not a sum; it is one all the same over pairs (shift, floor): x -> max(x + shift, floor).
     Such maps compose, so each event is one and a running sum with a running minimum gives their composition: the fold
-    ends at sum + max(start, the largest of 0.1 - prefix sums). A hot record's events are only ever summed in order.
+    ends at sum + max(start, the largest of 0.1 - prefix sums). Sums run over ranges of a record's events (see prefix).
     """
-    w = Window.partitionBy("memory_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     step = F.greatest(F.lit(-1.0), F.least(F.col("reward"), F.lit(1.0))) * 0.2
-    sums = events.withColumn("__p", F.sum(step).over(w))
-    out = sums.groupBy("memory_id").agg(F.max(F.lit(0.1) - F.col("__p")).alias("need"), F.sum(step).alias("total"))
+    steps = events.select("memory_id", "ts", "event_id", step.alias("__step"))
+    sums = running(steps, ["memory_id"], [F.asc("ts"), F.asc("event_id")], sums={"__p": F.col("__step")})
+    out = sums.groupBy("memory_id").agg(F.max(F.lit(0.1) - F.col("__p")).alias("need"), F.sum("__step").alias("total"))
     return out.select("memory_id", (F.col("total") + F.greatest(F.lit(start), F.col("need"))).alias("utility"))
 
 

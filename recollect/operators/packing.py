@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect import schema as S
 from recollect.functions import text as X
+from recollect.operators.prefix import running
 
 
 def candidates(items: DataFrame, requests: DataFrame, globals_: int = 80, projects: int = 140, sessions: int = 60, now: str = S.NOW) -> DataFrame:
@@ -103,6 +104,5 @@ def greedy(ordered: DataFrame, budget: int, reserve: int = 20, window: int = 200
 
 
 def prefix_budget(ordered: DataFrame, budget: int, by: list[str], order: list[Column], cost: Column) -> DataFrame:
-    """Rows up to the first one with which the running cost of its section passes the budget."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return ordered.withColumn("running", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("running") <= budget)
+    """Rows up to the first one with which the running cost of its section passes the budget; costs aren't negative."""
+    return running(ordered, by, order, sums={"running": cost}).filter(F.col("running") <= budget)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recollect import schema as S
+from recollect.operators.prefix import percentiles
 from recollect.operators.search import outcome_counts
 from recollect.plans.base import query
 from recollect.sources.tables import memory_items, outcomes, prompts, relations, sessions, sql, table
@@ -109,8 +110,8 @@ def a8_revenue_by_nation(spark, d):
 
 @query("""SELECT event_type, CAST(quantile_cont(value, 0.5) AS DOUBLE) AS p50, CAST(quantile_cont(value, 0.95) AS DOUBLE) AS p95, max(value) AS top FROM events GROUP BY 1""")
 def b4_percentiles(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"), F.max("value").alias("top"))
+    e = table(spark, d, "events").select("event_type", "value")
+    return percentiles(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "top": 1.0})
 
 
 @query(sql("SELECT relation, count(*) AS n, count(DISTINCT from_id) AS sources FROM relations GROUP BY 1", "relations"))

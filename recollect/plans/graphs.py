@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recollect import schema as S
 from recollect.operators import graph as G
 from recollect.operators import search as O
+from recollect.operators.intervals import holding
 from recollect.plans.base import query
 from recollect.plans.searches import _PARTS, _scored
 from recollect.sources.scratch import written
@@ -82,6 +83,20 @@ def j14_temporal_state(spark, d):
     return entity_links(spark, d).join(then, F.col("obs_id") == F.col("id")).groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
+_MONTHS = "SELECT DISTINCT date_trunc('month', updated_at)::TIMESTAMP AS moment FROM items"
+
+
+@query(sql("""SELECT CAST(moment AS VARCHAR) AS moment, name, count(*) AS n, min(i.id) AS first_id FROM months JOIN items i ON (valid_from IS NULL OR valid_from <= moment) AND (valid_to IS NULL OR valid_to > moment)
+    AND ingested_at <= moment JOIN links ON obs_id = i.id GROUP BY 1, 2""", "links", months=_MONTHS))
+def j14_states_by_month(spark, d):
+    """For each month's beginning what was known of each name: records that were valid and had been taken in by then."""
+    i = memory_items(spark, d)
+    months = i.select(F.date_trunc("month", "updated_at").alias("moment")).distinct()
+    then = holding(i.select("id", "valid_from", "valid_to", "ingested_at"), months, "valid_from", "valid_to", "moment").filter("ingested_at <= moment")
+    rows = then.select("moment", "id").join(entity_links(spark, d), F.col("obs_id") == F.col("id"))
+    return rows.groupBy(F.col("moment").cast("string").alias("moment"), "name").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
 @query(sql("SELECT DISTINCT from_id AS id, to_id AS by FROM relations JOIN items ON id = to_id WHERE relation = 'supersedes' AND status = 'active' AND from_id <> to_id", "items", "relations"))
 def j15_successors(spark, d):
     return G.successors(relations(spark, d), memory_items(spark, d))

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recollect.operators import scans as O
+from recollect.operators.intervals import holding
+from recollect.operators.prefix import running
 from recollect.plans.base import query
 from recollect.sources.scratch import written
 from recollect.sources.tables import memory_items, outcomes, prompts, sessions, sql, table, usage
@@ -43,8 +45,10 @@ def s4_multi_get(spark, d):
 
 @query(sql("""SELECT memory_id, event_id, status, CAST(row_number() OVER (PARTITION BY memory_id ORDER BY ts, event_id) AS INTEGER) AS step FROM outcomes""", "outcomes"))
 def s5_history(spark, d):
-    w = Window.partitionBy("memory_id").orderBy("ts", "event_id")
-    return outcomes(spark, d).withColumn("step", F.row_number().over(w)).select("memory_id", "event_id", "status", "step")
+    """Steps of each record's history, counted over ranges of it."""
+    o = outcomes(spark, d).select("memory_id", "ts", "event_id", "status")
+    out = running(o, ["memory_id"], [F.asc("ts"), F.asc("event_id")], sums={"step": F.lit(1)})
+    return out.select("memory_id", "event_id", "status", F.col("step").cast("int").alias("step"))
 
 
 @query(sql("""SELECT project, id, content FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY created_at DESC, id) AS k FROM prompts) WHERE k <= 20""", "prompts"))
@@ -74,14 +78,12 @@ def s12_json_payloads(spark, d):
 
 
 @query(sql("""SELECT CAST(q.t AS VARCHAR) AS asof, i.id FROM items i JOIN (SELECT DISTINCT CAST(updated_at AS DATE) AS t FROM items) q
-    ON i.valid_to IS NOT NULL AND i.valid_from <= q.t AND i.valid_to > q.t""", "items"))
+    ON (i.valid_from IS NULL OR i.valid_from <= q.t) AND (i.valid_to IS NULL OR i.valid_to > q.t)""", "items"))
 def f2_as_of_join(spark, d):
-    """Validity windows against every day on which a record changed: windows are at most ten days long, so each is laid out by the day."""
+    """What held on every day on which a record changed; most records are still valid and have no end."""
     i = memory_items(spark, d)
-    days = i.select(F.to_date("updated_at").alias("t")).distinct()
-    bound = i.filter("valid_to IS NOT NULL").select("id", "valid_from", "valid_to")
-    laid = bound.withColumn("t", F.explode(F.sequence(F.to_date("valid_from"), F.to_date("valid_to"))))
-    found = laid.join(days, "t").filter(O.valid_at(F.col("t").cast("timestamp")))
+    days = i.select(F.to_date("updated_at").alias("t")).distinct().select("t", F.col("t").cast("timestamp").alias("moment"))
+    found = holding(i.select("id", "valid_from", "valid_to"), days, "valid_from", "valid_to", "moment")
     return found.select(F.col("t").cast("string").alias("asof"), "id")
 
 
@@ -154,12 +156,12 @@ def n1_timeline(spark, d):
 @query(sql("""SELECT a.id, max_by(b.id, (b.started_at, b.id)) AS previous FROM sessions a JOIN sessions b ON a.project = b.project AND b.ended_at IS NOT NULL AND b.started_at < a.started_at
     GROUP BY a.id""", "sessions"))
 def n3_previous_session(spark, d):
-    """The last completed session that started earlier, by a running maximum rather than a join of a project with itself."""
-    w = Window.partitionBy("project").orderBy("started_at").rangeBetween(Window.unboundedPreceding, -1)
-    s = sessions(spark, d).withColumn("at", F.unix_timestamp("started_at"))
-    done = F.when(F.col("ended_at").isNotNull(), F.struct("at", "id"))
-    out = s.withColumn("p", F.max(done).over(w.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)))
-    return out.filter("p IS NOT NULL").select("id", F.col("p.id").alias("previous"))
+    """The last completed session that started earlier: a running maximum over a project's moments, each with its best session."""
+    s = sessions(spark, d).select("project", "id", "started_at", "ended_at")
+    done = F.max(F.when(F.col("ended_at").isNotNull(), F.struct("started_at", "id"))).alias("done")
+    moments = s.groupBy("project", "started_at").agg(done)
+    before = running(moments, ["project"], [F.asc("started_at")], maxima={"p": F.col("done")}, inclusive=False).drop("done")
+    return s.join(before.filter("p IS NOT NULL"), ["project", "started_at"]).select("id", F.col("p.id").alias("previous"))
 
 
 @query("""SELECT conv_id, turn AS from_turn, lead(turn) OVER w AS to_turn FROM conversations QUALIFY lead(turn) OVER w IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""".replace("QUALIFY lead(turn) OVER w IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn)", "WINDOW w AS (PARTITION BY conv_id ORDER BY turn) QUALIFY to_turn IS NOT NULL"))
