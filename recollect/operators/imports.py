@@ -9,27 +9,21 @@ from pyspark.sql import functions as F
 
 from recollect import schema as S
 
-#: Operators of a query string, in the order in which they are taken out of it.
+#: Operators of a query string. Each is a word of its own: ``asof:`` within ``ingested_asof:`` or ``file:`` within ``profile:`` is none.
 QUERY_OPERATORS = ("asof", "since", "ingested_asof", "session", "file", "path")
 
 
 def parsed_queries(queries: DataFrame, text_col: str = "text") -> DataFrame:
     """``queries`` with a column for each operator (null without it) and ``terms``, what is left of the text.
 
-    An operator ends at the next space and counts once; ``asof:`` within ``ingested_asof:`` is found first, as the reader of
-    query strings does it.
+    An operator begins a word and its value ends with the word. Of repeated ones the first counts; all are taken out. An
+    operator without a value sets nothing, and as the end of the text it is a word like any other. The words that are left are
+    joined by single spaces.
     """
-    out = queries.withColumn("terms", F.coalesce(F.col(text_col), F.lit("")))
-    for name in QUERY_OPERATORS:
-        mark = f"{name}:"
-        has = F.contains("terms", F.lit(mark)) & (F.substring_index("terms", mark, 1) != F.substring("terms", F.lit(1), F.char_length("terms") - len(mark)))
-        before = F.substring_index("terms", mark, 1)
-        rest = F.substring(F.col("terms"), F.char_length(before) + len(mark) + 1, F.char_length("terms"))
-        value = F.substring_index(rest, " ", 1)
-        after = F.trim(F.substring(rest, F.char_length(value) + 2, F.char_length(rest)))
-        joined = F.concat_ws(" ", F.rtrim(before), after) if name in ("file", "path") else F.concat(before, after)
-        out = out.withColumn(name, F.when(has, F.nullif(value, F.lit("")))).withColumn("terms", F.when(has, joined).otherwise(F.col("terms")))
-    return out.withColumn("terms", F.trim("terms"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    values = {name: F.nullif(F.regexp_extract(text, rf"(?:^|\s){name}:(\S*)", 1), F.lit("")) for name in QUERY_OPERATORS}
+    rest = F.regexp_replace(text, rf"(^|\s)(?:{'|'.join(QUERY_OPERATORS)}):(?!$)\S*", " ")
+    return queries.withColumns(values | {"terms": F.trim(F.regexp_replace(rest, r"\s+", " "))})
 
 
 def matching_operators(pairs: DataFrame) -> DataFrame:
@@ -67,11 +61,20 @@ def seeded(rows: DataFrame, start: Column) -> DataFrame:
     return rows.withColumn("id", start + F.col("row")).withColumn("utility_weight", F.lit(1.0)).withColumn("status", F.lit("active")).drop("row")
 
 
-def imported(sessions: DataFrame, prompts: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sessions that are new, prompts all, with a sync id of their own where they have none)."""
-    fresh = sessions.join(known.select("id").distinct(), "id", "left_anti")
+def imported(sessions: DataFrame, prompts: DataFrame, known: DataFrame, known_prompts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sessions that are new, prompts that are new), each once, so that importing the same again brings nothing.
+
+    Prompts without a sync id get one from their id and content. A prompt is known if its sync id is; of those that repeat one
+    that with the smallest id comes in.
+    """
+    fresh = sessions.join(known.select("id").distinct(), "id", "left_anti").dropDuplicates(["id"])
     sync = F.when(F.coalesce("sync_id", F.lit("")) != "", F.col("sync_id")).otherwise(F.concat(F.lit("p-"), F.substring(F.sha2(F.concat_ws("|", F.col("id").cast("string"), "content"), 256), 1, 16)))
-    return fresh, prompts.withColumn("sync_id", sync)
+    named = prompts.withColumn("sync_id", sync)
+    if known_prompts is not None:
+        named = named.join(known_prompts.select("sync_id").distinct(), "sync_id", "left_anti")
+    others = [c for c in prompts.columns if c != "sync_id"]
+    first = named.groupBy("sync_id").agg(F.min_by(F.struct(*others), F.col("id")).alias("v"))
+    return fresh, first.select(*[F.col(f"v.{c}").alias(c) if c != "sync_id" else F.col(c) for c in prompts.columns])
 
 
 def upserted(vectors: DataFrame, new: DataFrame) -> DataFrame:

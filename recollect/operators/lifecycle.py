@@ -105,26 +105,37 @@ def consolidation_groups(items: DataFrame, least: int = 3) -> DataFrame:
     ).filter(F.col("n") >= least)
 
 
-def _live_groups(items: DataFrame, least: int) -> DataFrame:
-    live = items.filter("status = 'active' AND superseded_by IS NULL")
-    square = F.sum(F.col("id").cast("decimal(19,0)") * F.col("id").cast("decimal(19,0)"))
-    return live.groupBy("project_id", "domain", "kind").agg(
-        F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("id").alias("total"), square.alias("squares")
-    ).filter(F.col("n") >= least)
+_GROUP = ["project_id", "domain", "kind"]
+
+
+def _members(items: DataFrame, least: int) -> DataFrame:
+    """(project_id, domain, kind, id, n, first_id): the live records of groups worth merging, with their group's size and first record."""
+    live = items.filter("status = 'active' AND superseded_by IS NULL").select(*_GROUP, "id")
+    groups = live.groupBy(*_GROUP).agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter(F.col("n") >= least)
+    groups = groups.select(*[F.col(c).alias(f"__{c}") for c in _GROUP], "n", "first_id")
+    same = F.lit(True)
+    for c in _GROUP:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return live.join(groups, same).select(*live.columns, "n", "first_id")
 
 
 def new_groups(items: DataFrame, before: DataFrame, least: int = 3) -> DataFrame:
-    """Groups of live records worth merging whose sources aren't those of a group before, told by number, ends and sums of ids."""
-    return _live_groups(items, least).join(_live_groups(before, least), ["n", "first_id", "last_id", "total", "squares"], "left_anti")
+    """(project_id, domain, kind, n, first_id): groups worth merging whose records aren't exactly those of a group before.
+
+    A record is in one group each time, so the only group before that can have the same records is the one with the same
+    first record: it does if it has as many, and all of them are in it.
+    """
+    now = _members(items, least)
+    old = _members(before, least).select("id", F.col("n").alias("old_n"), F.col("first_id").alias("old_first"))
+    again = F.coalesce((F.col("old_first") == F.col("first_id")) & (F.col("old_n") == F.col("n")), F.lit(False))
+    held = now.join(old, "id", "left").groupBy(*_GROUP, "n", "first_id").agg(F.count_if(again).alias("again"))
+    return held.filter("again < n").drop("again")
 
 
 def consolidated(items: DataFrame, least: int = 3) -> DataFrame:
     """(id, status, superseded_by) of the sources of merged groups: the first stays, the others are archived for it."""
-    groups = _live_groups(items, least).select(*[F.col(c).alias(f"g_{c}") for c in ("project_id", "domain", "kind")], "first_id")
-    same = [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in ("project_id", "domain", "kind")]
-    rows = items.filter("status = 'active' AND superseded_by IS NULL").join(groups, same)
     first = F.col("id") == F.col("first_id")
-    return rows.select("id", F.when(first, "active").otherwise("archived").alias("status"), F.when(~first, F.col("first_id")).alias("superseded_by"))
+    return _members(items, least).select("id", F.when(first, "active").otherwise("archived").alias("status"), F.when(~first, F.col("first_id")).alias("superseded_by"))
 
 
 def feedback_fold(events: DataFrame, start: float = 1.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,11 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "body") -> Dat
     return words.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
-def matches(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "body") -> DataFrame:
+def matches(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "body", passing: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query_id, id, hits, bm25, lane) of the documents that hold all terms of a query, or if there are none, any of them.
 
+    ``passing`` takes rows (query_id, id, ...) and keeps those that a query's filters let pass; it is applied to what matches,
+    before it is settled whether any document has all terms and before anything is ranked.
     ``queries`` has query_id and terms (an array). Documents are split once: postings of asked terms are written, and all
     else reads those. Documents with all terms are found through each query's rarest one. ``lane`` says which it was.
     """
@@ -38,9 +42,11 @@ def matches(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: s
     rarest = counted.groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"))
     first = rarest.filter("r.df > 0").select("query_id", F.col("r.term").alias("term")).join(found.select("term", "id"), "term").select("query_id", "id")
     whole = first.join(asked, "query_id").join(scored, ["term", "id"]).groupBy("query_id", "n_terms", "id").agg(F.count("*").alias("hits"), F.sum("part").alias("bm25"))
-    whole = written(whole.filter("hits = n_terms").drop("n_terms"), "whole")
+    passing = passing or (lambda rows: rows)
+    whole = written(passing(whole.filter("hits = n_terms").drop("n_terms")).select("query_id", "id", "hits", "bm25"), "whole")
     missing = asked.join(whole.select("query_id").distinct(), "query_id", "left_anti")
     some = missing.join(scored, "term").groupBy("query_id", "id").agg(F.count("*").alias("hits"), F.sum("part").alias("bm25"))
+    some = passing(some).select("query_id", "id", "hits", "bm25")
     return whole.withColumn("lane", F.lit("all")).unionByName(some.withColumn("lane", F.lit("any")))
 
 

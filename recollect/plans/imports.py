@@ -11,42 +11,50 @@ from recollect.operators import lifecycle as L
 from recollect.operators import search as O
 from recollect.operators import vector as V
 from recollect.plans.base import query
-from recollect.plans.searches import _PARTS, _scored
-from recollect.sources.tables import memory_items, prompts, sessions, sql, table
+from recollect.plans.searches import _PARTS, _live, search_terms
+from recollect.sources.scratch import written
+from recollect.sources.tables import memory_items, outcomes, prompts, sessions, sql, table
 
-_STRINGS = """SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'asof:2023-09-01 ' || text WHEN 1 THEN split_part(text, ' ', 1) || ' since:2023-08-01 ' || substr(text, length(split_part(text, ' ', 1)) + 2)
-    WHEN 2 THEN text || ' session:s' || (item_id % 50) ELSE 'file:src' || (item_id % 20) || '/ ' || text || ' path:.py' END AS q FROM benchmark"""
-_PARSED = r"""SELECT item_id, nullif(regexp_extract(q, 'asof:([^ ]*)', 1), '') AS asof, nullif(regexp_extract(q, 'since:([^ ]*)', 1), '') AS since, nullif(regexp_extract(q, 'session:([^ ]*)', 1), '') AS session,
-    nullif(regexp_extract(q, 'file:([^ ]*)', 1), '') AS file, nullif(regexp_extract(q, 'path:([^ ]*)', 1), '') AS path, trim(regexp_replace(q, '(asof|since|session|file|path):[^ ]* ?', '', 'g'), ' ') AS terms FROM strings"""
+_STRINGS = """SELECT item_id, CASE item_id % 6 WHEN 0 THEN 'asof:2023-09-01 ' || text WHEN 1 THEN split_part(text, ' ', 1) || ' since:2023-08-01 ' || substr(text, length(split_part(text, ' ', 1)) + 2)
+    WHEN 2 THEN text || ' session:s' || (item_id % 50) WHEN 3 THEN 'file:src' || (item_id % 20) || '/ ' || text || ' path:.py' WHEN 4 THEN 'ingested_asof:2023-12-01 ' || text || ' profile:x'
+    ELSE text || ' ingested_asof:2023-12-15 asof:2023-10-01' END AS q FROM benchmark"""
+_PARSED = r"""SELECT item_id, nullif(regexp_extract(q, '(?:^|\s)asof:(\S*)', 1), '') AS asof, nullif(regexp_extract(q, '(?:^|\s)since:(\S*)', 1), '') AS since,
+    nullif(regexp_extract(q, '(?:^|\s)ingested_asof:(\S*)', 1), '') AS ingested_asof, nullif(regexp_extract(q, '(?:^|\s)session:(\S*)', 1), '') AS session, nullif(regexp_extract(q, '(?:^|\s)file:(\S*)', 1), '') AS file,
+    nullif(regexp_extract(q, '(?:^|\s)path:(\S*)', 1), '') AS path, array_to_string(list_filter(regexp_split_to_array(q, '\s+'), x -> x <> '' AND NOT regexp_matches(x, '^(asof|since|ingested_asof|session|file|path):')), ' ') AS terms FROM strings"""
 
 
 def _strings(spark, d):
-    """The texts of ``benchmark`` with an operator each, at the beginning, in the middle or at the end."""
+    """The texts of ``benchmark`` with operators at the beginning, in the middle or at the end, and words that only look like one."""
     b = table(spark, d, "benchmark")
-    k, word = F.col("item_id") % 4, F.split_part("text", F.lit(" "), F.lit(1))
-    q = F.when(k == 0, F.concat(F.lit("asof:2023-09-01 "), "text")).when(k == 1, F.concat(word, F.lit(" since:2023-08-01 "), F.substring("text", F.char_length(word) + 2, F.char_length("text"))))
-    q = q.when(k == 2, F.concat("text", F.lit(" session:s"), F.col("item_id") % 50)).otherwise(F.concat(F.lit("file:src"), F.col("item_id") % 20, F.lit("/ "), "text", F.lit(" path:.py")))
+    k, word, f = F.col("item_id") % 6, F.split_part("text", F.lit(" "), F.lit(1)), lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) and y != "text" else y for y in x])
+    q = F.when(k == 0, f("asof:2023-09-01 ", "text")).when(k == 1, f(word, " since:2023-08-01 ", F.substring("text", F.char_length(word) + 2, F.char_length("text"))))
+    q = q.when(k == 2, f("text", " session:s", F.col("item_id") % 50)).when(k == 3, f("file:src", F.col("item_id") % 20, "/ ", "text", " path:.py"))
+    q = q.when(k == 4, f("ingested_asof:2023-12-01 ", "text", " profile:x")).otherwise(f("text", " ingested_asof:2023-12-15 asof:2023-10-01"))
     return b.select("item_id", q.alias("q"))
 
 
 @query(sql("SELECT * FROM parsed", strings=_STRINGS, parsed=_PARSED))
 def f1_query_operators(spark, d):
     out = I.parsed_queries(_strings(spark, d), "q")
-    return out.select("item_id", "asof", "since", "session", "file", "path", "terms")
+    return out.select("item_id", "asof", "since", "ingested_asof", "session", "file", "path", "terms")
 
 
-@query(sql("""SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM
-    (SELECT r.query_id, r.id, r.score FROM ranked r JOIN parsed p ON p.item_id = r.query_id JOIN items i ON i.id = r.id WHERE r.rank <= 200
-      AND (p.asof IS NULL OR (valid_from <= CAST(p.asof AS TIMESTAMP) AND (valid_to IS NULL OR valid_to > CAST(p.asof AS TIMESTAMP)))) AND (p.since IS NULL OR i.updated_at >= CAST(p.since AS TIMESTAMP))
-      AND (p.session IS NULL OR p.session = session_id) AND (p.file IS NULL OR contains(lower(applies_to_json), lower(p.file))) AND (p.path IS NULL OR contains(lower(applies_to_json), lower(p.path)))) QUALIFY rank <= 10""",
-    "items", "outcomes", **_PARTS, strings=_STRINGS, parsed=_PARSED))
+_PASSING = f"""SELECT m.* FROM ({_PARTS["matched"]}) m JOIN parsed p ON p.item_id = m.query_id JOIN live i ON i.id = m.id WHERE (p.since IS NULL OR i.updated_at >= CAST(p.since AS TIMESTAMP))
+      AND (p.asof IS NULL OR ((valid_from IS NULL OR valid_from <= CAST(p.asof AS TIMESTAMP)) AND (valid_to IS NULL OR valid_to > CAST(p.asof AS TIMESTAMP)))) AND (p.ingested_asof IS NULL OR ingested_at <= CAST(p.ingested_asof AS TIMESTAMP))
+      AND (p.session IS NULL OR p.session = session_id) AND (p.file IS NULL OR contains(lower(applies_to_json), lower(p.file))) AND (p.path IS NULL OR contains(lower(applies_to_json), lower(p.path)))"""
+_ASKED = {"strings": _STRINGS, "parsed": _PARSED} | _PARTS | {"queries": _PARTS["queries"].replace("text", "terms").replace("benchmark", "parsed"), "matched": _PASSING}
+
+
+@query(sql("SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10", "items", "outcomes", **_ASKED))
 def f1_operator_search(spark, d):
-    """Of the 200 best of each query, the ten best that its operators let pass."""
-    best = O.top(_scored(spark, d), 200).select("query_id", "id", "score")
-    asked = I.parsed_queries(_strings(spark, d), "q").withColumnRenamed("item_id", "query_id")
-    i = memory_items(spark, d).select("id", "valid_from", "valid_to", "updated_at", "ingested_at", "session_id", "applies_to_json")
-    passed = I.matching_operators(best.join(asked, "query_id").join(i, "id"))
-    return O.top(passed.select("query_id", "id", "score"), 10).select("query_id", "id", "rank")
+    """The ten best of each query among the records that its operators let pass; others neither match nor rank."""
+    strings = written(I.parsed_queries(_strings(spark, d), "q").withColumnRenamed("item_id", "query_id"), "asked")
+    facts = memory_items(spark, d).select("id", "valid_from", "valid_to", "updated_at", "ingested_at", "session_id", "applies_to_json")
+    docs = _live(spark, d)
+    passing = lambda rows: I.matching_operators(rows.join(strings.drop("q", "terms"), "query_id").join(facts, "id"))
+    found = O.matches(docs, strings.select("query_id", search_terms("terms").alias("terms")), passing=passing)
+    scored = O.relevance(found, docs, outcomes(spark, d)).withColumn("score", F.round("score", 6))
+    return O.top(scored, 10).select("query_id", "id", "rank")
 
 
 _GIVEN = """SELECT id, CASE WHEN id % 40 = 1 THEN '' ELSE title END AS title, body, CASE WHEN id % 10 = 7 THEN 'note' WHEN id % 50 = 3 THEN 'rumour' ELSE kind END AS kind, CASE WHEN id % 5 = 0 THEN '' ELSE scope END AS scope,
@@ -91,12 +99,14 @@ def w13_embedding_upsert(spark, d):
 
 
 @query(sql("""SELECT 'session' AS kind, id, '' AS sync_id FROM sessions WHERE ended_at IS NOT NULL UNION ALL
-    SELECT 'prompt', CAST(id AS VARCHAR), CASE WHEN id % 2 = 0 THEN 'given-' || id ELSE 'p-' || left(sha256(id || '|' || content), 16) END FROM prompts""", "sessions", "prompts"))
+    SELECT 'prompt', CAST(min(id) AS VARCHAR), sync_id FROM (SELECT id, CASE WHEN id % 2 = 0 THEN 'given-' || (id // 8 * 8) ELSE 'p-' || left(sha256(id || '|' || content), 16) END AS sync_id FROM prompts WHERE id % 5 <> 0)
+      WHERE sync_id NOT IN (SELECT 'given-' || (id // 8 * 8) FROM prompts WHERE id % 10 = 0) GROUP BY sync_id""", "sessions", "prompts"))
 def w19_import(spark, d):
-    """An export imported where the open sessions are known: what comes in."""
+    """An export, parts of it twice, imported where the open sessions and every tenth prompt are known: what comes in."""
     s = sessions(spark, d)
-    p = prompts(spark, d).withColumn("sync_id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("given-"), "id")))
-    fresh, every = I.imported(s, p, s.filter("ended_at IS NULL"))
+    p = prompts(spark, d).withColumn("sync_id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("given-"), F.floor(F.col("id") / 8) * 8)))
+    new = p.filter("id % 5 <> 0")
+    fresh, every = I.imported(s.unionByName(s.filter("project = 'src3'")), new.unionByName(new.filter("id % 3 = 0")), s.filter("ended_at IS NULL"), p.filter("id % 10 = 0"))
     return fresh.select(F.lit("session").alias("kind"), "id", F.lit("").alias("sync_id")).unionByName(every.select(F.lit("prompt").alias("kind"), F.col("id").cast("string").alias("id"), "sync_id"))
 
 
@@ -118,10 +128,10 @@ def a10_candidate_counts(spark, d):
     return memory_items(spark, d).filter("status = 'candidate'").groupBy("project_id").agg(F.count("*").alias("candidates"))
 
 
-_GROUP = "SELECT project_id, domain, kind, count(*) AS n, min(id) AS first_id, max(id) AS last_id, sum(id) AS total, sum(CAST(id AS HUGEINT) * id) AS squares FROM items WHERE status = 'active' AND superseded_by IS NULL AND @ GROUP BY 1, 2, 3 HAVING count(*) >= 3"
+_GROUP = "SELECT project_id, domain, kind, count(*) AS n, min(id) AS first_id, list(id ORDER BY id) AS ids FROM items WHERE status = 'active' AND superseded_by IS NULL AND @ GROUP BY 1, 2, 3 HAVING count(*) >= 3"
 
 
-@query(sql("SELECT project_id, domain, kind, n, first_id FROM now WHERE (n, first_id, last_id, total, squares) NOT IN (SELECT n, first_id, last_id, total, squares FROM before)",
+@query(sql("SELECT project_id, domain, kind, n, first_id FROM now WHERE ids NOT IN (SELECT ids FROM before)",
     "items", now=_GROUP.replace("@", "true"), before=_GROUP.replace("@", "updated_at < TIMESTAMP '2024-01-05 00:00:00'")))
 def d6_new_candidates(spark, d):
     """Groups worth merging that weren't there, record for record, before the year's first days."""

@@ -9,6 +9,7 @@ from recollect import schema as S
 from recollect.functions import text as X
 from recollect.operators import search as O
 from recollect.operators import vector as V
+from recollect.operators.prefix import running
 from recollect.operators.scans import not_superseded, unexpired
 from recollect.plans.base import query
 from recollect.sources.tables import memory_items, outcomes, prompts, sql, table
@@ -42,9 +43,12 @@ def _live(spark, d):
     return memory_items(spark, d).filter((F.col("status") == "active") & unexpired() & not_superseded())
 
 
+def search_terms(text):
+    return F.array_distinct(F.filter(X.tokens(text), lambda x: (F.octet_length(x) >= 3) & ~x.isin(S.STOPWORDS)))
+
+
 def _queries(spark, d):
-    terms = F.array_distinct(F.filter(X.tokens("text"), lambda x: (F.octet_length(x) >= 3) & ~x.isin(S.STOPWORDS)))
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), search_terms("text").alias("terms"))
 
 
 def _scored(spark, d):
@@ -135,9 +139,9 @@ def v3_l2_search(spark, d):
 
 @query(sql(f"SELECT id, round({_COS}, 6) AS cosine FROM (SELECT id, b, lag(b) OVER (ORDER BY id) AS a FROM v) WHERE a IS NOT NULL", v=_VEC["v"]))
 def v1_cosine_of_neighbours(spark, d):
-    rows = _vectors(spark, d)
-    before = rows.select((F.col("id") + 1).alias("id"), F.col("embedding").alias("a"))
-    return rows.join(before, "id").select("id", F.round(V.cosine("embedding", "a"), 6).alias("cosine"))
+    """Each vector with the one before it in order of ids, whatever gaps the ids have."""
+    rows = running(_vectors(spark, d), [], [F.asc("id")], maxima={"before": F.struct("id", "embedding")}, inclusive=False)
+    return rows.filter("before IS NOT NULL").select("id", F.round(V.cosine("embedding", "before.embedding"), 6).alias("cosine"))
 
 
 @query()
