@@ -20,9 +20,9 @@ from __future__ import annotations
 import math
 import os
 import re
+import unicodedata
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +38,9 @@ END_ID = 2
 BLOCK_TOKENS = 1 << 18
 #: Tokens of a file that is large enough, about.
 FILE_TOKENS = 1 << 26
-#: Spellings that a worker keeps of words as they stand, and of words without the marks after them.
-_WORDS, _CORES = 80_000, 350_000
-_MARKS = ".,;:!?*#$%&|)"
-#: Characters of text spelled at once.
-_CHARS = 4_000_000
+#: Spellings of words that a worker keeps, twice; new words spelled together; characters of text spelled at once.
+_WORDS, _TOGETHER, _CHARS = 400_000, 1_000, 1_000_000
+_MARKS, _SEPARATORS = ".,;:!?*#$%&|)", "\x1c\x1d\x1e\x1f"
 _MAGIC, _END = b"RTOK1", b"RTOKEND"
 _BEGINS, _ENDS, _NAMELESS = 1, 2, 4
 #: offset, bytes, tokens, first token of a block in its file, CRC-32 of its ids, number of the first document
@@ -58,8 +56,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Spelled(dict):
-    """Ids of words, as little-endian unsigned 32-bit numbers."""
+class Speller:
+    """Token ids of whole texts, spelled word by word: this vocabulary drops white space and merges nothing across it.
+
+    Texts are put in lower case first where that is what the tokenizer makes of them, so there are fewer words to know. Marks
+    that end a new word are spelled by themselves, as they are never merged with letters. New words of letters alone are given to
+    the tokenizer many at once, and told apart by the tokens that end one; other words one by one. Of white space only the four
+    separators U+001C to U+001F are told otherwise by Python, so texts with one are given to it whole.
+
+    Ids are numbers of 16 bits if the vocabulary has no more, else of 32.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -67,53 +73,70 @@ class _Spelled(dict):
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.cores: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= _WORDS:
-            self.clear()
-        core = word.rstrip(_MARKS)
-        if core.isascii() and core.isalpha() and len(core) < len(word):  # marks are never merged with letters
-            value = self._core(core.lower()) + self[word[len(core) :]]
-        elif core.isascii() and core.isalpha():
-            value = self._core(core.lower())
-        else:
-            value = self.whole(word)
-        self[word] = value
-        return value
-
-    def _core(self, core: str) -> bytes:
-        found = self.cores.get(core)
-        if found is None:
-            if len(self.cores) >= _CORES:
-                self.cores.clear()
-            found = self.cores[core] = array("I", [x.id for x in self.model.model.tokenize(core)]).tobytes()
-        return found
-
-
-class Speller:
-    """Token ids of whole texts, word by word: this vocabulary drops white space and merges nothing across it.
-
-    Letters of ASCII without anything else are given to the merges alone, other words to the tokenizer. Of white space
-    only the four separators U+001C to U+001F are told otherwise by Python, so texts with one are given to it whole.
-    """
-
-    def __init__(self, path: str) -> None:
-        self.words = _Spelled(path)
-        if any(self.of(x) != self.words.whole(x) for x in ("Hello, World", "don't x's", "naïve 12a", "a b")):
+        self.ids = self.model.get_vocab_size()
+        self.kind = np.dtype("<u2" if self.ids <= 1 << 16 else "<u4")
+        self.ends = np.zeros(self.ids, bool)
+        for token, i in self.model.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        tried = ["Hello, World", "don't x's", "naïve 12a", "a b.", "x_, (y)"]
+        if self.of(tried) != [self.whole(x) for x in tried]:
             raise ValueError("this tokenizer doesn't spell word by word")
-        self.ids = self.words.model.get_vocab_size()
 
-    def of(self, text: str) -> bytes:
-        if _SEPARATOR.search(text):
-            return self.words.whole(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+    def whole(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Spell words that aren't known."""
+        known, before, letters, marked = self.known, self.before, [], []
+        for w in words:
+            if (again := before.get(w)) is not None:
+                known[w] = again
+            elif w.isalpha():
+                letters.append(w)
+            elif (core := w.rstrip(_MARKS)).isalpha() and core[-1] != "İ":  # which in lower case ends in a mark itself
+                marked.append((w, core))
+            else:
+                known[w] = self.whole(w)
+        asked = words.union(letters)
+        letters += {core for _, core in marked if core not in asked and core not in known}
+        for i in range(0, len(letters), _TOGETHER):
+            some = letters[i : i + _TOGETHER]
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                data, at = ids.tobytes(), 0
+                for w, cut in zip(some, (ids.itemsize * cuts).tolist(), strict=True):
+                    known[w] = data[at:cut]
+                    at = cut
+            else:  # a letter becomes more than letters in lower case
+                known.update((w, self.whole(w)) for w in some)
+        for w, core in marked:
+            tail = w[len(core) :]
+            if tail not in known:
+                known[tail] = self.whole(tail)
+            known[w] = known[core] + known[tail]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes of little-endian numbers."""
+        split = [None if any(map(t.__contains__, _SEPARATORS)) else _lower(t).split() for t in texts]
+        if len(self.known) > _WORDS:  # of words known long ago what is still asked for is kept
+            self.before, self.known = self.known, {}
+        self._learn(set().union(*(x for x in split if x)).difference(self.known))
+        known = self.known.__getitem__
+        return [self.whole(t) if x is None else b"".join(map(known, x)) for t, x in zip(texts, split, strict=True)]
+
+
+def _lower(text: str) -> str:
+    """Lower case, if letter by letter after composition gives the same; else the text."""
+    if text.isascii():
+        return text.lower()
+    small = text.lower()
+    plain = "Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", small)
+    return small if plain else text
 
 
-_SEPARATOR = re.compile("[\x1c-\x1f]")
 _kept: dict[str, Speller] = {}
 
 
@@ -125,11 +148,17 @@ def speller(path: str) -> Speller:
 
 
 def spell(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, row, ids, n) of every row: the ids of its whole text and ``end_id``, as unsigned little-endian numbers of 32 bits."""
-    path, end = tokenizer or tokenizer_path(), np.array([end_id], "<u4").tobytes()
+    """(doc_id, row, ids, n) of every row: the ids of its whole text and ``end_id``, as the speller's kind of numbers.
+
+    The last row of a task has no document: under row -1 it has, as numbers of 64 bits, how often each id occurs in the others.
+    """
+    path = tokenizer or tokenizer_path()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = speller(path)
+        end = np.array([end_id], model.kind).tobytes()
+        counts = np.zeros(max(model.ids, end_id + 1), np.int64)
+        names = ["doc_id", "row", "ids", "n"]
         for batch in batches:
             texts, start = batch.column(2), 0
             while start < batch.num_rows:
@@ -137,11 +166,14 @@ def spell(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
                 while start + len(some) < batch.num_rows and size < _CHARS:
                     text = texts[start + len(some)].as_py() or ""
                     size += len(text)
-                    some.append(model.of(text) + end)
+                    some.append(text)
+                some = [x + end for x in model.of(some)]
+                counts += np.bincount(np.frombuffer(b"".join(some), model.kind), minlength=len(counts))
                 own = batch.slice(start, len(some))
-                n = pa.array([len(x) // 4 for x in some], pa.int64())
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(some, pa.binary()), n], ["doc_id", "row", "ids", "n"])
+                n = pa.array([len(x) // model.kind.itemsize for x in some], pa.int64())
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(some, pa.binary()), n], names)
                 start += len(some)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([counts.tobytes()], pa.binary()), pa.array([0], pa.int64())], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(each, "doc_id long, row long, ids binary, n long")
@@ -154,14 +186,12 @@ def frequencies(spelled: DataFrame) -> Table:
         counts = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                more = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-                if len(more) > len(counts):
-                    counts, more = more.astype(np.int64), counts
-                counts[: len(more)] += more
+                more = np.frombuffer(x.as_buffer(), "<i8")
+                counts = more + (counts if len(counts) else 0)
         seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], ["id", "n"])
 
-    found = spelled.select("ids").mapInArrow(each, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    found = spelled.filter("row = -1").select("ids").mapInArrow(each, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = found.column("id").to_numpy(), found.column("n").to_numpy()
     counts = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
     counts[ids] = n
@@ -217,10 +247,10 @@ class _Writer:
         self.out.write(body + zlib.crc32(body).to_bytes(4, "little") + len(self.checkpoints).to_bytes(4, "little") + _END)
 
 
-def write_files(spelled: DataFrame, table: Table, folder: str, files: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def write_files(spelled: DataFrame, table: Table, folder: str, files: int, kind: np.dtype, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Write spelled documents in ascending order of ids, null ones last, rows that repeat one in the order of the table.
 
-    Gives the manifest (file, path, tokens, blocks, bytes), which must be saved before it is read: files counts ranges, and
+    ``kind``: that of the ids' numbers. Gives the manifest (file, path, tokens, blocks, bytes), which must be saved before it is read: files counts ranges, and
     those in ascending order follow each other. The shared table is written by the driver, as ``frequencies``.
     """
     data = table.to_bytes()
@@ -239,7 +269,7 @@ def write_files(spelled: DataFrame, table: Table, folder: str, files: int, block
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if writer is None:
                     writer = _Writer(system.open_output_stream(f"{root}/{name}", compression=None), shared, crc, block_tokens)
-                writer.add(doc_id, np.frombuffer(ids.as_buffer(), "<u4"))
+                writer.add(doc_id, np.frombuffer(ids.as_buffer(), kind))
         rows: list[tuple] = []
         if writer is not None:
             writer.close()
@@ -250,7 +280,7 @@ def write_files(spelled: DataFrame, table: Table, folder: str, files: int, block
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], names)
 
     order = [F.col("doc_id").asc_nulls_last(), F.col("row").asc()]
-    dealt = spelled.select("doc_id", "ids", "row").repartitionByRange(files, *order).sortWithinPartitions(*order)
+    dealt = spelled.filter("row >= 0").select("doc_id", "ids", "row").repartitionByRange(files, *order).sortWithinPartitions(*order)
     return dealt.select("doc_id", "ids").mapInArrow(write, "file long, path string, tokens long, blocks long, bytes long")
 
 
@@ -403,7 +433,7 @@ def write_and_read(
     spelled = scratch.save(spell(docs, id_col, text_col, tokenizer, end_id))
     tokens = spelled.agg(F.sum("n")).first()[0] or 0
     wanted = files or max(1, math.ceil(tokens / FILE_TOKENS), min(2 * spark.sparkContext.defaultParallelism, tokens // block_tokens))
-    manifest = scratch.save(write_files(spelled, frequencies(spelled), _shared(spark, f"{scratch.base}/files"), wanted, block_tokens))
+    manifest = scratch.save(write_files(spelled, frequencies(spelled), _shared(spark, f"{scratch.base}/files"), wanted, speller(tokenizer or tokenizer_path()).kind, block_tokens))
     scratch.drop(spelled)
     return scratch.save(read_pieces(scratch.save(checkpoints(manifest)), with_ids))
 
