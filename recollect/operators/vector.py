@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,52 +24,71 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (whole > 0), dot(a, b) / whole).otherwise(0.0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, floor: float = S.VECTOR_FLOOR, query_rows: int = 4_096, metric: str = "cosine") -> DataFrame:
+#: Rows of a block of queries and of vectors, and the fewest of a block of vectors; cells of similarities held at once.
+QUERY_BLOCK, VECTOR_BLOCK, LEAST_BLOCK = 4_096, 1 << 16, 1 << 11
+_CELLS = 1 << 22
+_NEAR = "query_id long, id long, similarity double"
+
+
+def best_of_unit(queries: pa.Table, vectors: pa.Table, k: int, metric: str, floor: float) -> pa.Table:
+    """(query_id, id, similarity) of the k nearest vectors of one block to each query of another, with all ties of the k-th.
+
+    Vectors are compared with queries of their own length only; a null entry counts as zero.
+    """
+    found = []
+    sizes = [pc.fill_null(pc.list_value_length(t.column("embedding")), -1).to_numpy() for t in (queries, vectors)]
+    for wide in np.intersect1d(*map(np.unique, sizes)):
+        if wide < 0:
+            continue
+        q_rows, v_rows = (t.filter(pa.array(size == wide)) for t, size in zip((queries, vectors), sizes, strict=True))
+        asked, own = q_rows.column("query_id").to_numpy(), v_rows.column("id").to_numpy()
+        q, x = (_matrix(t.column("embedding"), int(wide)) for t in (q_rows, v_rows))
+        q_square, x_square = (q * q).sum(1), (x * x).sum(1)
+        step = max(1, _CELLS // len(x))
+        for i in range(0, len(q), step):
+            dots = q[i : i + step] @ x.T
+            if metric == "cosine":
+                whole = np.sqrt(q_square[i : i + step, None]) * np.sqrt(x_square[None, :])
+                sim = np.where(whole > 0, dots / np.where(whole > 0, whole, 1), 0.0)
+            else:
+                sim = -np.sqrt(np.maximum(0, q_square[i : i + step, None] + x_square[None, :] - 2 * dots))
+            some = min(k, sim.shape[1])
+            kth = np.partition(sim, -some, axis=1)[:, -some]
+            # the exact order of ties is settled after rounding
+            a, b = np.nonzero((sim >= kth[:, None] - 1e-9) & (sim >= (floor if metric == "cosine" else -np.inf)))
+            found.append((asked[i : i + step][a], own[b], sim[a, b]))
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table({"query_id": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "similarity": pa.array(columns[2], pa.float64())})
+
+
+def k_best(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query after rounding, ties by id."""
+    found = found.withColumn("similarity", F.round("similarity", 6) + 0.0)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).filter(F.col("rank") <= k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, floor: float = S.VECTOR_FLOOR, metric: str = "cosine") -> DataFrame:
     """(query_id, id, similarity, rank): the k nearest of all vectors to each query, exactly.
 
-    ``vectors``: id, embedding; ``queries``: query_id, embedding, any number. Blocks of queries are paired with
-    partitions of vectors; each pair is one matrix product, from which only k rows a query leave the task.
+    ``vectors``: id, embedding; ``queries``: query_id, embedding, any number, each id once. Both are cut into blocks, and each block
+    of queries meets each block of vectors as one group of bounded size: a row is copied once for each block of the other side, so
+    blocks are large. A group is a matrix product, from which only k rows a query leave. No row passes through the driver.
     ``metric`` cosine keeps similarities of at least ``floor``; l2 gives negated distances.
     """
     spark = vectors.sparkSession
-    blocks = max(1, -(-queries.count() // query_rows))
-    keyed = queries.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    k_best = lambda df, n: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).filter(F.col("rank") <= n)
-    out = None
-    for block in range(blocks):  # a stated query set against all rows, in blocks of bounded size, one after the other
-        part = keyed.filter(F.col("__b") == block).select("query_id", "embedding").toArrow().combine_chunks()
-        size = pc.list_value_length(part.column("embedding"))
-        wide = pc.max(size).as_py() or 0
-        part = part.filter(pc.equal(size, wide)) if wide else part.slice(0, 0)
-        shared = spark.sparkContext.broadcast((part.column("query_id").to_numpy(), _matrix(part.column("embedding"), wide)))
-
-        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            norm = np.sqrt((q * q).sum(1))
-            for batch in batches:
-                # vectors of another length are like nothing
-                rows = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), q.shape[1]), False))
-                if not rows.num_rows or not len(ids):
-                    continue
-                own, x = rows.column(0).to_numpy(zero_copy_only=False), _matrix(rows.column(1), q.shape[1])
-                if metric == "cosine":
-                    whole = norm[:, None] * np.sqrt((x * x).sum(1))[None, :]
-                    sim = np.where(whole > 0, q @ x.T / np.where(whole > 0, whole, 1), 0.0)
-                else:
-                    sim = -np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T))
-                # ties at the k-th place all leave; the exact order is settled after rounding
-                kth = np.partition(sim, -min(k, sim.shape[1]), axis=1)[:, -min(k, sim.shape[1])]
-                a, b = np.nonzero((sim >= kth[:, None] - 1e-9) & (sim >= (floor if metric == "cosine" else -np.inf)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(own[b]), pa.array(sim[a, b])], ["query_id", "id", "similarity"])
-
-        found = vectors.select("id", "embedding").mapInArrow(each, "query_id long, id long, similarity double")
-        found = k_best(found.withColumn("similarity", F.round("similarity", 6) + 0.0), k)
-        if blocks == 1:
-            return found
-        found = written(found, "nearest")
-        shared.destroy()
-        out = found if out is None else out.unionByName(found)
-    return out
+    numbered = lambda df, name: written(df.filter("embedding IS NOT NULL").withColumn("__row", F.monotonically_increasing_id()), name)
+    v, q = numbered(vectors.select(F.col("id").cast("long").alias("id"), "embedding"), "vectors"), numbered(queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding"), "queries")
+    n, m = v.count(), q.count()
+    spare = 3 * spark.sparkContext.defaultParallelism
+    down = max(1, -(-n // min(VECTOR_BLOCK, max(LEAST_BLOCK, -(-n // spare)))))
+    across = max(1, -(-m // QUERY_BLOCK))
+    own = lambda blocks: F.pmod(F.xxhash64("__row"), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    units = min(across * down, 20_000)
+    a = q.withColumn("__i", own(across)).withColumn("__j", every(down)).drop("__row").repartition(units, "__i", "__j")
+    b = v.withColumn("__i", every(across)).withColumn("__j", own(down)).drop("__row").repartition(units, "__i", "__j")
+    unit = lambda x, y: best_of_unit(x, y, k, metric, floor)
+    return k_best(a.groupBy("__i", "__j").cogroup(b.groupBy("__i", "__j")).applyInArrow(unit, _NEAR), k)
 
 
 def _matrix(lists: pa.ChunkedArray | pa.Array, wide: int) -> np.ndarray:
