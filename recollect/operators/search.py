@@ -2,37 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect import schema as S
 from recollect.functions import text as X
+from recollect.functions.stems import stems
 from recollect.sources.scratch import written
 
 
-def postings(docs: DataFrame, id_col: str = "id", text_col: str = "body") -> DataFrame:
-    """(term, id, tf, dl). Documents are tokenised once; terms meet by hash."""
-    words = docs.select(F.col(id_col).alias("id"), X.tokens(text_col).alias("w"))
-    words = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return words.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+#: The columns of a record that are searched, as far as a table has them.
+FIELDS = ("title", "body", "domain")
 
 
-def matches(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "body", passing: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _words(docs: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
+    """(id, dl, term): every word of the fields, which a null one has none of, and how many there are in all."""
+    held = [X.tokens(F.coalesce(F.col(c), F.lit(""))) for c in fields if c in docs.columns]
+    words = docs.select(F.col(id_col).alias("id"), F.concat(*held).alias("w"))
+    return words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+
+
+def postings(docs: DataFrame, id_col: str = "id", fields: Sequence[str] = FIELDS) -> DataFrame:
+    """(term, id, dl, tf) by stems. Words are counted by document, and distinct words stemmed once."""
+    counted = written(_words(docs, id_col, fields).groupBy("term", "id", "dl").agg(F.count("*").alias("tf")), "words")
+    known = written(stems(counted), "stems")
+    return counted.join(known, "term").groupBy(F.col("stem").alias("term"), "id", "dl").agg(F.sum("tf").alias("tf"))
+
+
+def matches(docs: DataFrame, queries: DataFrame, id_col: str = "id", fields: Sequence[str] = FIELDS, passing: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query_id, id, hits, bm25, lane) of the documents that hold all terms of a query, or if there are none, any of them.
 
     ``passing`` takes rows (query_id, id, ...) and keeps those that a query's filters let pass; it is applied to what matches,
     before it is settled whether any document has all terms and before anything is ranked.
-    ``queries`` has query_id and terms (an array). Documents are split once: postings of asked terms are written, and all
-    else reads those. Documents with all terms are found through each query's rarest one. ``lane`` says which it was.
+    ``queries`` has query_id and terms (an array). Terms meet by stems: the distinct words of documents and queries are stemmed once, and
+    those with an asked stem are what postings are made of, which are written; all else reads these. Frequencies and
+    lengths are added up over ``fields``. Documents with all terms are found through each query's rarest one. ``lane`` says which it was.
     """
-    asked = queries.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    words = docs.select(F.col(id_col).alias("id"), X.tokens(text_col).alias("w"))
-    tokens = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    found = tokens.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    raw = queries.select("query_id", F.explode("terms").alias("term"))
+    asked = raw.join(stems(raw), "term").select("query_id", F.col("stem").alias("term")).distinct()
+    asked = written(asked.join(asked.groupBy("query_id").agg(F.count("*").cast("int").alias("n_terms")), "query_id").select("query_id", "n_terms", "term"), "asked")
+    tokens = _words(docs, id_col, fields)
+    known = written(stems(tokens).join(asked.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi"), "stems")
+    found = tokens.join(known, "term").groupBy(F.col("stem").alias("term"), "id", "dl").agg(F.count("*").alias("tf"))
     found = written(found, "postings")
-    size = docs.agg(F.count("*").cast("double").alias("n"), F.avg(X.token_count(text_col)).alias("avgdl"))
+    length = F.lit(0)
+    for c in fields:
+        if c in docs.columns:
+            length += X.token_count(F.coalesce(F.col(c), F.lit("")))
+    size = docs.agg(F.count("*").cast("double").alias("n"), F.avg(length).alias("avgdl"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(S.IDF_FLOOR))
     weights = written(df.join(F.broadcast(size)).select("term", "df", idf.alias("idf"), "avgdl"), "weights")  # size is one row

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect import schema as S
 from recollect.functions import text as X
+from recollect.functions.stems import sql_steps
 from recollect.operators import search as O
 from recollect.operators import vector as V
 from recollect.operators import vector_index
@@ -19,6 +20,7 @@ _EDGES = r"""["''.,;:!?()\[\]{}<>]+"""
 _STOP = ", ".join(f"'{w}'" for w in S.STOPWORDS)
 _FIELDS = rf"list_transform(regexp_split_to_array(lower(@), '\s+'), x -> regexp_replace(regexp_replace(x, '^{_EDGES}', ''), '{_EDGES}$', ''))"
 _TOKENS = r"list_filter(regexp_split_to_array(lower(@), '[^\p{L}\p{N}]+'), x -> x <> '')"
+_ALL_FIELDS = "coalesce(title, '') || ' ' || coalesce(body, '') || ' ' || coalesce(domain, '')"
 _LIVE = "status = 'active' AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-31 00:00:00') AND (superseded_by IS NULL OR superseded_by = 0)"
 _BOOST = f"""{S.lookup_sql("kind", S.SEARCH_BOOST, 1.0)} * {S.lookup_sql("classification", S.CLASS_BOOST, 1.0)}
     * CASE WHEN date_diff('second', updated_at, TIMESTAMP '2024-01-31 00:00:00') / 86400.0 <= 7 THEN 1.15 WHEN date_diff('second', updated_at, TIMESTAMP '2024-01-31 00:00:00') / 86400.0 <= 30 THEN 1.05 ELSE 1.0 END
@@ -27,11 +29,15 @@ _PARTS = {
     "live": f"SELECT * FROM items WHERE {_LIVE}",
     "queries": f"SELECT item_id AS query_id, list_distinct({_TOKENS.replace('@', 'text')}) AS terms FROM benchmark",
     "asked": f"SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM (SELECT query_id, list_filter(terms, x -> octet_length(encode(x)) >= 3 AND x NOT IN ({_STOP})) AS terms FROM queries)",
-    "words": f"SELECT id, len(w) AS dl, unnest(w) AS term FROM (SELECT id, {_TOKENS.replace('@', 'body')} AS w FROM live)",
-    "size": f"SELECT count(*)::DOUBLE AS n, avg(len({_TOKENS.replace('@', 'body')})) AS avgdl FROM live",
-    "found": "SELECT term, id, dl, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL",
+    "split": f"SELECT id, {_TOKENS.replace('@', _ALL_FIELDS)} AS w FROM live",
+    "words": "SELECT id, len(w) AS dl, unnest(w) AS term FROM split",
+    "size": "SELECT count(*)::DOUBLE AS n, avg(len(w)) AS avgdl FROM split",
+    "said": "SELECT term FROM words UNION SELECT term FROM asked",
+    **sql_steps("said"),
+    "wanted": "SELECT query_id, stem AS term, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT DISTINCT query_id, stem FROM asked JOIN stems USING (term))",
+    "found": "SELECT stem AS term, id, dl, count(*) AS tf FROM words JOIN stems USING (term) WHERE stem IN (SELECT term FROM wanted) GROUP BY ALL",
     "weights": "SELECT term, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) AS idf, avgdl FROM (SELECT term, count(*) AS df FROM found GROUP BY 1), size",
-    "matched": "SELECT query_id, n_terms, id, count(*) AS hits, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM asked JOIN found USING (term) JOIN weights USING (term) GROUP BY ALL",
+    "matched": "SELECT query_id, n_terms, id, count(*) AS hits, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM wanted JOIN found USING (term) JOIN weights USING (term) GROUP BY ALL",
     "counts": "SELECT memory_id, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failure') AS failure FROM outcomes GROUP BY 1",
     "facts": f"SELECT live.*, {_BOOST} AS boost FROM live LEFT JOIN counts ON memory_id = id",
     "lanes": "SELECT *, CASE WHEN query_id IN (SELECT query_id FROM matched WHERE hits = n_terms) THEN 'all' ELSE 'any' END AS lane FROM matched",
@@ -63,8 +69,8 @@ def search_topk(spark, d):
     return O.top(_scored(spark, d), 10).select("query_id", "rank", "id", "hits", "lane", "score")
 
 
-@query(sql("""SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT term, id, count(*) AS tf FROM words GROUP BY ALL) GROUP BY 1""",
-    "items", live=_PARTS["live"], words=_PARTS["words"]))
+@query(sql("""SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT stem AS term, id, count(*) AS tf FROM words JOIN stems USING (term) GROUP BY ALL) GROUP BY 1""",
+    "items", live=_PARTS["live"], split=_PARTS["split"], words=_PARTS["words"], **sql_steps("words")))
 def t1_a14_term_statistics(spark, d):
     return O.postings(_live(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
