@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +40,10 @@ BLOCK_TOKENS = 1 << 18
 #: Tokens of a file that is large enough, about.
 FILE_TOKENS = 1 << 26
 #: Spellings of words that a worker keeps, twice; new words spelled together; characters of text spelled at once.
-_WORDS, _TOGETHER, _CHARS = 400_000, 1_000, 1_000_000
-_MARKS, _SEPARATORS = ".,;:!?*#$%&|)", "\x1c\x1d\x1e\x1f"
+_WORDS, _TOGETHER, _CHARS = 400_000, 1_000, 4_000_000
+_MARKS = ".,;:!?*#$%&|)"
+#: White space outside ASCII, and what some take for white space.
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _MAGIC, _END = b"RTOK1", b"RTOKEND"
 _BEGINS, _ENDS, _NAMELESS = 1, 2, 4
 #: offset, bytes, tokens, first token of a block in its file, CRC-32 of its ids, number of the first document
@@ -61,8 +64,8 @@ class Speller:
 
     Texts are put in lower case first where that is what the tokenizer makes of them, so there are fewer words to know. Marks
     that end a new word are spelled by themselves, as they are never merged with letters. New words of letters alone are given to
-    the tokenizer many at once, and told apart by the tokens that end one; other words one by one. Of white space only the four
-    separators U+001C to U+001F are told otherwise by Python, so texts with one are given to it whole.
+    the tokenizer many at once, and told apart by the tokens that end one; other words one by one. A batch is split and numbered by
+    Arrow, so Python sees each of its distinct words once. Texts with white space other than that of ASCII are given to the tokenizer whole.
 
     Ids are numbers of 16 bits if the vocabulary has no more, else of 32.
     """
@@ -78,7 +81,7 @@ class Speller:
         self.ends = np.zeros(self.ids, bool)
         for token, i in self.model.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
         tried = ["Hello, World", "don't x's", "naïve 12a", "a b.", "x_, (y)"]
         if self.of(tried) != [self.whole(x) for x in tried]:
@@ -120,12 +123,22 @@ class Speller:
 
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of little-endian numbers."""
-        split = [None if any(map(t.__contains__, _SEPARATORS)) else _lower(t).split() for t in texts]
+        plain = [not _ODD_SPACE.search(t) for t in texts]
+        words = pc.ascii_split_whitespace(pa.array([_lower(t) if x else "" for t, x in zip(texts, plain, strict=True)], pa.string()))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         if len(self.known) > _WORDS:  # of words known long ago what is still asked for is kept
-            self.before, self.known = self.known, {}
-        self._learn(set().union(*(x for x in split if x)).difference(self.known))
-        known = self.known.__getitem__
-        return [self.whole(t) if x is None else b"".join(map(known, x)) for t, x in zip(texts, split, strict=True)]
+            self.before, self.known = self.known, {"": b""}
+        self._learn(set(distinct).difference(self.known))
+        spelled = [self.known[w] for w in distinct]
+        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled)) // self.kind.itemsize
+        ids, firsts = np.frombuffer(b"".join(spelled), self.kind), np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = ids[np.repeat(firsts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.r_[0, ends][words.offsets.to_numpy()].tolist()
+        return [ids[i:j].tobytes() if x else self.whole(t) for t, x, i, j in zip(texts, plain, cuts[:-1], cuts[1:], strict=True)]
 
 
 def _lower(text: str) -> str:
