@@ -195,3 +195,31 @@ def path_score(target: str | Column, candidate: str | Column) -> Column:
         .when(a.contains(b) | b.contains(a), 48)
         .otherwise(0)
     )
+
+
+def _plain(c: Column) -> Column:
+    """Without marks of bold, code and italics, words joined by single spaces."""
+    for mark in (r"\*\*([^*]+)\*\*", r"`([^`]+)`", r"\*([^*]+)\*"):
+        c = F.regexp_replace(c, mark, "$1")
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def learnings(c: str | Column) -> Column:
+    """The items (array) of the last section of learnings that has any.
+
+    A section goes from its header to the next one of up to three marks. Its items are its numbered lines, or if none of
+    these is long enough its bulleted ones, without markdown; long enough are 20 bytes and four words.
+    """
+    sections = F.slice(F.split(_col(c), S.LEARNING_HEADER, -1), F.lit(2), F.greatest(F.lit(0), F.size(F.split(_col(c), S.LEARNING_HEADER, -1)) - 1))
+
+    def items(section: Column, mark: str) -> Column:
+        found = F.transform(F.regexp_extract_all(section, F.lit(rf"(?md)^\s*{mark}\s+(.+)"), 1), _plain)
+        return F.filter(found, lambda x: (F.octet_length(x) >= S.LEARNING_BYTES) & (F.size(F.split(x, " ")) >= S.LEARNING_WORDS))
+
+    def of(section: Column) -> Column:
+        own = F.element_at(F.split(section, r"\n#{1,3} ", 2), 1)
+        numbered = items(own, r"\d+[.)]")
+        return F.when(F.size(numbered) > 0, numbered).otherwise(items(own, "[-*]"))
+
+    full = F.filter(F.transform(sections, of), lambda x: F.size(x) > 0)
+    return F.coalesce(F.try_element_at(full, F.lit(-1)), F.array().cast("array<string>"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from recollect import schema as S
 from recollect.operators import graph as G
 from recollect.operators import search as O
+from recollect.operators.chains import current
 from recollect.operators.intervals import holding
 from recollect.plans.base import query
+from recollect.plans.scans import n1_timeline
 from recollect.plans.searches import _PARTS, _scored
 from recollect.sources.scratch import written
 from recollect.sources.tables import entity_links, memory_items, outcomes, prompts, relations, sessions, sql, table
@@ -107,6 +109,20 @@ def j16_replaced_by(spark, d):
     return G.replaced_by(memory_items(spark, d))
 
 
+@query(sql("""SELECT id, last_value(id) OVER w AS current_id, count(*) OVER w - row_number() OVER (PARTITION BY project_id ORDER BY updated_at, id) AS depth, false AS cyclic FROM items
+    WINDOW w AS (PARTITION BY project_id ORDER BY updated_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""", "items"))
+def j15_current_records(spark, d):
+    """Every record replaced by the next one of its project: the last of each project is the current one of all before it."""
+    return current(n1_timeline(spark, d).select("id", F.when(F.col("next") >= 0, F.col("next")).alias("superseded_by")))
+
+
+@query(sql("""SELECT i.id, coalesce(n.superseded_by, n.id, i.id) AS current_id, CASE WHEN n.superseded_by IS NOT NULL THEN 2 WHEN n.id IS NOT NULL THEN 1 ELSE 0 END AS depth FROM
+    (SELECT id, superseded_by FROM items) i LEFT JOIN (SELECT a.id, CASE WHEN EXISTS (SELECT 1 FROM items c WHERE c.id = a.superseded_by) THEN a.superseded_by END AS superseded_by FROM items a) n ON n.id = i.superseded_by""", "items"))
+def j16_current_of_superseded(spark, d):
+    """The record that stands for each one now, however often it was superseded."""
+    return current(memory_items(spark, d)).select("id", F.coalesce("current_id", F.lit(-1)).alias("current_id"), "depth")
+
+
 @query(sql(f"""SELECT id, round(greatest(-0.06, least(sum(w) + count(*) * 0.008, 0.14)), 6) AS weight, count(*) AS degree FROM (SELECT from_id AS id, {_W} AS w FROM relations UNION ALL SELECT to_id, {_W} FROM relations) GROUP BY 1""", "relations"))
 def a12_relation_weight(spark, d):
     return G.relation_weight(relations(spark, d)).select("id", F.round("weight", 6).alias("weight"), "degree")

@@ -138,10 +138,79 @@ def x21_tool_classes(spark, d):
     return table(spark, d, "events").select("event_id", S.lookup("event_type", kinds, "file_change").alias("kind"))
 
 
+_REPLIES = r"""SELECT conv_id, turn, CASE (conv_id + turn) % 6
+      WHEN 0 THEN 'Done.' || chr(10) || '## Key Learnings:' || chr(10) || chr(10) || '1. **' || left(t, 30) || '** and `' || right(t, 30) || '` again' || chr(10) || '2) short' || chr(10) || ' 3. *' || t || '* once more'
+      WHEN 1 THEN '### Learning' || chr(10) || '1. too few' || chr(10) || '- ' || t || ' kept as a bullet' || chr(10) || '* so is ' || left(t, 20) || '   with spaces' || chr(10) || chr(10) || '# Next' || chr(10) || '- ' || t || ' outside of it'
+      WHEN 2 THEN '## Aprendizajes Clave' || chr(10) || '- the first of ' || t || chr(10) || '## Key learnings:  ' || chr(10) || '- nothing'
+      WHEN 3 THEN '##  LEARNINGS' || chr(10) || '- an earlier one of ' || t || chr(10) || '## Aprendizajes' || chr(10) || '1. the later one of ' || t
+      WHEN 4 THEN '#### Key Learnings' || chr(10) || '- no section at all ' || t || chr(10) || 'see ## Learnings' || chr(10) || '- nor this ' || t
+      ELSE text END AS reply FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'assistant')"""
+_HEADER = r"(?im)^#{2,3}\s+(?:Aprendizajes(?:\s+Clave)?|Key\s+Learnings?|Learnings?):?\s*$"
+_ITEMS = r"""list_filter(list_transform(regexp_extract_all(x, '(?m)^\s*@\s+(.+)', 1), i -> trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(i, '\*\*([^*]+)\*\*', '\1', 'g'), '`([^`]+)`', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '\s+', ' ', 'g'))),
+    i -> octet_length(encode(i)) >= 20 AND len(string_split(i, ' ')) >= 4)"""
+_LEARNED = rf"""SELECT conv_id, turn, unnest(list_filter(list_transform(list_transform(regexp_split_to_array(reply, '{_HEADER}')[2:], s -> regexp_split_to_array(s, '\n#{{1,3}} ')[1]),
+    x -> CASE WHEN len({_ITEMS.replace("@", "[0-9]+[.)]")}) > 0 THEN {_ITEMS.replace("@", "[0-9]+[.)]")} ELSE {_ITEMS.replace("@", "[-*]")} END), y -> len(y) > 0)[-1]) AS item FROM replies"""
+
+
+def replies(spark, d):
+    """The replies of conversations, most of them with sections of learnings put about their text."""
+    c = table(spark, d, "conversations").filter("role = 'assistant'").withColumn("t", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    k, t, join = (F.col("conv_id") + F.col("turn")) % 6, F.col("t"), lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    reply = F.when(k == 0, join("Done.\n## Key Learnings:\n\n1. **", F.left(t, F.lit(30)), "** and `", F.right(t, F.lit(30)), "` again\n2) short\n 3. *", t, "* once more"))
+    reply = reply.when(k == 1, join("### Learning\n1. too few\n- ", t, " kept as a bullet\n* so is ", F.left(t, F.lit(20)), "   with spaces\n\n# Next\n- ", t, " outside of it"))
+    reply = reply.when(k == 2, join("## Aprendizajes Clave\n- the first of ", t, "\n## Key learnings:  \n- nothing"))
+    reply = reply.when(k == 3, join("##  LEARNINGS\n- an earlier one of ", t, "\n## Aprendizajes\n1. the later one of ", t))
+    reply = reply.when(k == 4, join("#### Key Learnings\n- no section at all ", t, "\nsee ## Learnings\n- nor this ", t)).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", reply.alias("reply"))
+
+
+@query(sql("SELECT * FROM learned", replies=_REPLIES, learned=_LEARNED))
+def x7_learnings(spark, d):
+    """The learnings of every reply, from its last section that has any."""
+    return replies(spark, d).select("conv_id", "turn", F.explode(X.learnings("reply")).alias("item"))
+
+
+@query(sql("""SELECT project, substr(item, 1, 64) AS head, count(*) > 0 AS saved FROM (SELECT 'src' || (conv_id % 20) AS project, item FROM learned) GROUP BY 1, 2""", replies=_REPLIES, learned=_LEARNED))
+def z5_passive_capture(spark, d):
+    """Learnings captured as replies arrive, in several batches, each once a project by its first 64 characters."""
+    from recollect.streaming import flows as Z
+
+    rows = replies(spark, d).select(F.concat(F.lit("src"), F.col("conv_id") % 20).alias("project"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("reply").alias("content"))
+    stream = Z.staged(rows.withColumn("part", F.pmod(F.col("id"), F.lit(3))), "part")
+    out = Z.capture(stream)
+    return out.select("project", F.substring("body", 1, 64).alias("head"), (F.col("kind") == "discovery").alias("saved"))
+
+
+_NESTED = """SELECT id, CASE WHEN id % 11 = 3 THEN '{"files": [' WHEN id % 11 = 5 THEN '[]' ELSE '{"files":["a' || id || '",{" Path ":["b' || id || '",7,null]}],"meta":{"note":"c/' || id || '","plain":"d","deep":[[{"x":{"renamed_to":"e' || id || '"}}]]},"file":"' || project_id || '"}' END AS j FROM items"""
+
+
+@query(sql("""SELECT id, key, value, CAST(depth AS INTEGER) AS depth FROM (SELECT id, unnest([{'key': 'files', 'value': 'a' || id, 'depth': 2}, {'key': 'path', 'value': 'b' || id, 'depth': 4}, {'key': 'note', 'value': 'c/' || id, 'depth': 2},
+    {'key': 'renamed_to', 'value': 'e' || id, 'depth': 6}, {'key': 'file', 'value': project_id, 'depth': 1}]) AS r FROM items WHERE id % 11 NOT IN (3, 5)), LATERAL (SELECT r.key AS key, r.value AS value, r.depth AS depth)""", "items"))
+def x14_path_hints(spark, d):
+    """Paths at any depth of nested JSON: strings under a key that names paths, and others that look like one."""
+    from recollect.operators.json_walk import path_hints
+
+    i = memory_items(spark, d)
+    text = F.concat(F.lit('{"files":["a'), "id", F.lit('",{" Path ":["b'), "id", F.lit('",7,null]}],"meta":{"note":"c/'), "id", F.lit('","plain":"d","deep":[[{"x":{"renamed_to":"e'), "id", F.lit('"}}]]},"file":"'), "project_id", F.lit('"}'))
+    rows = i.select("id", F.when(F.col("id") % 11 == 3, '{"files": [').when(F.col("id") % 11 == 5, "[]").otherwise(text).alias("j"))
+    return path_hints(rows, "j")
+
+
+@query("""SELECT event_id, event_type, CAST(value AS DOUBLE) AS value FROM events WHERE event_id % 7 <> 3""")
+def x16_sync_payloads(spark, d):
+    """Payloads of a journal, every second of them encoded twice, every seventh broken off."""
+    from recollect.operators.json_walk import decoded
+
+    e = table(spark, d, "events").withColumn("once", F.to_json(F.struct("event_id", "event_type", "value")))
+    twice = F.concat(F.lit('"'), F.replace(F.col("once"), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    payload = F.when(F.col("event_id") % 7 == 3, F.substring("once", 1, 9)).when(F.col("event_id") % 2 == 0, F.concat(F.lit("  "), twice)).otherwise(F.col("once"))
+    return e.select(decoded(payload, "event_id long, event_type string, value double").alias("p")).filter("p IS NOT NULL").select("p.*")
+
+
 @query(r"""SELECT conv_id, turn, item FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\n')) AS item FROM conversations WHERE role = 'assistant')
     WHERE octet_length(encode(item)) >= 20 AND len(list_filter(regexp_split_to_array(item, '\s+'), x -> x <> '')) >= 4""")
 def x7_z5_learnings(spark, d):
-    """Items long enough to be learned, one for each line of a reply."""
+    """Lines of replies that are long enough to be learned."""
     c = table(spark, d, "conversations").filter("role = 'assistant'")
     rows = c.select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("item"))
-    return rows.filter((F.octet_length("item") >= 20) & (X.word_count("item") >= 4))
+    return rows.filter((F.octet_length("item") >= S.LEARNING_BYTES) & (X.word_count("item") >= S.LEARNING_WORDS))

@@ -72,6 +72,9 @@ TOPIC_BY_WORD = {
     "discovery": ["discovery", "investigate", "investigation", "found", "root cause"],
     "learning": ["learned", "learning"],
 }
+LEARNING_HEADER = r"(?imd)^#{2,3}\s+(?:Aprendizajes(?:\s+Clave)?|Key\s+Learnings?|Learnings?):?\s*$"
+LEARNING_BYTES, LEARNING_WORDS = 20, 4
+PATH_KEYS = ["file", "files", "path", "paths", "filepath", "file_path", "applies_to", "related_file", "renamed_from", "renamed_to"]
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 RRF_CONSTANT = 60

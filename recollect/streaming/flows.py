@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from recollect.sources.scratch import shared_folder
+from recollect.functions import text as X
+from recollect.sources.scratch import shared_folder, written
 
 LEVELS = ["off", "prompts", "metadata", "tools", "full"]
 
@@ -22,24 +23,66 @@ def events(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame) -> DataFrame:
-    """Run a stream over all that its source holds, and read what it wrote.
+def staged(rows: DataFrame, part: str) -> DataFrame:
+    """``rows`` as a stream of one file for each value of ``part``, in its order: each is a batch of its own."""
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "staged")
+    held = written(rows, "parts")
+    for value in sorted(r[0] for r in held.select(part).distinct().collect()):  # a stage setting, of few values
+        held.filter(F.col(part) == value).drop(part).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.drop(part).schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
-    Each batch adds its rows (append mode); windows come out when the watermark has passed them, so state is no more than
-    what may still change. Batches are written under their number, so one that is run again replaces itself.
+
+def epochs(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the batches that were written whole under ``folder``/out, as the folder itself has them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/out/*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(f.getPath().getParent().getName()) for f in found or [])
+
+
+def drain(stream: DataFrame, folder: str | None = None, each: Callable[[DataFrame, int], DataFrame] | None = None, schema: str | None = None) -> DataFrame:
+    """Run a stream over all that its source holds, and read what it has written, now and in runs before on the same ``folder``.
+
+    Each batch adds its rows (append mode), after ``each`` (rows, number) if given, whose rows have ``schema``; windows come out when
+    the watermark has passed them, so state is no more than what may still change. Batches are written under their number, so
+    one that is run again replaces itself, and which there are is asked of the folder.
     """
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
-    done: list[int] = []
+    spark = stream.sparkSession
+    folder = folder or shared_folder(spark, "stream")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/{epoch}")
-        done.append(epoch)
+        (each(batch, epoch) if each else batch).write.mode("overwrite").parquet(f"{folder}/out/{epoch}")
 
     query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
+    done = epochs(spark, folder)
+    kind = schema or stream.schema
     if not done:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(*[f"{folder}/out/{e}" for e in sorted(set(done))])
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).parquet(*[f"{folder}/out/{e}" for e in done])
+
+
+_CAPTURED = "project string, id long, kind string, title string, body string, head string"
+
+
+def capture(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Learnings of arriving replies (project, id, content) as records, each once a project by its first 64 characters.
+
+    A batch drops its own repeats (the reply with the smallest id stays) and, by an anti join, what batches with smaller numbers
+    have written; so a batch that is run again after a failure comes to the same rows, and replaces what it had written.
+    """
+    spark = stream.sparkSession
+    folder = folder or shared_folder(spark, "capture")
+
+    def fresh(batch: DataFrame, epoch: int) -> DataFrame:
+        found = batch.select("project", "id", F.posexplode(X.learnings("content")).alias("at", "body")).withColumn("head", F.substring("body", 1, 64))
+        first = found.groupBy("project", "head").agg(F.min_by(F.struct("id", "body"), F.struct("id", "at")).alias("v")).select("project", "head", "v.*")
+        before = [f"{folder}/out/{e}" for e in epochs(spark, folder) if e < epoch]
+        if before:
+            first = first.join(spark.read.schema(_CAPTURED).parquet(*before).select("project", "head"), ["project", "head"], "left_anti")
+        title = F.when(F.char_length("body") > 60, F.concat(F.left("body", F.lit(60)), F.lit("..."))).otherwise(F.col("body"))
+        return first.select("project", "id", F.lit("discovery").alias("kind"), title.alias("title"), "body", "head")
+
+    return drain(stream, folder, fresh, _CAPTURED)
 
 
 def windowed(stream: DataFrame, length: str = "1 day", slide: str | None = None, late: str = "2 days") -> DataFrame:
