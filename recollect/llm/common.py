@@ -101,22 +101,31 @@ def join_spread(
     """Left join of many rows to one row a key, when one key may hold a third of all rows.
 
     ``weight`` is how many left rows a right row stands for and ``total`` the number of left rows. Keys with at
-    least ``max(HEAVY_ROWS, total / HEAVY_SHARE)`` rows are hot; there can't be more than HEAVY_SHARE of them, which
-    bounds what is broadcast. Their left rows then travel under ``spread`` instead of the hot key, so the shuffle
-    join sees no key above that size.
+    least ``max(HEAVY_ROWS, total / HEAVY_SHARE)`` rows are hot; there can't be more than HEAVY_SHARE of them. Of these only the
+    keys are broadcast, with a number of salts, one for each so many rows; values of any size are shuffled. A hot key's left
+    rows are dealt over its salts by ``spread``, and its right row is there once a salt, so no task sees a key above that size.
     """
     heavy_from = max(HEAVY_ROWS, total // HEAVY_SHARE)
-    heavy = right.filter(weight >= heavy_from).select(*keys, F.struct(*values).alias("__hot"))
-    light = right.filter(weight < heavy_from).select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.struct(*values).alias("__cold")
-    )
-    hit = F.col("__hot").isNotNull()
-    # should a spread key meet a right row by chance, the hot values are taken all the same
-    kind = left.schema[keys[0]].dataType
-    marked = left.join(F.broadcast(heavy), list(keys), "left").withColumn(
-        "__s", F.when(hit, F.xxhash64(spread).cast(kind)).otherwise(F.col(keys[0]))
-    )
-    on = [marked["__s"] == light["__k0"]] + [marked[k] == light[f"__k{i}"] for i, k in enumerate(keys) if i]
-    both = marked.join(light, on, "left")
-    picked = [F.when(hit, F.col(f"__hot.{v}")).otherwise(F.col(f"__cold.{v}")).alias(v) for v in values]
-    return both.select(*left.columns, *picked)
+    salts = F.ceil(weight / heavy_from).cast("int")
+    hot = right.filter(weight >= heavy_from).select(*keys, salts.alias("__salts"))
+    some = F.coalesce("__salts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), list(keys), "left").withColumn("__s", F.pmod(F.xxhash64(spread), some).cast("int")).drop("__salts")
+    there = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.explode(F.sequence(F.lit(0), F.when(weight >= heavy_from, salts).otherwise(1) - 1)).alias("__k"), *values)
+    on = [F.col("__s") == F.col("__k")] + [dealt[k] == F.col(f"__k{i}") for i, k in enumerate(keys)]
+    return dealt.join(there, on, "left").select(*left.columns, *values)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, spread: Column, total: int, how: str = "inner") -> DataFrame:
+    """Join of many rows to one row a key as in ``join_spread``, where how many left rows a key has is yet to be counted.
+
+    ``right`` has the key and columns that ``left`` doesn't. With fewer than HEAVY_ROWS left rows no key can be hot.
+    """
+    if total < HEAVY_ROWS:
+        return left.join(right, key, how)
+    heavy_from = max(HEAVY_ROWS, total // HEAVY_SHARE)
+    counts = left.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") >= heavy_from)
+    hot = F.broadcast(counts.select(key, F.ceil(F.col("__n") / heavy_from).cast("int").alias("__salts")))  # HEAVY_SHARE keys at most
+    some = F.coalesce("__salts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("__s", F.pmod(F.xxhash64(spread), some).cast("int")).drop("__salts")
+    there = right.join(hot, key, "left").withColumn("__s", F.explode(F.sequence(F.lit(0), some - 1))).drop("__salts")
+    return dealt.join(there, [key, "__s"], how).drop("__s")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import Scratch
+from recollect.llm.common import Scratch, join_hot
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -30,20 +30,23 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
     Each round every node points at its smallest neighbour, pointers are doubled twice, and the links are rewritten
     between the nodes that they point at. Linked nodes shrink by a constant factor at least, chains by a power of
-    their length; the driver learns only whether any links are left.
+    their length; the driver learns only how many links are left. A node that many others point at is dealt over several tasks.
     """
     links = scratch.save(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     labels = links.select(F.col("u").alias("node")).union(links.select("v")).distinct().withColumn("root", F.col("node"))
-    while not links.isEmpty():
+    labels = scratch.save(labels)
+    nodes = labels.count()
+    while n := links.count():
         both = links.union(links.select("v", "u"))
         to = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")))
         for _ in range(2):
             up = to.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            to = scratch.save(to.join(up, "p", "left").select("u", F.coalesce("q", "p").alias("p")))
+            to = scratch.save(join_hot(to, up, "p", F.col("u"), n, "left").select("u", F.coalesce("q", "p").alias("p")))
         labels = scratch.save(
-            labels.join(to.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+            join_hot(labels, to.withColumnRenamed("u", "root"), "root", F.col("node"), nodes, "left").select("node", F.coalesce("p", "root").alias("root"))
         )
-        ends = links.join(to.withColumnRenamed("p", "x"), "u").join(to.select(F.col("u").alias("v"), F.col("p").alias("y")), "v")
+        ends = join_hot(links, to.withColumnRenamed("p", "x"), "u", F.col("v"), n)
+        ends = join_hot(ends, to.select(F.col("u").alias("v"), F.col("p").alias("y")), "v", F.col("u"), n)
         links = scratch.save(
             ends.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
         )

@@ -242,8 +242,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = near_links(distinct.select("fp"), distinct.count(), radius, scratch)
     roots = components(links, scratch)
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = scratch.save(linked.join(least, "root").select("fp", "component_id", "n"))
+    linked = scratch.save(linked)
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints"))
+    classes = join_spread(linked, least, ["root"], ["component_id"], F.col("prints"), linked.count(), F.col("fp"))
+    classes = scratch.save(classes.select("fp", "component_id", "n"))
     joined = join_spread(prints, classes, ["fp"], ["component_id"], F.col("n"), prints.count(), F.col("id"))
     return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
