@@ -126,33 +126,89 @@ def _without_one(x: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.char_length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.char_length(x))))
 
 
-def similar_names(names: DataFrame, most: int = 3) -> DataFrame:
-    """(name, other, match, distance) among the distinct names of a column ``name``: case, substring, small edit distance.
+def _grams(c: Column, size: int) -> Column:
+    """The strings of ``size`` characters of a column, in order; none of a shorter one."""
+    at = F.sequence(F.lit(1), F.greatest(F.char_length(c) - size + 1, F.lit(1)))
+    return F.when(F.char_length(c) >= size, F.transform(at, lambda i: F.substring(c, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def containing_names(names: DataFrame) -> DataFrame:
+    """(low, olow) of the distinct values of ``low`` that lie in another one.
 
-    Names within n edits leave the same string when each loses at most n characters; names of which one holds the other share
-    their trigrams. They meet on those, so names that aren't alike meet only by a common trigram.
+    Whatever holds a name holds its rarest trigram: a name is filed under that one only, and looks among all trigrams of the
+    others. Names of one or two characters are looked up among the parts of others.
     """
-    n = names.select("name").distinct().withColumn("low", F.lower(F.trim("name")))
-    limit = lambda c: F.least(F.lit(most), F.greatest(F.floor(F.char_length(c) / 2).cast("int"), F.lit(1)))
-    # a name whose limit is n may meet longer ones, whose limit is larger, at n edits: each is filed under all its steps
+    n = names.select("low").distinct()
+    every = n.select("low", F.explode(F.array_distinct(_grams(F.col("low"), 3))).alias("gram"))
+    rare = every.join(every.groupBy("gram").agg(F.count("*").alias("df")), "gram").groupBy("low").agg(F.min(F.struct("df", "gram")).alias("r"))
+    long = rare.select("low", F.col("r.gram").alias("gram")).join(every.withColumnRenamed("low", "olow"), "gram").select("low", "olow")
+    short = n.filter(F.char_length("low") < 3)
+    parts = n.select(F.col("low").alias("olow"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), _grams(F.col("low"), 1), _grams(F.col("low"), 2)))).alias("low"))
+    found = long.filter(F.col("olow").contains(F.col("low"))).unionByName(parts.join(short, "low").select("low", "olow"))
+    return found.filter("low <> olow")
+
+
+def near_names(names: DataFrame, most: int = 3) -> DataFrame:
+    """Candidates (low, olow) among the distinct values of ``low``: every two values within ``most`` edits are among them.
+
+    A value is cut into ``most + 2`` even segments (the partition scheme of Pass-Join, Li et al., 2011, with one more segment). In a
+    longer or as long value within ``most`` edits at least two of them are untouched. What was put in before, between and after
+    these two adds up to ``most`` at most, so there are few places where they can stand. Values meet on two whole segments under
+    their length and numbers, which are long where values are. Values too short to be cut meet on the strings that are left
+    when each loses so many characters.
+    """
+    n, cuts = names.select("low").distinct(), most + 2
+    held = n.filter(F.char_length("low") >= cuts).withColumn("l", F.char_length("low"))
+    pairs = [(i, j) for i in range(cuts) for j in range(i + 1, cuts)]
+    moves = [(d, a, b) for d in range(most + 1) for a in range(-most, most + 1) for b in range(-most, most + 1) if abs(a) + abs(b - a) + abs(d - b) <= most]
+    listed = lambda rows, names: F.array(*[F.struct(*[F.lit(x).alias(y) for x, y in zip(r, names, strict=True)]) for r in rows])
+
+    def segment(length: Column, i: Column) -> tuple[Column, Column]:
+        base, longer = F.floor(length / cuts).cast("int"), cuts - length % cuts
+        return (i * base + F.greatest(F.lit(0), i - longer)).cast("int"), (base + F.when(i >= longer, 1).otherwise(0)).cast("int")
+
+    def key(length: Column, i: Column, j: Column, a: Column, b: Column) -> Column:
+        """The two segments of a value of this length where they stand in ``low``, moved by a and b; null if they don't fit there."""
+        (at, size), (further, width) = segment(length, i), segment(length, j)
+        fits = (length >= cuts) & (at + a >= 0) & (further + b >= at + a + size) & (further + b + width <= F.col("l"))
+        return F.when(fits, F.xxhash64(length, i, j, F.substring(F.col("low"), at + a + 1, size), F.substring(F.col("low"), further + b + 1, width)))
+
+    here = F.transform(listed(pairs, "ij"), lambda p: key(F.col("l"), p["i"], p["j"], F.lit(0), F.lit(0)))
+    there = F.transform(listed([(*p, *m) for p in pairs for m in moves], "ijdab"), lambda p: key(F.col("l") - p["d"], p["i"], p["j"], p["a"], p["b"]))
+    shorter = held.select("low", F.explode(F.array_distinct(here)).alias("key"))
+    longer = held.select(F.col("low").alias("olow"), F.explode(F.array_distinct(F.array_compact(there))).alias("key"))
+    met = shorter.join(longer, "key").filter("low <> olow").select("low", "olow")
     steps = [F.array("low")]
     for _ in range(most):
         steps.append(F.array_distinct(F.flatten(F.transform(F.filter(steps[-1], lambda x: F.char_length(x) > 0), _without_one))))
-    left = F.transform(F.array_distinct(F.concat(*[F.when(limit(F.col("low")) >= k, x).otherwise(F.array().cast("array<string>")) for k, x in enumerate(steps)])), lambda x: F.concat(F.lit("-"), x))
-    at = F.sequence(F.lit(1), F.greatest(F.char_length("low") - 2, F.lit(1)))
-    grams = F.when(F.char_length("low") >= 3, F.transform(at, lambda i: F.substring(F.col("low"), i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    keys = n.select("name", "low", F.explode(F.array_distinct(F.concat(grams, left))).alias("key"))
-    other = keys.select("key", F.col("name").alias("other"), F.col("low").alias("olow"))
-    pairs = keys.join(other, "key").filter("name <> other").select("name", "low", "other", "olow")
-    # names of one or two characters have no trigram to meet on: they are looked up among the parts of longer ones
-    short = n.filter(F.char_length("low") < 3).select(F.col("name").alias("other"), F.col("low").alias("olow"))
-    part = lambda size: F.transform(F.sequence(F.lit(1), F.char_length("low") - size + 1), lambda i: F.substring(F.col("low"), i, F.lit(size)))
-    long = n.filter(F.char_length("low") >= 3).select("name", "low", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), part(1), part(2)))).alias("olow"))
-    pairs = pairs.unionByName(long.join(short, "olow").select("name", "low", "other", "olow")).distinct()
+    # a value is filed under as many deletions as its own limit allows
+    left = F.array_distinct(F.concat(*[F.when(_limit(F.col("low"), most) >= k, x).otherwise(F.array().cast("array<string>")) for k, x in enumerate(steps)]))
+    keys = n.filter(F.char_length("low") < cuts + most).select("low", F.explode(left).alias("key"))
+    short = keys.join(keys.withColumnRenamed("low", "olow"), "key").filter((F.col("low") != F.col("olow")) & (F.least(F.char_length("low"), F.char_length("olow")) < cuts))
+    return met.unionByName(met.select(F.col("olow").alias("low"), F.col("low").alias("olow"))).unionByName(short.select("low", "olow")).distinct()
+
+
+def _limit(c: Column, most: int) -> Column:
+    return F.least(F.lit(most), F.greatest(F.floor(F.char_length(c) / 2).cast("int"), F.lit(1)))
+
+
+def similar_names(names: DataFrame, most: int = 3) -> DataFrame:
+    """(name, other, match, distance) among the distinct names of a column ``name``: case, substring, small edit distance.
+
+    Candidates are values in lower case that hold one another (``containing_names``) or are near (``near_names``); names come back to
+    them at the end, so many spellings of one value cost nothing before.
+    """
+    n = written(names.select("name").distinct().withColumn("low", F.lower(F.trim("name"))), "names")
+    held = containing_names(n)
+    near = near_names(n, most)
+    pairs = held.unionByName(held.select(F.col("olow").alias("low"), F.col("low").alias("olow"))).unionByName(near).distinct()
     inside = (F.char_length("low") >= 3) & (F.col("olow").contains(F.col("low")) | F.col("low").contains(F.col("olow")))
     distance = F.levenshtein("low", "olow")
-    match = F.when(F.col("low") == F.col("olow"), "case").when(inside, "substring").when(distance <= limit(F.col("low")), "levenshtein")
-    return pairs.select("name", "other", match.alias("match"), F.when(match == "levenshtein", distance).otherwise(0).alias("distance")).filter("match IS NOT NULL")
+    match = F.when(inside, "substring").when(distance <= _limit(F.col("low"), most), "levenshtein")
+    found = pairs.select("low", "olow", match.alias("match"), F.when(match == "levenshtein", distance).otherwise(0).alias("distance")).filter("match IS NOT NULL")
+    same = n.select("low").distinct().select("low", F.col("low").alias("olow"), F.lit("case").alias("match"), F.lit(0).alias("distance"))
+    both = found.unionByName(same).join(n, "low").join(n.select(F.col("name").alias("other"), F.col("low").alias("olow")), "olow")
+    return both.filter("name <> other").select("name", "other", "match", "distance")
 
 
 def project_groups(names: DataFrame) -> DataFrame:
@@ -160,22 +216,16 @@ def project_groups(names: DataFrame) -> DataFrame:
     that hold it, that it holds or that begin with the same four characters.
 
     Which name leads depends on all before it, so this is a fold over the sorted names, run once for the names that meet at all:
-    distinct names of projects, a few a thousand records, that share a trigram or their beginning.
+    distinct names of projects, a few a thousand records, of which one holds the other or that share their beginning.
     """
-    n = names.select("name").distinct().withColumn("low", F.lower("name"))
-    at = F.sequence(F.lit(1), F.greatest(F.char_length("low") - 2, F.lit(1)))
-    keys = F.when(F.char_length("low") >= 3, F.transform(at, lambda i: F.substring(F.col("low"), i, F.lit(3)))).otherwise(F.array("low"))
-    keyed = n.select("name", "low", F.explode(F.array_distinct(keys)).alias("key"))
-    short = n.filter(F.char_length("low") < 3).select(F.col("name").alias("other"), F.col("low").alias("olow"))
-    later = keyed.select("key", F.col("name").alias("other"), F.col("low").alias("olow"))
-    met = keyed.join(later, "key").filter("name < other").select("name", "low", "other", "olow")
-    parts = lambda size: F.transform(F.sequence(F.lit(1), F.char_length("low") - size + 1), lambda i: F.substring(F.col("low"), i, F.lit(size)))
-    for size in (1, 2):  # names of one or two characters lie in others without a whole trigram
-        holds = n.filter(F.char_length("low") >= size).select("name", "low", F.explode(F.array_distinct(parts(size))).alias("olow")).join(short.filter(F.char_length("olow") == size), "olow")
-        pair = holds.filter("name <> other").select("name", "low", "other", "olow")
-        met = met.unionByName(pair.filter("name < other")).unionByName(pair.filter("name > other").select(F.col("other").alias("name"), F.col("olow").alias("low"), F.col("name").alias("other"), F.col("low").alias("olow")))
-    alike = F.col("low").contains(F.col("olow")) | F.col("olow").contains(F.col("low")) | ((F.char_length("low") >= 4) & (F.char_length("olow") >= 4) & (F.substring("low", 1, 4) == F.substring("olow", 1, 4)))
-    links = written(met.filter(alike).select("name", "other").distinct(), "names")
+    n = written(names.select("name").distinct().withColumn("low", F.lower("name")), "names")
+    held = containing_names(n).unionByName(n.select("low").distinct().select("low", F.col("low").alias("olow")))
+    other = n.select(F.col("name").alias("other"), F.col("low").alias("olow"))
+    met = held.join(n, "low").join(other, "olow").select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other"))
+    begin = lambda c: F.when(F.char_length(c) >= 4, F.substring(c, 1, 4))
+    alike = n.select("name", begin("low").alias("head")).join(other.select("other", begin("olow").alias("head")), "head").select("name", "other")
+    met = met.unionByName(alike).filter("name < other")
+    links = written(met.distinct(), "names")
     # a name leads if no leader before it takes it; rounds settle names whose earlier neighbours are all settled
     open_ = links.select(F.col("other").alias("name")).union(links.select("name")).distinct().withColumn("lead", F.lit(None).cast("string"))
     while True:
