@@ -101,3 +101,19 @@ def s15_detected(spark, d):
         one = R.read_any(spark, path, schema).agg(F.count("*").alias("rows")).select(F.lit(found).alias("found"), "rows")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(sql("SELECT id, session_id, project, content FROM prompts", "prompts"))
+def u3_chunk_transport(spark, d):
+    """All prompts through the chunk data source, in two writes, of which the second leaves out what is known."""
+    from recollect.sources import chunks
+
+    chunks.register(spark)
+    rows = prompts(spark, d).select("id", "session_id", "project", "content")
+    ids = L.chunk_id(rows, "project", ["id", "session_id", "content"]).select("project", "chunk_id")
+    keyed, folder = rows.join(ids, "project"), shared_folder(spark, "transport")
+    first = F.substring("project", 4, 9).cast("int") % 2 == 0
+    save = lambda df, **more: df.repartition("chunk_id").write.format("chunks").options(by="chunk_id", maxBytes=4_096, **more).mode("append").save(folder)
+    save(keyed.filter(first), createdBy="agent0")
+    save(keyed, createdBy="agent1", known=",".join(sorted({e.id for e in chunks.manifests(folder)})))
+    return spark.read.format("chunks").schema(_PROMPTS).option("partitionBytes", 1 << 20).load(folder)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect.plans.base import query
 from recollect.streaming import flows as Z
+from recollect.streaming import nudges as N
 
 
 @query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events
@@ -47,3 +48,18 @@ def z4_capture_gate(spark, d):
 def z3_session_activity(spark, d):
     out = Z.drain(Z.activity(Z.events(spark, d)))
     return out.groupBy("user_id").agg(F.max_by(F.struct("calls", "saves", "nudge"), "calls").alias("v")).select("user_id", "v.*")
+
+
+@query("""SELECT user_id, CAST(due AS VARCHAR) AS due FROM (SELECT user_id, ref + INTERVAL 6 HOUR AS due, lead(ref) OVER (PARTITION BY user_id ORDER BY ref) AS next, is_save,
+      (SELECT count(*) FROM events c WHERE c.user_id = r.user_id AND c.event_type <> 'purchase' AND c.ts <= r.ref + INTERVAL 6 HOUR) AS early,
+      (SELECT max(date_trunc('second', ts)) FROM events c WHERE c.user_id = r.user_id) AS last
+      FROM (SELECT user_id, ref, bool_or(save) AS is_save FROM (SELECT user_id, date_trunc('second', ts) AS ref, true AS save FROM events WHERE event_type = 'purchase'
+        UNION ALL SELECT user_id, date_trunc('second', min(ts)), false FROM events GROUP BY 1) GROUP BY 1, 2) r)
+    WHERE (next IS NULL OR next > due) AND (is_save OR early > 5) AND (due <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) OR due < last) GROUP BY 1, 2""")
+def z3_idle_nudges(spark, d):
+    """When each user was to be reminded to save: six hours after a save, or after many first calls, with none since. Four batches in order of time."""
+    e = Z.table_events(spark, d).withColumn("ts", F.date_trunc("second", "ts"))
+    first, last = e.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    part = F.least(F.floor((F.unix_seconds("ts") - first) * 4 / (last - first + 1)), F.lit(3))
+    out = Z.drain(N.nudges(Z.staged(e.withColumn("part", part), "part")))
+    return out.select("user_id", F.col("due").cast("string").alias("due"))

@@ -23,6 +23,10 @@ def events(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def table_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def staged(rows: DataFrame, part: str) -> DataFrame:
     """``rows`` as a stream of one file for each value of ``part``, in its order: each is a batch of its own."""
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "staged")
