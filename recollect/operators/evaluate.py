@@ -16,36 +16,41 @@ from recollect.sources.scratch import written
 def containing(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(query_id, id) of documents (id, text) that contain a phrase (query_id, lead).
 
-    Phrases meet documents on the hash of their first three words (or two) at any place of a document; a phrase of one word may
-    begin or end inside another word, and so meets on its first three characters, or all. Only numbers are met; texts
-    come in when pairs are known.
+    A phrase may begin and end inside other words, but the words between its first and its last are whole words of any document
+    that contains it: a phrase meets documents on the rarest of these. Documents are split once, and of their words only those that are
+    inside of a phrase go on. Phrases of one or two words meet on characters (``_short_phrases``). Texts come in when pairs are known.
     """
-    gram = lambda w: F.xxhash64(F.array_join(w, " "))
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    p = phrases.select("query_id", words(F.col("lead")).alias("w")).filter(F.size("w") >= 1)
-    letters = F.substring(F.element_at("w", 1), 1, 3)
-    key = F.when(F.size("w") > 1, F.struct(F.least(F.size("w"), F.lit(3)).alias("k"), gram(F.slice("w", 1, 3)).alias("h")))
-    key = key.otherwise(F.struct((-F.char_length(letters)).alias("k"), F.xxhash64(letters).alias("h")))
-    p = written(p.select("query_id", key.alias("key")), "phrases")
-    kinds = [r[0] for r in p.select("key.k").distinct().collect()]  # at most five
-    if not kinds:
-        return docs.select(F.lit(None).cast("long").alias("query_id"), "id").limit(0)
-    places = lambda n: F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
-
-    def keys(k: int) -> Column:
-        if k > 0:
-            hashes = F.transform(places(k), lambda i: gram(F.slice("w", i, F.lit(k))))
-        else:
-            inside = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x) + k + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(x, i, F.lit(-k))))
-            hashes = F.flatten(F.transform(F.array_distinct("w"), inside))
-        return F.transform(F.array_distinct(hashes), lambda h: F.struct(F.lit(k).alias("k"), h.alias("h")))
-
-    split = docs.select("id", words(F.col("text")).alias("w"))
-    met = split.select("id", F.explode(F.concat(*[keys(k) for k in kinds])).alias("key")).join(p, "key").select("query_id", "id").distinct()
-    both = met.join(docs.select("id", "text"), "id").join(phrases.select("query_id", "lead"), "query_id")
+    asked = written(phrases.select("query_id", "lead", words(F.col("lead")).alias("w")).filter(F.size("w") >= 1), "phrases")
+    inner = asked.filter(F.size("w") > 2).select("query_id", F.explode(F.array_distinct(F.expr("slice(w, 2, size(w) - 2)"))).alias("term"))
+    held = docs.select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(inner.select("term").distinct(), "term", "left_semi")
+    held = written(held, "words")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    # a word that no document has rules its phrase out
+    rare = inner.join(df, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).filter("r.df > 0")
+    met = rare.select("query_id", F.col("r.term").alias("term")).join(held, "term").select("query_id", "id")
+    if not asked.filter(F.size("w") <= 2).isEmpty():
+        met = met.unionByName(_short_phrases(docs, asked.filter(F.size("w") <= 2)))
+    both = met.join(docs.select("id", "text"), "id").join(asked.select("query_id", "lead"), "query_id")
     return both.filter(F.contains("text", "lead")).select("query_id", "id")
 
 
+def _short_phrases(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Candidates (query_id, id) for phrases (query_id, w) of one or two words.
+
+    The last word of a phrase of two begins a word, and one of one word may lie inside a word: they meet on its first three characters, or
+    all, at the beginning of words or at any place of them.
+    """
+    word = F.element_at("w", -1)
+    p = phrases.select("query_id", (F.size("w") == 1).alias("inside"), F.substring(word, 1, 3).alias("part"))
+    split = docs.select("id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != ""))).alias("t"))
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("t") - n + 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(n)))
+    parts = split.select("id", F.explode(F.array_distinct(F.concat(at(1), at(2), at(3)))).alias("part"), "t")
+    hits = parts.join(p.select("part").distinct(), "part", "left_semi").select("id", "part", F.col("t").startswith(F.col("part")).alias("begins"))
+    hits = hits.groupBy("id", "part").agg(F.max("begins").alias("begins"))
+    return p.join(hits, "part").filter("inside OR begins").select("query_id", "id").distinct()
+
+
 def per_query(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """(query_id, first_rank, found, relevant, rr, ndcg) at k for each query that has relevant documents."""
     n = relevant.groupBy("query_id").agg(F.count("*").alias("relevant"))
