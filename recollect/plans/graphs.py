@@ -42,6 +42,16 @@ def j6_duplicate_pairs(spark, d):
     return i.filter("n > 1").select("project_id", "domain", "body", "n", F.expr("n * (n - 1) div 2").alias("pairs"), "first_id")
 
 
+@query(sql("""SELECT id, first_id, n FROM (SELECT id, min(id) OVER w AS first_id, count(*) OVER w AS n FROM items WINDOW w AS (PARTITION BY project_id, domain, lower(trim(body)))) WHERE n > 1""", "items"))
+def j6_duplicate_members(spark, d):
+    """Who belongs to which class of equal records: classes meet their members on a digest, and only the smaller side is one of classes."""
+    i = memory_items(spark, d).select("id", "project_id", "domain", F.sha2(F.lower(F.trim("body")), 256).alias("digest"))
+    classes = i.groupBy("project_id", "domain", "digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    named = classes.select(F.col("project_id").alias("p"), F.col("domain").alias("m"), F.col("digest").alias("g"), "first_id", "n")
+    same = F.col("project_id").eqNullSafe(F.col("p")) & F.col("domain").eqNullSafe(F.col("m")) & F.col("digest").eqNullSafe(F.col("g"))
+    return i.join(named, same).select("id", "first_id", "n")
+
+
 @query(sql("SELECT event_id, memory_id FROM outcomes WHERE memory_id * 11 NOT IN (SELECT id FROM items)", "items", "outcomes"))
 def j8_orphans(spark, d):
     o = outcomes(spark, d).select("event_id", "memory_id", (F.col("memory_id") * 11).alias("id"))

@@ -15,6 +15,25 @@ from recollect.sources.tables import entity_links, memory_items, relations, sql,
 _LIVE = "SELECT * FROM items WHERE status = 'active' AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-31 00:00:00')"
 _W = S.lookup_sql("relation", S.RELATION_WEIGHT, 0.012)
 _AGE = "date_diff('second', {}, TIMESTAMP '2024-01-31 00:00:00') / 86400.0"
+#: The parts of a candidate's score as SQL, under the names that P.score gives them.
+_COMPONENTS = {
+    "project_relevance": "CASE WHEN project_id = project THEN 0.26 WHEN scope = 'global' THEN 0.14 ELSE -0.10 END",
+    "session_relevance": "CASE WHEN session_id = session THEN 0.36 ELSE 0 END",
+    "domain_relevance": "CASE WHEN domain = domain_wanted THEN 0.16 WHEN domain <> '' THEN -0.06 ELSE 0 END",
+    "kind_priority": S.lookup_sql("kind", S.PACK_KIND, 0.05),
+    "classification_weight": f"CASE WHEN session_id = session AND classification = 'observational' THEN 0 ELSE {S.lookup_sql('classification', S.PACK_CLASS, 0.0)} END",
+    "utility_weight_part": "greatest(-0.06, least(utility_weight * 0.04, 0.16))",
+    "structural_weight": "greatest(0.0, least(coalesce(entity_weight, 0), 0.16))",
+    "relation_weight_part": "greatest(-0.06, least(coalesce(relation_weight, 0), 0.14))",
+    "temporal_overlap_boost": "CASE WHEN moment IS NULL OR (valid_from IS NULL AND valid_to IS NULL) THEN 0 WHEN valid_from <= moment AND (valid_to IS NULL OR valid_to > moment) THEN 0.07 ELSE -0.03 END",
+    "usage_weight": f"greatest(-0.04, least(ln(1 + access_count) * 0.015 + CASE WHEN {_AGE.format('last_accessed')} <= 14 THEN 0.03 WHEN {_AGE.format('last_accessed')} > 120 THEN -0.01 ELSE 0 END, 0.10))",
+    "recency_boost": f"CASE WHEN {_AGE.format('updated_at')} <= 7 THEN 0.08 WHEN {_AGE.format('updated_at')} <= 30 THEN 0.05 WHEN {_AGE.format('updated_at')} <= 90 THEN 0.02 ELSE 0 END",
+    "stale_penalty": f"CASE WHEN {_AGE.format('updated_at')} > 365 THEN -0.08 WHEN {_AGE.format('updated_at')} > 180 THEN -0.04 ELSE 0 END",
+    "expiry_penalty": "CASE WHEN expires_at <= TIMESTAMP '2024-01-31 00:00:00' THEN -0.40 ELSE 0 END",
+    "superseded_penalty": "CASE WHEN status IN ('superseded', 'archived') THEN -0.30 WHEN coalesce(superseded_by, 0) <> 0 THEN -0.24 ELSE 0 END",
+    "low_trust_penalty": "CASE WHEN trust_level = 'untrusted' THEN -0.05 ELSE 0 END",
+}
+_JOINED = "cands c JOIN items i ON i.id = c.id JOIN requests USING (request_id) LEFT JOIN ent ON ent.id = i.id LEFT JOIN rel ON rel.id = i.id"
 _SQL = {
     "live": _LIVE,
     "requests": "SELECT DISTINCT conv_id AS request_id, 'src' || (conv_id % 20) AS project, 's' || (conv_id % 50) AS session, ['en', 'de', 'fr', 'es'][conv_id % 4 + 1] AS domain_wanted, CASE WHEN conv_id % 3 = 0 THEN TIMESTAMP '2023-11-01 00:00:00' END AS moment FROM conversations",
@@ -24,18 +43,7 @@ _SQL = {
     "cands": "SELECT request_id, id FROM requests, lane_g UNION SELECT request_id, id FROM requests JOIN lane_p ON project = project_id UNION SELECT request_id, id FROM requests JOIN lane_s ON session = session_id",
     "ent": "SELECT a.obs_id AS id, least(count(DISTINCT b.obs_id) * 0.01, 0.16) AS entity_weight FROM links a JOIN links b ON a.name = b.name AND a.obs_id <> b.obs_id JOIN items m ON m.id = b.obs_id AND m.status = 'active' GROUP BY 1",
     "rel": f"SELECT id, greatest(-0.06, least(sum(w) + count(*) * 0.008, 0.14)) AS relation_weight FROM (SELECT from_id AS id, {_W} AS w FROM relations UNION ALL SELECT to_id, {_W} FROM relations) GROUP BY 1",
-    "scored": f"""SELECT request_id, i.id, body, classification, updated_at,
-        round(CASE WHEN project_id = project THEN 0.26 WHEN scope = 'global' THEN 0.14 ELSE -0.10 END + CASE WHEN session_id = session THEN 0.36 ELSE 0 END
-        + CASE WHEN domain = domain_wanted THEN 0.16 WHEN domain <> '' THEN -0.06 ELSE 0 END + {S.lookup_sql("kind", S.PACK_KIND, 0.05)}
-        + CASE WHEN session_id = session AND classification = 'observational' THEN 0 ELSE {S.lookup_sql("classification", S.PACK_CLASS, 0.0)} END
-        + greatest(-0.06, least(utility_weight * 0.04, 0.16)) + greatest(0.0, least(coalesce(entity_weight, 0), 0.16)) + greatest(-0.06, least(coalesce(relation_weight, 0), 0.14))
-        + CASE WHEN moment IS NULL OR (valid_from IS NULL AND valid_to IS NULL) THEN 0 WHEN valid_from <= moment AND (valid_to IS NULL OR valid_to > moment) THEN 0.07 ELSE -0.03 END
-        + greatest(-0.04, least(ln(1 + access_count) * 0.015 + CASE WHEN {_AGE.format("last_accessed")} <= 14 THEN 0.03 WHEN {_AGE.format("last_accessed")} > 120 THEN -0.01 ELSE 0 END, 0.10))
-        + CASE WHEN {_AGE.format("updated_at")} <= 7 THEN 0.08 WHEN {_AGE.format("updated_at")} <= 30 THEN 0.05 WHEN {_AGE.format("updated_at")} <= 90 THEN 0.02 ELSE 0 END
-        + CASE WHEN {_AGE.format("updated_at")} > 365 THEN -0.08 WHEN {_AGE.format("updated_at")} > 180 THEN -0.04 ELSE 0 END
-        + CASE WHEN expires_at <= TIMESTAMP '2024-01-31 00:00:00' THEN -0.40 ELSE 0 END
-        + CASE WHEN status IN ('superseded', 'archived') THEN -0.30 WHEN coalesce(superseded_by, 0) <> 0 THEN -0.24 ELSE 0 END + CASE WHEN trust_level = 'untrusted' THEN -0.05 ELSE 0 END, 6) AS score
-        FROM cands c JOIN items i ON i.id = c.id JOIN requests USING (request_id) LEFT JOIN ent ON ent.id = i.id LEFT JOIN rel ON rel.id = i.id""",
+    "scored": f"SELECT request_id, i.id, body, classification, updated_at, round({' + '.join(_COMPONENTS.values())}, 6) AS score FROM {_JOINED}",
     "placed": r"""SELECT request_id, id, score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, updated_at DESC, id) AS INTEGER) AS place,
         CAST(greatest(floor(len(list_filter(regexp_split_to_array(body, '\s+'), x -> x <> '')) * 1.35 + 0.5), 1) AS INTEGER) AS tokens FROM scored WHERE place_ok""".replace(" WHERE place_ok", ""),
 }
@@ -108,6 +116,14 @@ def p5_explain(spark, d):
     )
 
 
+@query(sql("SELECT request_id, id, r.component AS component, round(CAST(r.value AS DOUBLE), 6) AS value FROM (SELECT request_id, i.id, unnest(["
+    + ", ".join(f"{{'component': '{k}', 'value': CAST({v} AS DOUBLE)}}" for k, v in _COMPONENTS.items()) + f"]) AS r FROM {_JOINED})", *_NEEDS, **{k: v for k, v in _SQL.items() if k not in ("scored", "placed")}))
+def p5_components(spark, d):
+    """Every candidate's score in its parts, one row each."""
+    rows = P.explained(_rows(spark, d), P.greedy(_placed(spark, d), 400))
+    return rows.select("request_id", "id", F.explode("score_components").alias("component", "value")).withColumn("value", F.round("value", 6))
+
+
 @query(sql("""SELECT request_id, id, place, CAST(running AS BIGINT) AS running FROM (SELECT *, sum(tokens) OVER (PARTITION BY request_id ORDER BY place) AS running FROM placed) WHERE running <= 800""", *_NEEDS, **_SQL))
 def n6_prefix_budget(spark, d):
     return P.prefix_budget(_placed(spark, d), 800, ["request_id"], [F.asc("place")], F.col("tokens")).select("request_id", "id", "place", "running")

@@ -227,6 +227,20 @@ def v10_external_order(spark, d):
     return V.order_given(best, given).select("query_id", "id", "rank")
 
 
+@query(sql("""SELECT r.query_id, r.id, CAST(row_number() OVER (PARTITION BY r.query_id ORDER BY place NULLS LAST, r.score DESC, r.id) AS INTEGER) AS rank FROM (SELECT * FROM ranked WHERE rank <= 10) r
+    LEFT JOIN (SELECT o.query_id, v.id, row_number() OVER (PARTITION BY o.query_id ORDER BY v.similarity DESC, v.id) AS place FROM (SELECT DISTINCT query_id FROM ranked) o
+      JOIN (SELECT item_id AS query_id, vec_id AS id, list_dot_product(a, b) AS similarity FROM vq, (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS b FROM embeddings)) v USING (query_id)) p USING (query_id, id)""",
+    "items", "outcomes", **_PARTS, vq="SELECT item_id, list_transform(embedding, x -> x::DOUBLE) AS a FROM benchmark JOIN embeddings ON vec_id = item_id"))
+def v10_reranked(spark, d):
+    """The ten best in the order that another table gives them: that of their vectors' products with the query's vector, others by score."""
+    best = O.top(_scored(spark, d), 10).select("query_id", "id", "score")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("b"))
+    asked = vectors.select(F.col("id").alias("query_id"), F.col("b").alias("a"))
+    pairs = best.select("query_id", "id").join(vectors, "id").join(asked, "query_id").select("query_id", F.struct((-V.dot(F.col("a"), F.col("b"))).alias("s"), "id").alias("v"))
+    given = pairs.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list("v")), lambda x: x["id"]).alias("ids"))  # at most ten
+    return V.order_given(best, given).select("query_id", "id", "rank")
+
+
 @query(sql("SELECT query_id, id, score FROM ranked WHERE rank <= 10 AND score >= 0.5 AND query_id IN (SELECT query_id FROM ranked WHERE rank = 1 AND score >= 0.9)", "items", "outcomes", **_PARTS))
 def f11_f12_score_floor(spark, d):
     best = O.top(_scored(spark, d), 10)
