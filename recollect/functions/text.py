@@ -223,3 +223,28 @@ def learnings(c: str | Column) -> Column:
 
     full = F.filter(F.transform(sections, of), lambda x: F.size(x) > 0)
     return F.coalesce(F.try_element_at(full, F.lit(-1)), F.array().cast("array<string>"))
+
+
+def repo_name(c: str | Column) -> Column:
+    """The last part of a repository's address, whether it is split by slashes or colons, without ``.git``."""
+    parts = F.filter(F.split(F.regexp_replace(_col(c), r"\.git$", ""), "[/:]"), lambda x: x != "")
+    return F.trim(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")))
+
+
+def normal_remote(c: str | Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(_col(c))), r"\.git$", ""), "/+$", "")
+
+
+def slug(c: str | Column) -> Column:
+    """Letters a to z and digits, what is between them as one dash; unknown if none is left."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(F.trim(_col(c))), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.when(F.coalesce(s, F.lit("")) == "", "unknown").otherwise(s)
+
+
+def short_hash(c: str | Column) -> Column:
+    return F.substring(F.sha2(_col(c), 256), 1, 8)
+
+
+def tool_class(c: str | Column) -> Column:
+    """The type of observation that a tool's call is."""
+    return S.lookup(_col(c), S.TOOL_CLASS, "tool_use")

@@ -98,6 +98,21 @@ def required(cases: DataFrame) -> DataFrame:
     return cases.agg(F.count("*").alias("cases"), F.round(share, 6).alias("value")).select(F.lit("required").alias("score"), "cases", "value")
 
 
+def within_budget(packs: DataFrame, budget: int) -> DataFrame:
+    """(score, cases, value): the share of packs (pack, tokens) whose tokens together keep to the budget."""
+    one = packs.groupBy("pack").agg(F.sum("tokens").alias("tokens"))
+    return one.agg(F.count("*").alias("cases"), F.round(F.avg(F.when(F.col("tokens") <= budget, 1.0).otherwise(0.0)), 6).alias("value")).select(F.lit("pack").alias("score"), "cases", "value")
+
+
+def neighbours_found(found: DataFrame, expected: DataFrame, least: int = 1) -> DataFrame:
+    """(score, cases, value): hits (case, id) among those expected (case, id), each case's counting up to ``least``, over those required."""
+    required_ = F.least(F.col("n"), F.lit(least))
+    n = expected.groupBy("case").agg(F.count("*").alias("n"))
+    hits = expected.join(found.select("case", "id").distinct(), ["case", "id"], "left_semi").groupBy("case").agg(F.count("*").alias("h"))
+    rows = n.join(hits, "case", "left")
+    return rows.agg(F.count("*").alias("cases"), F.round(F.sum(F.least(F.coalesce("h", F.lit(0)), required_)).cast("double") / F.sum(required_), 6).alias("value")).select(F.lit("hits").alias("score"), "cases", "value")
+
+
 def audit(rows: DataFrame) -> DataFrame:
     """One row over (query_id, q, t): the terms of queries against those of the titles that they should find."""
     best = rows.groupBy("query_id").agg(F.count("*").alias("n"), F.max(X.jaccard(F.col("q"), F.col("t"))).alias("best"))

@@ -48,6 +48,33 @@ def prepare_insert(rows: DataFrame) -> DataFrame:
     return rows.withColumn("classification", S.lookup("kind", S.CLASS_OF_KIND, "tactical")).withColumn("idempotency_key", key)
 
 
+def ended(sessions: DataFrame, ends: DataFrame) -> DataFrame:
+    """``sessions`` after end events (id, ended_at, summary) have been applied: the last event of a session sets both; others stay as they were."""
+    last = ends.groupBy("id").agg(F.max_by(F.struct("ended_at", "summary"), "ended_at").alias("__e"))
+    out = sessions.drop("summary").join(last, "id", "left")
+    old = F.col("ended_at")
+    return out.select(*[F.coalesce("__e.ended_at", old).alias(c) if c == "ended_at" else c for c in sessions.columns if c != "summary"], F.col("__e.summary").alias("summary"))
+
+
+def used(events: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usage rows, items with their counters) after events (event_id, ts, ids): each id of a list that names a record is one row, once an event."""
+    rows = events.select("event_id", "ts", F.explode(F.array_distinct("ids")).alias("memory_id")).join(items.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+    seen = rows.groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("__n"), F.max("ts").alias("__last"))
+    counted = items.join(seen, "id", "left").select("id", (F.col("access_count") + F.coalesce("__n", F.lit(0))).alias("access_count"), F.greatest("last_accessed", "__last").alias("last_accessed"))
+    return rows.select("event_id", "ts", "memory_id"), counted
+
+
+def append_audit(rows: DataFrame, folder: str, action: str, actor: str, batch: str) -> DataFrame:
+    """Audit rows of what an action did to ``rows`` (memory_id and more), appended under ``folder`` as the part ``batch``; gives the whole trail.
+
+    A part that is written again replaces itself, so a retry doubles nothing.
+    """
+    rest = [c for c in rows.columns if c != "memory_id"]
+    trail = rows.select("memory_id", F.lit(action).alias("action"), F.lit(actor).alias("actor"), F.to_json(F.struct("memory_id", *rest)).alias("snapshot"))
+    trail.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+    return rows.sparkSession.read.parquet(folder)
+
+
 def ignore_known(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
     """Insert or ignore: rows of ``new`` whose key is new, one for each key (the one with the smallest id)."""
     fresh = new.join(old.select(*key).distinct(), key, "left_anti")

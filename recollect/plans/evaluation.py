@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text as X
 from recollect.operators import evaluate as B
+from recollect.operators import graph as G
+from recollect.operators import packing as P
 from recollect.operators import search as O
 from recollect.operators import vector as V
 from recollect.plans.base import query
+from recollect.plans.packs import _NEEDS, _SQL, _USED, _placed
 from recollect.plans.searches import _FIELDS, _FUSE, _PARTS, _STOP, _VEC, _hybrid, _scored, _vector_queries, _vectors
-from recollect.sources.tables import memory_items, sql, table
+from recollect.sources.tables import memory_items, relations, sql, table
 
 _REL = "SELECT item_id AS query_id, doc_id AS id FROM benchmark JOIN documents ON contains(documents.text, split_part(benchmark.text, '.', 1))"
 _HITS = "SELECT query_id, r.rank, r.id FROM (SELECT * FROM ranked WHERE rank <= 10) r JOIN relevant USING (query_id, id)"
@@ -82,6 +85,33 @@ def b7_scores(spark, d):
     return B.abstention(none, best, 0.9).unionByName(B.required(B.per_query(best.select("query_id", "id", "rank"), relevant, 5)))
 
 
+@query(sql("""SELECT 'file' AS score, count(*) AS cases, round(sum(least(h, least(n, 3)))::DOUBLE / sum(least(n, 3)), 6) AS value FROM (SELECT e.path, count(DISTINCT e.id) AS n, count(DISTINCT f.id) AS h FROM own e LEFT JOIN best f ON f.path = e.path AND f.id = e.id GROUP BY 1)
+    UNION ALL SELECT 'graph', count(*), round(sum(least(h, least(n, 2)))::DOUBLE / sum(least(n, 2)), 6) FROM (SELECT e.id, count(DISTINCT e.other) AS n, count(DISTINCT f.other) AS h FROM edges e LEFT JOIN near f ON f.id = e.id AND f.other = e.other GROUP BY 1)""",
+    "items", "relations", own="SELECT DISTINCT json_extract_string(applies_to_json, '$.files[0]') AS path, id FROM items WHERE kind IN ('decision', 'bugfix')",
+    best="SELECT path, id FROM (SELECT json_extract_string(applies_to_json, '$.files[0]') AS path, id, row_number() OVER (PARTITION BY json_extract_string(applies_to_json, '$.files[0]') ORDER BY updated_at DESC, id) AS k FROM items) WHERE k <= 10",
+    edges="SELECT DISTINCT from_id AS id, to_id AS other FROM relations WHERE relation = 'supersedes' AND from_id <> to_id AND to_id IN (SELECT id FROM items)",
+    near="""SELECT id, other FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY other) AS k FROM (SELECT DISTINCT from_id AS id, to_id AS other FROM relations WHERE from_id <> to_id AND to_id IN (SELECT id FROM items)
+      UNION SELECT to_id, from_id FROM relations WHERE from_id <> to_id AND from_id IN (SELECT id FROM items))) WHERE k <= 5"""))
+def b7_file_and_graph(spark, d):
+    """How much of what a file's history and a record's neighbourhood should show is among the ten and five that they show."""
+    i = memory_items(spark, d).select("id", "kind", "updated_at", F.get_json_object("applies_to_json", "$.files[0]").alias("case"))
+    shown = O.top(i, 10, F.desc("updated_at"), F.asc("id"), by="case")
+    files = B.neighbours_found(shown, i.filter(F.col("kind").isin("decision", "bugfix")).select("case", "id").distinct(), 3)
+    r = relations(spark, d)
+    near = G.related(r, memory_items(spark, d)).select(F.col("id").alias("case"), F.col("other").alias("id")).distinct()
+    wanted = r.filter("relation = 'supersedes' AND from_id <> to_id").select(F.col("from_id").alias("case"), F.col("to_id").alias("id")).distinct().join(memory_items(spark, d).select("id"), "id", "left_semi").select("case", "id")
+    graph = B.neighbours_found(O.top(near, 5, F.asc("id"), by="case"), wanted, 2)
+    return files.withColumn("score", F.lit("file")).unionByName(graph.withColumn("score", F.lit("graph")))
+
+
+@query(sql("SELECT 'pack' AS score, count(*) AS cases, round(avg(CASE WHEN used <= 400 THEN 1.0 ELSE 0 END), 6) AS value FROM (SELECT request_id, sum(used) AS used FROM walk WHERE place > 0 GROUP BY 1)",
+    *_NEEDS, **_SQL, walk=_USED))
+def b7_pack_budget(spark, d):
+    """The share of packs that keep to their budget."""
+    packs = P.greedy(_placed(spark, d), 400).select(F.col("request_id").alias("pack"), F.col("used").alias("tokens"))
+    return B.within_budget(packs, 400)
+
+
 _Q = rf"list_distinct(list_filter({_FIELDS}, x -> octet_length(encode(x)) >= 3 AND x NOT IN ({_STOP})))"
 
 

@@ -9,6 +9,7 @@ from recollect.functions import text as X
 from recollect.operators import lifecycle as L
 from recollect.plans.base import query
 from recollect.plans.texts import redact_sql
+from recollect.sources.scratch import shared_folder, written
 from recollect.sources.tables import entity_links, memory_items, outcomes, prompts, relations, sessions, sql, table
 
 
@@ -229,3 +230,37 @@ def p8_session_context(spark, d):
     rows = prompts(spark, d).withColumn("k", F.row_number().over(w)).filter("k <= 5")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("k", F.substring("content", 1, 80).alias("line")))), lambda x: F.concat(F.lit("- "), x["line"]))
     return rows.groupBy("project").agg(F.array_join(lines, "\n").alias("context"))
+
+
+@query(sql("""SELECT s.id, CAST(coalesce(e.at, s.ended_at) AS VARCHAR) AS ended_at, e.summary FROM sessions s LEFT JOIN
+    (SELECT session_id AS id, max(created_at) AS at, max_by(left(content, 30), created_at) AS summary FROM prompts WHERE CAST(substr(session_id, 2) AS INTEGER) % 2 = 0 GROUP BY 1) e USING (id)""", "sessions", "prompts"))
+def w7_ended_sessions(spark, d):
+    """End events, one a prompt of every second session, applied: the last one of a session counts."""
+    ends = prompts(spark, d).filter("CAST(substr(session_id, 2) AS INT) % 2 = 0").select(F.col("session_id").alias("id"), F.col("created_at").alias("ended_at"), F.substring("content", 1, 30).alias("summary"))
+    return L.ended(sessions(spark, d), ends).select("id", F.col("ended_at").cast("string").alias("ended_at"), "summary")
+
+
+@query(sql("""SELECT id, access_count + coalesce(n, 0) AS access_count, CAST(greatest(last_accessed, last) AS VARCHAR) AS last_accessed FROM items LEFT JOIN
+    (SELECT x AS memory_id, count(*) AS n, max(t) AS last FROM (SELECT DISTINCT event_id, date_trunc('second', ts) AS t, unnest([user_id, user_id + 1, user_id, user_id * 50]) AS x FROM events WHERE event_type = 'click') GROUP BY 1) ON memory_id = id""", "items"))
+def w14_used_lists(spark, d):
+    """Clicks that each name several records, some twice and some that aren't there: counters after all of them."""
+    e = table(spark, d, "events").filter("event_type = 'click'").select("event_id", F.date_trunc("second", "ts").alias("ts"), F.expr("array(user_id, user_id + 1, user_id, user_id * 50)").alias("ids"))
+    return L.used(e, memory_items(spark, d))[1].select("id", F.col("access_count").cast("long").alias("access_count"), F.col("last_accessed").cast("string").alias("last_accessed"))
+
+
+@query(sql("""SELECT memory_id, action, count(*) AS n FROM (SELECT memory_id, 'outcome' AS action FROM outcomes WHERE status = 'success' UNION ALL SELECT memory_id, 'outcome' FROM outcomes WHERE status = 'failure'
+    UNION ALL SELECT id, 'archive' FROM items WHERE status = 'archived') GROUP BY 1, 2""", "items", "outcomes"))
+def w18_audit_trail(spark, d):
+    """Three batches appended to one trail, one of them twice."""
+    folder, o = shared_folder(spark, "audit"), outcomes(spark, d)
+    for status in ("success", "failure", "success"):
+        L.append_audit(o.filter(F.col("status") == status).select("memory_id", "event_id"), folder, "outcome", "agent", status)
+    gone = memory_items(spark, d).filter("status = 'archived'").select(F.col("id").alias("memory_id"), "title")
+    return L.append_audit(gone, folder, "archive", "system", "archived").groupBy("memory_id", "action").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT DISTINCT project FROM sessions WHERE ended_at IS NULL ORDER BY project", "sessions"))
+def s8_enrolled_projects(spark, d):
+    """The table of enrolled projects, written once and read in order."""
+    enrolled = sessions(spark, d).filter("ended_at IS NULL").groupBy("project").agg(F.min("started_at").alias("since"))
+    return written(enrolled, "enrolled").select("project").orderBy("project")

@@ -90,11 +90,14 @@ def p2_pack_scores(spark, d):
     return _placed(spark, d)
 
 
-@query(sql("""SELECT request_id, id, place, CAST(used AS INTEGER) AS used, verdict FROM walk WHERE place > 0""", *_NEEDS, **_SQL,
-    walk="""SELECT request_id, CAST(NULL AS BIGINT) AS id, 0 AS place, 380 AS remaining, 0 AS used, '' AS verdict FROM requests UNION ALL
+_USED = """SELECT request_id, CAST(NULL AS BIGINT) AS id, 0 AS place, 380 AS remaining, 0 AS used, '' AS verdict FROM requests UNION ALL
         SELECT p.request_id, p.id, p.place, w.remaining - u, u, v FROM walk w JOIN placed p ON p.request_id = w.request_id AND p.place = w.place + 1,
         LATERAL (SELECT CASE WHEN p.tokens <= w.remaining THEN p.tokens WHEN p.tokens <= w.remaining + 200 AND w.remaining > 60 THEN w.remaining - 50 ELSE 0 END AS u,
-                        CASE WHEN p.tokens <= w.remaining THEN 'included' WHEN p.tokens <= w.remaining + 200 AND w.remaining > 60 THEN 'truncated' ELSE 'excluded' END AS v)"""))
+                        CASE WHEN p.tokens <= w.remaining THEN 'included' WHEN p.tokens <= w.remaining + 200 AND w.remaining > 60 THEN 'truncated' ELSE 'excluded' END AS v)"""
+
+
+@query(sql("""SELECT request_id, id, place, CAST(used AS INTEGER) AS used, verdict FROM walk WHERE place > 0""", *_NEEDS, **_SQL,
+    walk=_USED))
 def p4_n5_greedy_pack(spark, d):
     return P.greedy(_placed(spark, d), 400)
 

@@ -138,6 +138,31 @@ def x21_tool_classes(spark, d):
     return table(spark, d, "events").select("event_id", S.lookup("event_type", kinds, "file_change").alias("kind"))
 
 
+_REMOTES = """SELECT page_id, CASE page_id % 5 WHEN 0 THEN url || '.git' WHEN 1 THEN 'git@' || replace(regexp_extract(url, '^https?://(.*)$', 1), '/', ':') || '.git' WHEN 2 THEN ' ' || upper(url) || '/ ' WHEN 3 THEN '' ELSE url END AS remote FROM pages"""
+
+
+@query(sql(r"""SELECT page_id, coalesce(trim(list_filter(regexp_split_to_array(regexp_replace(remote, '\.git$', ''), '[/:]'), x -> x <> '')[-1]), '') AS name, regexp_replace(regexp_replace(lower(trim(remote)), '\.git$', ''), '/+$', '') AS normal,
+    CASE WHEN regexp_matches(lower(remote), '[a-z0-9]') THEN regexp_replace(regexp_replace(lower(trim(remote)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') ELSE 'unknown' END AS slug,
+    left(sha256(regexp_replace(regexp_replace(lower(trim(remote)), '\.git$', ''), '/+$', '')), 8) AS short_hash FROM remotes""", remotes=_REMOTES))
+def x20_repositories(spark, d):
+    """Name, normal form, slug and hash of repositories, whose addresses are those of pages in several spellings."""
+    p, k = table(spark, d, "pages"), F.col("page_id") % 5
+    ssh = F.concat(F.lit("git@"), F.replace(F.regexp_extract("url", "^https?://(.*)$", 1), F.lit("/"), F.lit(":")), F.lit(".git"))
+    remote = F.when(k == 0, F.concat("url", F.lit(".git"))).when(k == 1, ssh).when(k == 2, F.concat(F.lit(" "), F.upper("url"), F.lit("/ "))).when(k == 3, "").otherwise(F.col("url"))
+    rows = p.select("page_id", remote.alias("r"))
+    return rows.select("page_id", X.repo_name("r").alias("name"), X.normal_remote("r").alias("normal"), X.slug("r").alias("slug"), X.short_hash(X.normal_remote("r")).alias("short_hash"))
+
+
+_TOOLS = ["write", "edit", "patch", "bash", "read", "view", "grep", "glob", "ls", "fetch", ""]
+
+
+@query(f"""SELECT event_id, CASE tool WHEN 'write' THEN 'file_change' WHEN 'edit' THEN 'file_change' WHEN 'patch' THEN 'file_change' WHEN 'bash' THEN 'command' WHEN 'read' THEN 'file_read' WHEN 'view' THEN 'file_read'
+    WHEN 'grep' THEN 'search' WHEN 'glob' THEN 'search' WHEN 'ls' THEN 'search' ELSE 'tool_use' END AS kind FROM (SELECT event_id, {_TOOLS}[CAST(event_id % 11 AS INTEGER) + 1] AS tool FROM events)""")
+def x21_tool_names(spark, d):
+    tool = F.element_at(F.array(*[F.lit(t) for t in _TOOLS]), (F.col("event_id") % 11 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", X.tool_class(tool).alias("kind"))
+
+
 _REPLIES = r"""SELECT conv_id, turn, CASE (conv_id + turn) % 6
       WHEN 0 THEN 'Done.' || chr(10) || '## Key Learnings:' || chr(10) || chr(10) || '1. **' || left(t, 30) || '** and `' || right(t, 30) || '` again' || chr(10) || '2) short' || chr(10) || ' 3. *' || t || '* once more'
       WHEN 1 THEN '### Learning' || chr(10) || '1. too few' || chr(10) || '- ' || t || ' kept as a bullet' || chr(10) || '* so is ' || left(t, 20) || '   with spaces' || chr(10) || chr(10) || '# Next' || chr(10) || '- ' || t || ' outside of it'

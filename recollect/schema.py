@@ -75,6 +75,10 @@ TOPIC_BY_WORD = {
 LEARNING_HEADER = r"(?imd)^#{2,3}\s+(?:Aprendizajes(?:\s+Clave)?|Key\s+Learnings?|Learnings?):?\s*$"
 LEARNING_BYTES, LEARNING_WORDS = 20, 4
 PATH_KEYS = ["file", "files", "path", "paths", "filepath", "file_path", "applies_to", "related_file", "renamed_from", "renamed_to"]
+TOOL_CLASS = {
+    "write": "file_change", "edit": "file_change", "patch": "file_change", "bash": "command", "read": "file_read", "view": "file_read",
+    "grep": "search", "glob": "search", "ls": "search",
+}
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 RRF_CONSTANT = 60
