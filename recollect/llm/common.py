@@ -89,6 +89,14 @@ def cleared() -> Iterator[None]:
             scratch.clear()
 
 
+def unused(columns: Sequence[str], name: str) -> str:
+    """``name``, or with marks after it a name that none of the columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_spread(
     left: DataFrame,
     right: DataFrame,

@@ -15,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm.common import unused
+
 BUCKET_BITS = 16
 LONGEST = 3
 #: Training texts of a language, about; the sample is drawn by hash and doesn't grow with the table.
 PER_LANGUAGE = 3_000
+#: Languages that are learnt at most; the matrix has half a megabyte for each.
+MOST_LANGUAGES = 200
 UNKNOWN = "und"
 #: Characters taken at once.
 _CHARS = 1 << 19
@@ -97,11 +101,13 @@ class Model:
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Fit on rows of ``docs`` where ``usable`` holds and text and lang aren't null; about ``per_language`` a language.
 
-    What reaches the driver is bounded by buckets times languages, whatever the table's size.
+    What reaches the driver is bounded by buckets times languages, whatever the table's size: of more than MOST_LANGUAGES values of
+    lang, as a dirty column may have, the most common ones are learnt (of equal ones the first in order).
     """
     label = F.col(lang_col).cast("string")
     known = docs.filter(usable & label.isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(label.alias("k")).count().collect()}
+    common = known.groupBy(label.alias("k")).count().orderBy(F.desc("count"), "k").limit(MOST_LANGUAGES)
+    sizes = {r[0]: r[1] for r in common.collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((1 << BUCKET_BITS, 0)), np.zeros(0))
@@ -118,7 +124,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
         k, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(total[k, b])], ["k", "b", "n"])
 
-    drawn_docs = known.filter(drawn & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("__t"), label.alias("__l"))
+    drawn_docs = known.filter(label.isin(languages) & drawn & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("__t"), label.alias("__l"))
     counted = drawn_docs.mapInArrow(count, "k long, b long, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toArrow()
     counts = np.ones((1 << BUCKET_BITS, len(languages)))  # one of each bucket more
     counts[counted.column("b").to_numpy(), counted.column("k").to_numpy()] += counted.column("n").to_numpy()
@@ -173,8 +179,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_known(docs: DataFrame, least_score: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is recognised, with their own columns.
 
-    Rejected are texts without a letter and those for which no language reaches ``least_score``.
+    Rejected are texts without a letter, null and empty ones too, and those for which no language reaches ``least_score``. Rows that
+    repeat an id or a text are judged each by itself; columns may have any name.
     """
     model = train(docs, training_rows(id_col), id_col, text_col, lang_col)
-    found = predict(docs, model, text_col, ("__lang_pred", "__score"))
-    return found.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least_score)).select(*docs.columns)
+    names = unused(docs.columns, "__lang_pred"), unused(docs.columns, "__score")
+    found = predict(docs, model, text_col, names)
+    return found.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least_score)).select(*docs.columns)
