@@ -200,7 +200,8 @@ def mark_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch.base}/runs")
     folder = re.sub(r"^file:/+", "file:///", path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString())
-    classes = entries_of(merge_runs(scratch.save(_first_runs(digests, folder)), folder, scratch))
+    # written, so that its size is known: else Spark takes it for as small as the manifest, and broadcasts it
+    classes = scratch.save(entries_of(merge_runs(scratch.save(_first_runs(digests, folder)), folder, scratch)))
     joined = join_spread(
         digests, classes.withColumn("group_size", F.col("n")), ["sha", "proof", "size"], ["keep_id", "keep_row", "group_size"],
         F.col("n"), digests.count(), F.col("row"),
