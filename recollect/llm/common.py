@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +81,20 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What empties the spellings and the like that operators keep on a worker from task to task.
+kept_on_worker: list[Callable[[], object]] = []
+
+
+def free_worker() -> None:
+    """Give back what earlier tasks of any operator have left in this worker, before work that needs the memory."""
+    for empty in kept_on_worker:
+        empty()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library can do it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextmanager
 def cleared() -> Iterator[None]:
     """Scratch tables that operators make within are deleted at the end; write what is made of them before it."""

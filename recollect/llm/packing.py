@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm.common import kept_on_worker
+
 CAPACITY = 1_024
 MIN_CUT = 64
 #: Spellings that a worker keeps of words as they stand, and of words without the marks after them.
@@ -112,6 +114,7 @@ class Ids:
 
 
 _kept: dict[str, Ids] = {}
+kept_on_worker.append(_kept.clear)
 
 
 def ids_for(path: str) -> Ids:

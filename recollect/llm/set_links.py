@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import Scratch, join_spread
+from recollect.llm.common import Scratch, free_worker, join_spread
 from recollect.llm.components import components
 from recollect.llm.simhash import close_pairs
 
@@ -234,6 +234,7 @@ def _forest(roots: np.ndarray, a: list[int], b: list[int]) -> list[tuple[int, in
 def _unit_links(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     """Links between sets of different roots in one unit. Rows (unit, id, root, size, fp, fp2, t) are sorted by unit."""
     p, q = like.ratio
+    free_worker()
     for rows, texts, _ in _by_unit(batches):
         ids, roots, size, *fps = (np.array(x, np.int64) for x in zip(*rows, strict=True))
         a, b = _candidates(roots, size, np.stack(fps, axis=1), like)

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.common import Scratch
+from recollect.llm.common import Scratch, kept_on_worker
 from recollect.llm.rans import Table, joined_crc
 from recollect.llm.warc import _system
 
@@ -151,6 +151,7 @@ def _lower(text: str) -> str:
 
 
 _kept: dict[str, Speller] = {}
+kept_on_worker.append(_kept.clear)
 
 
 def speller(path: str) -> Speller:
