@@ -42,24 +42,27 @@ def context(links: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("name", "id", "rank")
 
 
-def comentions(links: DataFrame, items: DataFrame, most: int = 16) -> DataFrame:
+def comentions(links: DataFrame, items: DataFrame, most: int = 16, of: DataFrame | None = None) -> DataFrame:
     """(id, weight): 0.01 for each other live record that shares an entity, up to ``most`` of them.
 
     Only whether there are ``most`` matters, so for each entity its first ``most + 1`` records stand for all: a record
-    always finds ``most`` others there if there are any. No pair of a large entity's records is ever built.
+    always finds ``most`` others there if there are any. No pair of a large entity's records is ever built. Of ``of`` (id), if given, come
+    the records that are asked for; the others count as those they share entities with all the same.
     """
     live = links.join(items.filter("status = 'active'").select(F.col("id").alias("obs_id")), "obs_id", "left_semi").distinct()
     w = Window.partitionBy("name").orderBy("obs_id")
     first = live.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most + 1).select("name", F.col("obs_id").alias("other"))
-    pairs = links.distinct().join(first, "name").filter("obs_id <> other")
+    asked = links if of is None else links.join(of.select(F.col("id").alias("obs_id")), "obs_id", "left_semi")
+    pairs = asked.distinct().join(first, "name").filter("obs_id <> other")
     counts = pairs.groupBy("obs_id").agg(F.countDistinct("other").alias("n"))
     return counts.select(F.col("obs_id").alias("id"), F.least(F.col("n") * 0.01, F.lit(0.01 * most)).alias("weight"))
 
 
-def relation_weight(relations: DataFrame) -> DataFrame:
-    """(id, weight, degree): summed weights of a record's relations and 0.008 for each, within -0.06 and 0.14."""
+def relation_weight(relations: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(id, weight, degree): summed weights of a record's relations and 0.008 for each, within -0.06 and 0.14; of the records ``of`` (id), if given."""
     w = S.lookup("relation", S.RELATION_WEIGHT, 0.012)
     ends = relations.select(F.col("from_id").alias("id"), w.alias("w")).unionByName(relations.select(F.col("to_id").alias("id"), w.alias("w")))
+    ends = ends if of is None else ends.join(of.select("id"), "id", "left_semi")
     sums = ends.groupBy("id").agg(F.sum("w").alias("w"), F.count("*").alias("degree"))
     return sums.select("id", F.greatest(F.lit(-0.06), F.least(F.col("w") + F.col("degree") * 0.008, F.lit(0.14))).alias("weight"), "degree")
 

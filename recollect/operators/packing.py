@@ -71,10 +71,11 @@ def fitting(rows: DataFrame) -> DataFrame:
 
 
 def explained(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``rows`` of candidates with score, score_components (a map), tokens, and from ``verdicts`` included and reason."""
+    """``rows`` of candidates with score, score_components (a map), tokens (those of body, unless the rows have them), and from ``verdicts`` included and reason."""
     parts = score()
     told = F.map_from_arrays(F.array(*[F.lit(k) for k in parts]), F.array(*[v.cast("double") for v in parts.values()]))
-    out = rows.select("*", told.alias("score_components"), F.round(total(parts), 6).alias("score"), X.token_estimate("body").alias("tokens"))
+    out = rows if "tokens" in rows.columns else rows.withColumn("tokens", X.token_estimate("body"))
+    out = out.select("*", told.alias("score_components"), F.round(total(parts), 6).alias("score"))
     found = verdicts.select("request_id", "id", F.col("verdict").alias("reason"), (F.col("verdict") != "excluded").alias("included"))
     return out.join(found, ["request_id", "id"])
 

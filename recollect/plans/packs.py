@@ -10,6 +10,7 @@ from recollect.functions import text as X
 from recollect.operators import graph as G
 from recollect.operators import packing as P
 from recollect.plans.base import query
+from recollect.sources.scratch import written
 from recollect.sources.tables import entity_links, memory_items, relations, sql, table
 
 _LIVE = "SELECT * FROM items WHERE status = 'active' AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-31 00:00:00')"
@@ -59,14 +60,19 @@ def _requests(spark, d):
 
 
 def _rows(spark, d):
+    """Candidates with what their score needs. Texts are counted and weights taken once for each record that is a candidate at all, and no text
+    goes on to the requests."""
     items, requests = memory_items(spark, d), _requests(spark, d)
-    weights = items.join(G.comentions(entity_links(spark, d), items).select("id", F.col("weight").alias("entity_weight")), "id", "left")
-    weights = weights.join(G.relation_weight(relations(spark, d)).select("id", F.col("weight").alias("relation_weight")), "id", "left")
-    return P.candidates(items, requests).join(weights, "id").join(requests, "request_id")
+    found = written(P.candidates(items, requests), "candidates")
+    some = written(found.select("id").distinct(), "records")
+    chosen = items.join(some, "id", "left_semi").withColumn("tokens", X.token_estimate("body")).drop("title", "body")
+    weights = chosen.join(G.comentions(entity_links(spark, d), items, of=some).select("id", F.col("weight").alias("entity_weight")), "id", "left")
+    weights = weights.join(G.relation_weight(relations(spark, d), of=some).select("id", F.col("weight").alias("relation_weight")), "id", "left")
+    return found.join(written(weights, "weights"), "id").join(requests, "request_id")
 
 
-def _placed(spark, d):
-    scored = _rows(spark, d).select("request_id", "id", "updated_at", X.token_estimate("body").alias("tokens"), F.round(P.total(P.score()), 6).alias("score"))
+def _placed(rows):
+    scored = rows.select("request_id", "id", "updated_at", "tokens", F.round(P.total(P.score()), 6).alias("score"))
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), F.desc("updated_at"), "id")
     return scored.withColumn("place", F.row_number().over(w)).select("request_id", "id", "score", "place", "tokens")
 
@@ -87,7 +93,7 @@ def f10_pack_filter(spark, d):
 
 @query(sql("SELECT * FROM placed", *_NEEDS, **_SQL))
 def p2_pack_scores(spark, d):
-    return _placed(spark, d)
+    return _placed(_rows(spark, d))
 
 
 _USED = """SELECT request_id, CAST(NULL AS BIGINT) AS id, 0 AS place, 380 AS remaining, 0 AS used, '' AS verdict FROM requests UNION ALL
@@ -99,7 +105,7 @@ _USED = """SELECT request_id, CAST(NULL AS BIGINT) AS id, 0 AS place, 380 AS rem
 @query(sql("""SELECT request_id, id, place, CAST(used AS INTEGER) AS used, verdict FROM walk WHERE place > 0""", *_NEEDS, **_SQL,
     walk=_USED))
 def p4_n5_greedy_pack(spark, d):
-    return P.greedy(_placed(spark, d), 400)
+    return P.greedy(_placed(_rows(spark, d)), 400)
 
 
 _WALK = """SELECT request_id, CAST(NULL AS BIGINT) AS id, 0 AS place, 380 AS remaining, '' AS verdict FROM requests UNION ALL
@@ -112,7 +118,8 @@ _WALK = """SELECT request_id, CAST(NULL AS BIGINT) AS id, 0 AS place, 380 AS rem
     FROM walk w JOIN placed p ON p.request_id = w.request_id AND p.place = w.place JOIN items i ON i.id = p.id WHERE w.place > 0""", *_NEEDS, **_SQL, walk=_WALK))
 def p5_explain(spark, d):
     """Each candidate with its components and what became of it; the components themselves are in P.explained."""
-    rows = P.explained(_rows(spark, d), P.greedy(_placed(spark, d), 400))
+    rows = _rows(spark, d)
+    rows = P.explained(rows, P.greedy(_placed(rows), 400))
     total = F.aggregate(F.map_values("score_components"), F.lit(0.0), lambda a, x: a + x)
     return rows.select(
         "request_id", "id", "kind", "scope", "classification", "score", "tokens", "included", "reason", F.size("score_components").alias("components"), (F.abs(total - F.col("score")) < 2e-6).alias("adds_up")
@@ -123,13 +130,14 @@ def p5_explain(spark, d):
     + ", ".join(f"{{'component': '{k}', 'value': CAST({v} AS DOUBLE)}}" for k, v in _COMPONENTS.items()) + f"]) AS r FROM {_JOINED})", *_NEEDS, **{k: v for k, v in _SQL.items() if k not in ("scored", "placed")}))
 def p5_components(spark, d):
     """Every candidate's score in its parts, one row each."""
-    rows = P.explained(_rows(spark, d), P.greedy(_placed(spark, d), 400))
+    rows = _rows(spark, d)
+    rows = P.explained(rows, P.greedy(_placed(rows), 400))
     return rows.select("request_id", "id", F.explode("score_components").alias("component", "value")).withColumn("value", F.round("value", 6))
 
 
 @query(sql("""SELECT request_id, id, place, CAST(running AS BIGINT) AS running FROM (SELECT *, sum(tokens) OVER (PARTITION BY request_id ORDER BY place) AS running FROM placed) WHERE running <= 800""", *_NEEDS, **_SQL))
 def n6_prefix_budget(spark, d):
-    return P.prefix_budget(_placed(spark, d), 800, ["request_id"], [F.asc("place")], F.col("tokens")).select("request_id", "id", "place", "running")
+    return P.prefix_budget(written(_placed(_rows(spark, d)), "placed"), 800, ["request_id"], [F.asc("place")], F.col("tokens")).select("request_id", "id", "place", "running")
 
 
 @query(sql("""SELECT kind, CAST(k AS INTEGER) AS k, id FROM (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY tier, updated_at DESC, id) AS k FROM
