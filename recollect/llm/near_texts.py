@@ -2,8 +2,8 @@
 
 Texts are near copies if the Jaccard likeness of their sets of five-word shingles is at least ``LIKENESS``. At 0.8 some 20 of 128
 bits differ, too many for keys by pigeonhole, so texts meet on keys of further SimHash bits (``simhash.close_files``; a pair at 0.8
-has none in common about once in a hundred million). Texts that meet are compared bit-sliced by their fingerprints, and what is near by
-them is compared exactly, so no other texts are linked. Sets of few shingles, whose bits say little, also meet on the
+has none in common about once in a hundred million). Texts that meet are compared bit-sliced by their fingerprints, what is near by
+them by all of those bits, and what is left exactly, so no other texts are linked. Sets of few shingles, whose bits say little, also meet on the
 shingles themselves: alike sets share one of the first m - ceil(0.8 m) + 1 of their m hashes in order, without exception.
 """
 
@@ -64,14 +64,16 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, words_each: int) -> D
     return rows.mapInArrow(each, "id long, size long, fp long, fp2 long, bits binary, keys array<long>")
 
 
-def _filed(docs: DataFrame, id_col: str, text_col: str, words_each: int) -> DataFrame:
+def _filed(docs: DataFrame, id_col: str, text_col: str, words_each: int, sketches: DataFrame | None = None) -> DataFrame:
     """(id, size, fp, fp2, keys) of the documents with an id that may have near copies, a row for each kind of key.
 
-    Texts of equal bits meet in a file of their own, and one of them goes on to the comparison of fingerprints.
+    Texts of equal bits meet in a file of their own, and one of them goes on to the comparison of fingerprints. ``sketches``: what
+    ``_sketched`` gives, if it is written already.
     """
     scratch = Scratch(docs.sparkSession, "near_files")
     member = ["id", "size", "fp", "fp2"]
-    sketches = scratch.save(_sketched(docs, id_col, text_col, words_each))
+    if sketches is None:
+        sketches = scratch.save(_sketched(docs, id_col, text_col, words_each))
     out = sketches.filter(F.size("keys") > 0).select(*member, "keys")
     large = sketches.filter("bits IS NOT NULL").select(*member, "bits", F.xxhash64("bits").alias("h"))
     n = large.count()
@@ -89,8 +91,9 @@ def _filed(docs: DataFrame, id_col: str, text_col: str, words_each: int) -> Data
 def near_links(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", words_each: int = WORDS) -> DataFrame:
     """Links (u, v) between ids whose components are those of all near copies."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    filed = scratch.save(_filed(docs, id_col, text_col, words_each)).select("id", "size", "fp", "fp2", F.explode("keys").alias("key"))
-    return links(filed, texts, Likeness(lambda text: shingles(text, words_each), LIKENESS), scratch)
+    sketches = scratch.save(_sketched(docs, id_col, text_col, words_each))
+    filed = scratch.save(_filed(docs, id_col, text_col, words_each, sketches)).select("id", "size", "fp", "fp2", F.explode("keys").alias("key"))
+    return links(filed, texts, Likeness(lambda text: shingles(text, words_each), LIKENESS), scratch, sketches)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = WORDS) -> DataFrame:
