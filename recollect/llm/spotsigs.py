@@ -42,9 +42,11 @@ CHAIN = 2
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 #: The same for texts below U+0300, where there are no combining marks.
 _PLAIN, _MARKED = re.compile(r"[^\W_]+"), re.compile(r"[^\x00-\u02ff]")
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-#: Words taken at once.
-_WORDS = 1 << 18
+#: Whether a character belongs to a word, up to U+0300; those above do, as only words are left of texts that have any.
+_IN_WORD = np.array([*(_WORD.match(chr(c)) is not None for c in range(0x300)), True])
+_MULT, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Characters taken at once.
+_CHARS = 1 << 20
 _FIELDS = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
     "set_length long, class_id long"
@@ -59,17 +61,53 @@ _LOAD_BITS = 16
 BLOCK_BYTES, _BLOCKS, _SAMPLE = 1 << 27, 20_000, 64
 
 
-class _Words(dict):
-    """Hash of a word; the lowest bit says whether it is an anchor."""
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.r_[np.uint64(1), np.cumprod(np.full(n - 1, base, np.uint64))]
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 11) & ~1 | (word in ANCHORS)
-        return value
 
+def _odd_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number, and of its inverse, modulo 2**64."""
+    return _powers(int(_BASE), n), _powers(pow(int(_BASE), -1, 1 << 64), n)
 
-_words = _Words()
+
+def words_of(text: str) -> list[str]:
+    low = text.lower()
+    return (_WORD if _MARKED.search(low) else _PLAIN).findall(low)
+
+
+def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of its text) of each word of ``words_of``.
+
+    A hash is a polynomial of the word's characters, so those of all words come from one running sum over the texts.
+    """
+    lows = [t.lower() for t in texts]
+    lows = [x if x.isascii() or not _MARKED.search(x) else " ".join(_WORD.findall(x)) for x in lows]
+    codes = np.frombuffer(f" {' '.join(lows)} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = _IN_WORD[np.minimum(codes, len(_IN_WORD) - 1)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[0::2], edges[1::2]
+    up, down = (x[: len(codes)] for x in (_KEPT if len(codes) <= len(_KEPT[0]) else _odd_powers(len(codes))))
+    sums = (codes + np.uint64(1)) * _MULT
+    sums ^= sums >> np.uint64(32)
+    sums *= up
+    np.cumsum(sums, out=sums)
+    h = (sums[ends - 1] - sums[starts - 1]) * down[starts]
+    h = (h ^ (h >> np.uint64(31))) * _MULT
+    h ^= h >> np.uint64(29)
+    first = np.cumsum([1, *(len(x) + 1 for x in lows)])
+    doc = np.repeat(np.arange(len(lows)), np.diff(np.searchsorted(starts, first)))
+    return h, doc
+
+
+_KEPT = _odd_powers(_CHARS + (_CHARS >> 2))
+_ANCHOR_HASHES = np.sort(_word_hashes([" ".join(ANCHORS)])[0])
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same; the lowest bit of a hash says whether the word is an anchor."""
+    h, doc = _word_hashes(texts)
+    anchor = _ANCHOR_HASHES[np.minimum(np.searchsorted(_ANCHOR_HASHES, h), len(_ANCHOR_HASHES) - 1)] == h
+    return h & ~np.uint64(1) | anchor, doc
 
 
 def _chains(h: np.ndarray, doc: np.ndarray, at: np.ndarray, links: np.ndarray, chain: int) -> np.ndarray:
@@ -86,11 +124,6 @@ def _chains(h: np.ndarray, doc: np.ndarray, at: np.ndarray, links: np.ndarray, c
     return (sig >> np.uint64(32)).astype(np.uint32)
 
 
-def words_of(text: str) -> list[str]:
-    low = text.lower()
-    return (_WORD if _MARKED.search(low) else _PLAIN).findall(low)
-
-
 def signature_sets(texts: list[str], chain: int = CHAIN) -> list[np.ndarray]:
     """The sorted distinct 32-bit signatures of each text.
 
@@ -100,15 +133,13 @@ def signature_sets(texts: list[str], chain: int = CHAIN) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
     start = 0
     while start < len(texts):
-        parts, lengths = [], []
-        while start + len(lengths) < len(texts) and sum(lengths) < _WORDS:
-            words = words_of(texts[start + len(lengths)])
-            parts.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
-            lengths.append(len(words))
-        h = np.concatenate(parts)
-        doc = np.repeat(np.arange(len(lengths)), lengths)
+        n, chars = 0, 0
+        while start + n < len(texts) and chars < _CHARS:
+            chars += len(texts[start + n])
+            n += 1
+        h, doc = word_hashes(texts[start : start + n])
         anchor = (h & np.uint64(1)) == 1
-        none = np.bincount(doc, anchor, len(lengths)) == 0
+        none = np.bincount(doc, anchor, n) == 0
         at = np.flatnonzero(anchor)
         sets = [(doc[at], _chains(h, doc, at, np.flatnonzero(~anchor), chain))]
         if none.any():
@@ -116,14 +147,14 @@ def signature_sets(texts: list[str], chain: int = CHAIN) -> list[np.ndarray]:
             sets.append((doc[at], _chains(h, doc, at, np.arange(len(h)), chain)))
         owner, sig = (np.concatenate(x) for x in zip(*sets, strict=True))
         both = np.unique((owner.astype(np.uint64) << np.uint64(32)) | sig)
-        edges = np.searchsorted(both, np.arange(len(lengths) + 1, dtype=np.uint64) << np.uint64(32))
+        edges = np.searchsorted(both, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
         sig = (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        for i in range(len(lengths)):
+        for i in range(n):
             own = sig[edges[i] : edges[i + 1]]
             if not len(own) and texts[start + i]:
                 own = np.array([xxhash.xxh32_intdigest(texts[start + i].encode("utf-8", "surrogatepass"), 11)], np.uint32)
             out[start + i] = own
-        start += len(lengths)
+        start += n
     return out
 
 

@@ -155,3 +155,18 @@ def test_plain_texts_are_split_as_others():
     every = "".join(chr(i) for i in range(0x300)) + " a_b ñ² ¼x"
     for text in (every, " ".join(every), "naïve e\u0301 ｆ"):
         assert ss.words_of(text) == ss._WORD.findall(text.lower())
+
+
+def test_words_of_many_texts_are_hashed_at_once():
+    rng = random.Random(5)
+    pool = ["the", "The", "der", "naïve", "x1", "Straße", "ÿ²", "日本", "é", "İ", "a\x00b", "\ud800z", "w" * 3_000, "Ωμέγα", "a_b", "--", " ", "of"]
+    texts = ["", "!!!", "the", "the the"] + [rng.choice(" \n.,").join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(400)]
+    words = [ss.words_of(t) for t in texts]
+    h, doc = ss.word_hashes(texts)
+    assert doc.tolist() == [i for i, x in enumerate(words) for _ in x]
+    flat, known = [w for x in words for w in x], {}
+    for w, x in zip(flat, h.tolist(), strict=True):
+        assert known.setdefault(w, x) == x and (x & 1) == (w in ss.ANCHORS)
+    assert len(set(known.values())) == len(known) > 10
+    assert np.array_equal(ss.word_hashes(["x " * (2 * ss._CHARS) + texts[-1]])[0][2 * ss._CHARS :], ss.word_hashes([texts[-1]])[0])
+    assert [len(x) for x in ss.word_hashes(["", " "])] == [0, 0]
