@@ -45,25 +45,23 @@ class _Spelled(dict):
     def __missing__(self, word: str) -> bytes | None:
         if len(self) >= _WORDS:
             self.clear()
-        if not word or word[-1].isspace() or not self.space and word[0].isspace():
-            self[word] = None
-            return None
         core = word.rstrip(_MARKS)
         if core.isalpha():
-            value = self._of(self.space + core, self.merge)
+            value = self.cores.get(self.space + core) or self._of(self.space + core, self.merge)
             if len(core) < len(word):
-                value += self._of(word[len(core) :], self.encode)
+                marks = word[len(core) :]
+                value += self.cores.get(marks) or self._of(marks, self.encode)
+        elif not word or word[-1].isspace() or not self.space and word[0].isspace():
+            value = None
         else:
             value = self.encode(self.space + word)
         self[word] = value
         return value
 
     def _of(self, core: str, spell) -> bytes:
-        found = self.cores.get(core)
-        if found is None:
-            if len(self.cores) >= _CORES:
-                self.cores.clear()
-            found = self.cores[core] = spell(core)
+        if len(self.cores) >= _CORES:
+            self.cores.clear()
+        found = self.cores[core] = spell(core)
         return found
 
 
@@ -86,6 +84,8 @@ class Ids:
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
         self._shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self._space, self._tokenize = self._shown[32], self.merges.tokenize
+        self._packed = [array("I", [i]).tobytes() for i in range(max(self.model.get_vocab().values()) + 1)]
         if any(self._merge(x) != self._whole(x) for x in (" word", "naïve", " Straße", "日本語")):
             raise ValueError("this tokenizer doesn't merge the bytes of words")
         cores: dict[str, bytes] = {}
@@ -97,8 +97,9 @@ class Ids:
 
     def _merge(self, word: str) -> bytes:
         """Ids of letters, with or without a space before them: the merges alone, as there is nothing to split."""
-        shown = word.encode().decode("latin-1").translate(self._shown)
-        return array("I", [x.id for x in self.merges.tokenize(shown)]).tobytes()
+        shown = word.replace(" ", self._space) if word.isascii() else word.encode().decode("latin-1").translate(self._shown)
+        packed = self._packed
+        return b"".join([packed[x.id] for x in self._tokenize(shown)])
 
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""

@@ -63,3 +63,12 @@ def test_pieces_tile_documents_and_sequences(spark):
 def test_cuts():
     for n in range(1, 5_000):
         assert sum(packing.cuts(n)) == n and max(packing.cuts(n)) <= 1_024
+
+
+def test_kept_spellings_are_not_asked_for_again(monkeypatch):
+    asked, real = [], packing._Spelled._of
+    monkeypatch.setattr(packing._Spelled, "_of", lambda self, core, spell: asked.append(core) or real(self, core, spell))
+    texts = ["a word word, word. naïve naïve, wörd, " + "word? " * 9 + "x"]
+    model = packing.Ids(packing.tokenizer_path())
+    assert [np.frombuffer(x, "<u4").tolist() for x in model.of(texts)] == whole(texts)
+    assert len(asked) == len(set(asked)) and " word" in asked
