@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from recollect.llm import set_links, simhash
 from recollect.llm.common import Scratch
@@ -51,3 +52,34 @@ def test_longer_fingerprints_leave_pairs_at_the_edge_and_name_units_by_their_set
     edge = [rng.integers(0, 1 << 63, 200, np.uint64) for _ in range(300)]
     most = [np.bitwise_count(np.frombuffer(simhash.key_bits(x[:22]), np.uint64) ^ np.frombuffer(simhash.key_bits(x[2:25]), np.uint64)).sum() for x in edge]
     assert max(most) < set_links.FINE  # 20 in common of 25
+
+
+@pytest.mark.parametrize(("block", "most"), [(2_048, 180), (40, 5 * 180)])
+def test_a_group_in_many_files_stands_in_one_and_loses_no_link(spark, monkeypatch, block, most):
+    made, real = [], Scratch.save
+
+    def save(self, df):
+        out = real(self, df)
+        if "unit" in df.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "save", save)
+    monkeypatch.setattr(set_links, "BLOCK", block)
+    rng = random.Random(7)
+    sets = [x for k in (4, 9, 11) for x in sets_alike(np.random.default_rng(7), 60, k)]  # likenesses of 0.65 to 0.9
+    filed = [(k, i, 100, *fp) for i, fp in enumerate(prints(sets)) for k in range(60) if rng.random() < 0.5]
+    share = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    alike = {(a, b) for b in range(len(sets)) for a in range(b) if 5 * share(a, b) >= 4 * (len(sets[a]) + len(sets[b]) - share(a, b))}
+    scratch = Scratch(spark, "group")
+    found = set_links.links(
+        spark.createDataFrame(filed, "key long, id long, size long, fp long, fp2 long"),
+        spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "id long, t binary"),
+        set_links.Likeness(lambda x: np.frombuffer(x, np.uint64), (4, 5)), scratch,
+        spark.createDataFrame([(i, simhash.key_bits(x)) for i, x in enumerate(sets)], "id long, bits binary"),
+    )
+    assert {(r.u, r.v) for r in found.collect()} <= alike
+    want = components(spark.createDataFrame(sorted(alike), "u long, v long"), scratch)
+    root = lambda df: {r.node: r.root for r in df.collect()}
+    assert root(components(found, scratch)) == root(want) and 60 <= len(root(want)) < len(sets)
+    assert made and max(made) <= most
