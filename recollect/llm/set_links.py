@@ -44,7 +44,7 @@ _PASS = 1 << 16
 #: Sets that a task remembers.
 _KEPT = 64
 #: Sets in a block of a long file, and elements of all of them together, about.
-BLOCK, ELEMENTS = 2_048, 1 << 20
+BLOCK, ELEMENTS = 1_024, 1 << 20
 #: Sets that are set against all others of their unit at once, and those that are read to be compared with one.
 _STRIPE, _AT_ONCE = 256, 64
 
@@ -84,9 +84,9 @@ class Likeness:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, like: Likeness, scratch: Scratch) -> DataFrame:
     """The pairs (u, v) whose sets are alike. ``sets`` has id and t."""
-    n = pairs.count()
+    n, told = pairs.count(), pairs
     for side, other, to in (("u", "v", "a"), ("v", "u", "b")):
-        counts = pairs.groupBy(side).agg(F.count("*").alias("n"))
+        counts = told.groupBy(side).agg(F.count("*").alias("n"))  # of the written pairs, whose size is known: few of them don't move all texts
         right = scratch.save(sets.join(counts, F.col("id") == F.col(side)).select(side, F.col("t").alias(to), "n"))
         pairs = join_spread(pairs, right, [side], [to], F.col("n"), n, F.col(other))
 
@@ -290,28 +290,23 @@ def _cuts(n: Column, elements: Column) -> Column:
     return F.least(n, F.greatest(F.ceil(n / BLOCK), F.ceil(elements / ELEMENTS))).cast("int")
 
 
-def _merged(rows: DataFrame, total: int, scratch: Scratch) -> DataFrame:
-    """Rows (key, id, size, fp, fp2, root, cuts) in which all sets that share one of the files in ``rows`` (without cuts) share one still.
+def _merged(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (key, id, size, fp, fp2, root, cuts) in which all sets that share one of the files in ``rows``, which has home too, share one still.
 
-    A file goes to the set of its members, or of those they share a file with, that is in the most files. Files that go to the same set become one
-    wherever that makes half the rows at most, blocks counted; the others stay as they are, so there are never more rows than before.
+    Files of one home become one wherever that makes half the rows at most, blocks counted; the others stay as they are, so there
+    are never more rows than before.
     """
     member = ["id", "size", "fp", "fp2", "root"]
-    held = rows.select("key", "id", "size")
-    tops = held.join(held.groupBy("id").agg(F.count("*").alias("files")), "id").groupBy("key").agg(F.max(F.struct("files", "id")).alias("top"), F.count("*").alias("n"))
-    tops = scratch.save(tops)
-    to = join_spread(held, tops, ["key"], ["top"], F.col("n"), total, F.col("id")).groupBy("id").agg(F.max("top").alias("top"))
-    homes = held.join(to, "id").groupBy("key").agg(F.max("top").alias("top"), F.count("*").alias("n"), F.sum("size").alias("elements"))
-    homes = scratch.save(homes.select("key", F.xxhash64("top.id", F.lit("home")).alias("home"), "n", _cuts(F.col("n"), F.col("elements")).alias("cuts")))
-    rows = scratch.save(join_spread(rows, homes, ["key"], ["home", "cuts"], F.col("n"), total, F.col("id")))
-    sets = scratch.save(rows.groupBy("home", *member).agg(F.sum("cuts").alias("rows"), F.count("*").alias("files")))
-    dense = sets.groupBy("home").agg(F.count("*").alias("n"), F.sum("size").alias("elements"), F.sum("rows").alias("rows"), F.sum("files").alias("files"))
+    files = F.collect_list(F.struct("key", "cuts")).alias("files")  # a set is in no more files than there are keys
+    sets = scratch.save(rows.groupBy("home", *member).agg(F.sum("cuts").alias("rows"), files))
+    dense = sets.groupBy("home").agg(F.count("*").alias("n"), F.sum("size").alias("elements"), F.sum("rows").alias("rows"))
     dense = dense.withColumn("into", _cuts(F.col("n"), F.col("elements"))).filter(2 * F.col("n") * F.col("into") <= F.col("rows"))
-    dense = scratch.save(dense.select("home", "n", "files", "into"))
-    alone = join_spread(rows, dense, ["home"], ["into"], F.col("files"), total, F.struct("key", "id")).filter("into IS NULL")
-    whole = join_spread(sets, dense, ["home"], ["into"], F.col("n"), sets.count(), F.col("id")).filter("into IS NOT NULL")
-    out = scratch.save(alone.select("key", *member, "cuts").union(whole.select("home", *member, "into")))
-    scratch.drop(tops, homes, rows, sets, dense)
+    dense = scratch.save(dense.select("home", "n", "into"))
+    placed = join_spread(sets, dense, ["home"], ["into"], F.col("n"), sets.count(), F.col("id"))
+    one = F.array(F.struct(F.col("home").alias("key"), F.col("into").alias("cuts")))
+    placed = placed.select(*member, F.explode(F.when(F.col("into").isNotNull(), one).otherwise(F.col("files"))).alias("f"))
+    out = scratch.save(placed.select("f.key", *member, "f.cuts"))
+    scratch.drop(sets, dense)
     return out
 
 
@@ -322,10 +317,12 @@ def links(filed: DataFrame, sets: DataFrame, like: Likeness, scratch: Scratch, f
     reads a set from; ``fine``, if there is one, id and bits, a fingerprint of 2,048 bits or null.
     """
     member = ["id", "size", "fp", "fp2"]
-    files = filed.groupBy("key").agg(F.min(F.struct(*member)).alias("lead"), F.max("id").alias("last"), F.count("*").alias("n"))
-    files = scratch.save(files.filter("lead.id < last").select("key", "lead", "n"))  # a file with one set has no pairs
+    often = filed.groupBy("id").agg(F.count("*").alias("often"))
+    top = F.max(F.struct("often", "id")).alias("top")
+    files = filed.join(often, "id").groupBy("key").agg(F.min(F.struct(*member)).alias("lead"), F.max("id").alias("last"), F.count("*").alias("n"), top)
+    files = scratch.save(files.filter("lead.id < last").select("key", "lead", "n", "top"))  # a file with one set has no pairs
     total = files.agg(F.sum("n")).first()[0] or 0
-    shared = scratch.save(join_spread(filed.select("key", *member), files, ["key"], ["lead"], F.col("n"), total, F.col("id")).filter("lead IS NOT NULL"))
+    shared = scratch.save(join_spread(filed.select("key", *member), files, ["key"], ["lead", "top"], F.col("n"), total, F.col("id")).filter("lead IS NOT NULL"))
     near = (F.col("id") > F.col("lead.id")) & like.sizes_fit(F.col("size"), F.col("lead.size"))
     differs = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"lead.{c}"))) for c in ("fp", "fp2")), F.lit(0))
     near &= (differs <= like.bits) | (F.least("size", "lead.size") < SMALL)
@@ -334,17 +331,21 @@ def links(filed: DataFrame, sets: DataFrame, like: Likeness, scratch: Scratch, f
     found = _confirmed(stars, sets, like, scratch)
 
     roots = components(found, scratch)
-    rooted = shared.select("key", *member).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # files go to the set that is in the most files, of their members and those that these share a file with
+    tops = shared.groupBy("id").agg(F.max("top").alias("top")).join(roots.withColumnRenamed("node", "id"), "id", "left")
+    rooted = shared.select("key", *member).join(tops, "id").withColumn("root", F.coalesce("root", "id"))
     rooted = scratch.save(rooted)
     scratch.drop(shared, stars, files)
     members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("all"), F.min("id").alias("first"), F.max("id").alias("last")]
-    split = rooted.groupBy("key").agg(*members, F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
+    split = rooted.groupBy("key").agg(*members, F.min("root").alias("a"), F.max("root").alias("b"), F.max("top").alias("top"), F.sum("size").alias("elements"))
+    split = split.filter("a < b").withColumn("cuts", _cuts(F.col("n"), F.col("elements"))).withColumn("home", F.xxhash64("top.id", F.lit("home")))
     # of files with the same sets, one
-    split = scratch.save(split.groupBy("n", "all", "first", "last").agg(F.min("key").alias("key")).select("key", "n", F.col("n").alias("rows")))
+    one = F.min(F.struct("key", "home", "cuts")).alias("one")
+    split = scratch.save(split.groupBy("n", "all", "first", "last").agg(one).select("one.*", F.col("n").alias("rows")))
     total = split.agg(F.sum("rows")).first()[0] or 0
-    apart = scratch.save(join_spread(rooted, split, ["key"], ["n"], F.col("rows"), total, F.col("id")).filter("n IS NOT NULL").select("key", *member, "root"))
-    merged = _merged(apart, total, scratch)
-    scratch.drop(rooted, split, apart)
+    apart = join_spread(rooted, split, ["key"], ["home", "cuts"], F.col("rows"), total, F.col("id")).filter("home IS NOT NULL")
+    merged = _merged(apart, scratch)
+    scratch.drop(rooted, split)
     apart = merged.withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     units = apart.select("key", *member, "root", F.explode(pair).alias("b"))
